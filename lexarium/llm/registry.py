@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import byte_bpe, license_scan, media, url_filter
+from lexarium.llm import byte_bpe, html_extract, language_id, license_scan, media, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_media": media.op5_media,
+    "op6_html_extract": html_extract.op6_html_extract,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
