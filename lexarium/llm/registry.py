@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import byte_bpe, html_extract, language_id, license_scan, media, toxicity, url_filter
+from lexarium.llm import (
+    byte_bpe,
+    html_extract,
+    jaccard_join,
+    language_id,
+    license_scan,
+    media,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_media": media.op5_media,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
