@@ -51,6 +51,18 @@ def batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def rows_where(df: DataFrame, keep) -> DataFrame:
+    """Rows of ``df`` that ``keep(texts)`` (a list of booleans for a list of texts) holds for; all columns pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            mask = [m for i, j in slices(texts) for m in keep(texts[i:j])]
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, component = smallest node.
 

@@ -18,6 +18,8 @@ SHINGLE, PERCENT = 3, 90
 #: Up to this many differing features PartEnum enumerates pairs of three sub-partitions (tolerating one
 #: difference a partition); beyond, one partition more than differences, each its own signature.
 ENUMERATE_UP_TO = 8
+#: Features of a block of a cluster, about: what a group holds at most twice.
+BLOCK_FEATURES = 200_000
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 DOCS = "doc_id long, th long, n_shingles int, key long, sigs array<bigint>"
@@ -185,48 +187,109 @@ def features_of(size: int):
     return run
 
 
-def verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of set keys whose sets link."""
-    a, b = (features.select(F.col("key").alias(k), F.col("features").alias(f"f{k}")) for k in "ab")
-    shared = F.size(F.array_intersect("fa", "fb"))
-    union = F.size("fa") + F.size("fb") - F.col("shared")
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", shared)
-    return both.where(100 * F.col("shared") >= percent * union).select("a", "b")
+def links_within(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all pairs (one of ``left``, one of ``right``) that link: a spanning forest of them.
+
+    Exact: a pair is passed over if it is connected already, if the sizes rule it out, or if the parities of
+    the features' counts by bin already differ more often than the two sets may.
+    """
+    sizes = np.array([len(x) for x in sets])
+    bins = 1 << max(6, int(2 * sizes.max() - 1).bit_length())
+    of = np.repeat(np.arange(len(sets)), sizes)
+    at = (mix(np.concatenate(sets) + SEED) & np.uint64(bins - 1)).astype(np.int64)
+    odd = np.empty((len(sets), bins // 64), np.uint64)
+    step = max(1, (1 << 22) // bins)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(0, len(sets), step):
+        j = min(len(sets), i + step)
+        part = slice(starts[i], starts[j])
+        counts = np.bincount((of[part] - i) * bins + at[part], minlength=(j - i) * bins)
+        odd[i:j] = np.packbits((counts & 1).astype(np.uint8).reshape(j - i, bins), axis=1).view(np.uint64)
+    root = np.arange(len(sets))
+    out = []
+    sizes_right = sizes[right]
+    for x in left:
+        n = sizes[x]
+        near = right[(100 * np.minimum(n, sizes_right) >= percent * np.maximum(n, sizes_right)) & (right != x)]
+        near = near[root[near] != root[x]]
+        if not len(near):
+            continue
+        differ = np.bitwise_count(odd[near] ^ odd[x]).sum(axis=1, dtype=np.int64)
+        for y in near[differ * (100 + percent) <= (n + sizes[near]) * (100 - percent)]:
+            if root[x] == root[y]:
+                continue
+            place = np.searchsorted(sets[x], sets[y])
+            place[place == n] = 0
+            shared = int((sets[x][place] == sets[y]).sum())
+            if 100 * shared >= percent * (n + sizes[y] - shared):
+                out.append((int(keys[x]), int(keys[y])))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def compared(percent: int):
+    """Links of each group (cluster, i, j): within block i if i = j, else between the two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group = None
+
+        def close() -> list[tuple[int, int]]:
+            keys = np.array([k for k, _, _ in held])
+            block = np.array([b for _, b, _ in held])
+            some = np.arange(len(held))
+            left, right = (some, some) if group[1] == group[2] else (some[block == group[1]], some[block == group[2]])
+            return links_within(keys, [x for _, _, x in held], left, right, percent) if len(left) and len(right) else []
+
+        for b in batches:
+            found = []
+            sets = b.column("features")
+            values, offsets = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+            rows = zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "key", "block")), strict=True)
+            for r, (*own, key, block) in enumerate(rows):
+                if own != group:
+                    found += close() if held else []
+                    group, held = own, []
+                held.append((key, block, np.array(values[offsets[r] : offsets[r + 1]])))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        if held:
+            found = close()
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Sets of all documents, and the components of distinct sets that link.
 
     Returns ``(doc_id, n_shingles, key)`` by document (key null for an empty set) and ``(key, component)`` for the
-    sets that link with another. Buckets of one signature are joined with their smallest set first;
-    sets of a bucket that are then still apart are compared pair by pair, exactly.
+    sets that link with another. Sets that share signatures, directly or by others, form clusters; a
+    cluster is dealt into blocks of bounded size, and every two blocks are compared in one group, exactly,
+    with a spanning forest of the links as the result, so no pairs are ever listed.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     sets = stored(rows.mapInArrow(sets_of(size, percent), DOCS), "shingle-sets")
     signed = sets.where("sigs is not null").select("key", F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig")
-    signed = signed.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket))
-    buckets = stored(signed.where("low < high").select("sig", "key", "low").distinct(), "signature-buckets")
-    stars = stored(buckets.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct(), "star-pairs")
+    low = F.min("key").over(Window.partitionBy("sig"))
+    stars = signed.withColumn("low", low).where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+    clusters = stored(components(stored(stars, "signature-stars")), "clusters")
     # Texts of the sets in question: one for each, found again by its hash.
-    wanted = sets.join(buckets.select("key").distinct(), "key").groupBy("key").agg(F.min("th").alias("th"))
-    texts = rows.select("th", "text").join(wanted.select("th").distinct(), "th", "left_semi")
-    features = stored(texts.mapInArrow(features_of(size), FEATURES).dropDuplicates(["key"]), "shingle-features")
-    linked = stored(verified(stars, features, percent), "links")
-    found = stored(components(linked), "components")
-    # Sets that share a bucket but no component yet.
-    apart = buckets.join(found, buckets.key == found.node, "left").select("sig", "key", F.coalesce("component", "key").alias("c"))
-    apart = apart.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi")
-    sizes = features.select(F.col("key"), F.size("features").alias("n"))
-    apart = stored(apart.join(sizes, "key").select("sig", "key", "c", "n"), "open-buckets")
-    if not apart.isEmpty():
-        x, y = apart.alias("x"), apart.alias("y")
-        near = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c"))
-        near &= (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        pairs = x.join(y, near).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        more = stored(verified(pairs.join(stars, ["a", "b"], "left_anti"), features, percent), "links")
-        if not more.isEmpty():
-            found = stored(components(linked.union(more)), "components")
+    members = sets.select("key", "th", "n_shingles").join(clusters, F.col("key") == F.col("node"))
+    members = members.groupBy("key", "component").agg(F.min("th").alias("th"), F.first("n_shingles").alias("n"))
+    texts = rows.select("th", "text").join(members.select("th").distinct(), "th", "left_semi")
+    features = texts.mapInArrow(features_of(size), FEATURES).dropDuplicates(["key"])
+    blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "component").select("key", F.col("component").alias("cluster"), "blocks")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(features, "key")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    groups = dealt.select("cluster", "key", "block", "features", other)
+    groups = groups.select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "features"
+    )
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key")
+    links = stored(groups.mapInArrow(compared(percent), "a long, b long"), "links")
+    found = components(links)
     return sets.select("doc_id", "n_shingles", "key"), found.select(F.col("node").alias("key"), "component")
 
 
@@ -249,5 +312,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     )
 
 
+def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs``, with all columns, but for those that link, directly or not, with a smaller doc_id.
+
+    Rows without an id stay. Rows that repeat a doc_id stay or go together.
+    """
+    found = jaccard_components(docs, size, percent)
+    return docs.join(found.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lexarium.llm import (
     byte_bpe,
+    decontaminate,
     html_extract,
     jaccard_join,
     language_id,
@@ -27,7 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extract": html_extract.op6_html_extract,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

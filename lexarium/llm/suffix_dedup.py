@@ -270,12 +270,12 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> D
 
 
 def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the repeated bytes of ``text`` removed; cut characters become U+FFFD. Other columns stay.
+    """``docs`` with the repeated bytes of ``text`` removed, and what is left of cut characters. Other columns stay.
 
     A null text stays null; a text without repeated bytes is unchanged; row order is not kept.
     """
     kept = repeated(docs, window).select(F.col("th").alias("_th"), "kept")
-    changed = F.when(F.col("kept").isNotNull(), F.decode(F.make_valid_utf8(F.col("kept").cast("string")), "UTF-8"))
+    changed = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     keyed = docs.withColumn("_th", text_key(F.col("text"))).join(kept, "_th", "left")
     return keyed.select(*[F.coalesce(changed, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 

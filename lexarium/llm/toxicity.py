@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import batch, slices, table
+from lexarium.llm.common import batch, rows_where, slices, table
 
 # Insults that are entries whatever the labels hold.
 SEED = ("idiot", "moron", "stupid", "worthless", "scum", "loser", "trash", "pathetic", "disgusting", "clown")
@@ -274,6 +274,23 @@ def assess(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, weight double, matches long")
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, with all columns, that score below ``threshold``; null and empty texts stay."""
+    built: list = []
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        if not built:
+            built.append(lexicon.automaton())
+        out = []
+        for text in texts:
+            f = fold(text or "")
+            strong, weak, _ = lexicon.weigh(f, built[0])
+            out.append(not text or lexicon.score(strong, weak, f.count(" ")) < threshold)
+        return out
+
+    return rows_where(docs, keep)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = assess(docs, fit(docs, table(spark, sf_dir, "labels")))
