@@ -1,4 +1,4 @@
-"""Named queries over the tables of a folder, each with its DuckDB form."""
+"""Named queries over the tables of a folder, each with its DuckDB form where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lexarium.plans import preparation, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | preparation.QUERIES
+ORACLE_SQL: dict[str, str] = search.ORACLE_SQL | preparation.ORACLE_SQL
