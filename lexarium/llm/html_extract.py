@@ -39,6 +39,11 @@ HINTS = frozenset(
     "reply replies share sharing social related recommended newsletter subscribe subscription popup modal widget widgets "
     "pagination pager toolbar login signup search complementary contentinfo form".split()
 )
+#: Of these the ones whose elements never hold the page's article; an article inside another hinted element is one.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond reply replies "
+    "related recommended".split()
+)
 #: Hints that count outside articles only: an article's own header holds its title.
 OUTSIDE_HINTS = frozenset(["header"])
 
@@ -59,13 +64,13 @@ SHORT, LINKS, LOW, HIGH = 70, 0.33, 0.08, 0.18
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def marked(rest: str, in_article: bool) -> bool:
-    """Whether a tag's class, id or role says that it holds no part of the article."""
+def marked(rest: str, in_article: bool) -> int:
+    """Whether a tag's class, id or role says that it holds no part of the article: 2 for sure, 1 unless one is inside."""
     for m in MARKS.finditer(rest):
         parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()))
         if parts & HINTS or (not in_article and parts & OUTSIDE_HINTS):
-            return True
-    return bool(HIDDEN.search(rest))
+            return 2 if parts & NEVER else 1
+    return 2 if HIDDEN.search(rest) else 0
 
 
 class Blocks:
@@ -74,8 +79,8 @@ class Blocks:
     def __init__(self) -> None:
         self.out: list[tuple[str, int, bool, int]] = []
         self.parts: list[tuple[str, bool]] = []
-        #: Open block elements: (name, inside boilerplate, container); containers count articles, 0 is the page.
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]
+        #: Open block elements: (name, inside boilerplate: 0 to 2, container); containers count articles, 0 is the page.
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
         self.containers = 0
         self.links = 0
 
@@ -84,7 +89,7 @@ class Blocks:
             text = " ".join(entities.unescape("".join(t for t, _ in self.parts)).split())
             linked = sum(len(t.strip()) for t, link in self.parts if link)
             if text:
-                self.out.append((text, linked, self.stack[-1][1], self.stack[-1][2]))
+                self.out.append((text, linked, self.stack[-1][1] > 0, self.stack[-1][2]))
             self.parts = []
 
     def pop(self, name: str) -> None:
@@ -109,14 +114,14 @@ class Blocks:
                 return
             _, boiler, container = self.stack[-1]
             if name in CONTENT or re.search(r"role\s*=\s*[\"']?main\b", rest, re.I):
-                if not (container and boiler):  # a reader comment may be an article element too
-                    boiler = bool(container) and marked(rest, True)
+                if boiler < 2 and not (container and boiler):  # a reader comment may be an article element too
+                    boiler = marked(rest, True) if container or name in CONTENT else 0
                     self.containers += not container
                     container = container or self.containers
             elif name in BOILERPLATE and not (name in ("header", "label") and container):
-                boiler = True
-            elif not boiler and name not in ("html", "body") and rest:
-                boiler = marked(rest, bool(container))
+                boiler = 1 if name == "header" else 2
+            elif boiler < 2 and name not in ("html", "body") and rest:
+                boiler = max(boiler, marked(rest, bool(container)))
             self.stack.append((name, boiler, container))
 
     def close(self, name: str) -> None:

@@ -63,6 +63,8 @@ def _hashed(parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= letter[:-1]  # of a run of other characters only the first, as a space
     keep[:-1] |= letter[1:] & ~letter[:-1] & (owner[1:] == owner[:-1]) & np.concatenate([[True], ~letter[:-2]])
     c = np.where(letter, points, 32)[keep].astype(np.uint64)
+    if not len(c):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     # A run of two or more kept spaces (one after a word, one before the next) becomes one.
     double = np.concatenate([[False], (c[1:] == 32) & (c[:-1] == 32)])
     c, o = c[~double], owner[keep][~double]

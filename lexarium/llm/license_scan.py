@@ -173,11 +173,12 @@ class Scanner:
         self.n_phrases = len(phrases)
         self.automaton = Automaton([[w.encode() for w in split(t)] for t in [p for p, _ in phrases] + [t for _, t in templates]])
         self.size = [len(s) for s in self.automaton.sequences]
-        #: For each state the phrases that its strings end with, shortest first.
-        self.phrases = [
-            sorted((self.size[s], s) for s, end in ends if s < self.n_phrases and end == self.size[s])
-            for ends in self.automaton.ends
-        ]
+        a = self.automaton
+        #: For each state the phrases that its longest string ends with, shortest first: its own and those of its suffixes.
+        self.phrases: list[list[tuple[int, int]]] = [[] for _ in a.link]
+        for v in sorted(range(1, len(a.link)), key=a.length.__getitem__):
+            own = {(self.size[s], s) for s, end in a.ends[v] if s < self.n_phrases and end == self.size[s]}
+            self.phrases[v] = self.phrases[a.link[v]] + sorted(x for x in own if a.length[a.link[v]] < x[0] <= a.length[v])
 
     def scan(self, words: list[bytes]) -> tuple[list[dict], list[dict]]:
         a = self.automaton

@@ -274,10 +274,11 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null text stays null; a text without repeated bytes is unchanged; row order is not kept.
     """
-    kept = repeated(docs, window).select(F.col("th").alias("_th"), "kept")
+    kept = repeated(docs, window).select("th", "kept")
     changed = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    keyed = docs.withColumn("_th", text_key(F.col("text"))).join(kept, "_th", "left")
-    return keyed.select(*[F.coalesce(changed, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    # The row travels as one struct, so its columns may have any names.
+    keyed = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("th")).join(kept, "th", "left")
+    return keyed.select(*[F.coalesce(changed, "row.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def fold_table() -> dict[int, str]:
 
 
 FOLD = fold_table()
-BETWEEN = re.compile(r"(?<=[a-z])[!|](?=[a-z])")
+BETWEEN = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])")
 
 
 def fold(text: str) -> str:
