@@ -230,7 +230,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> D
     name = f"lexarium_texts_{uuid.uuid4().hex}"
     # Distinct texts, bucketed, so that the joins below move only their small side.
     distinct = rows.where(F.octet_length("text") >= window).mapInArrow(once_a_task, "th long, text string")
-    distinct.repartition(n, "th").write.bucketBy(n, "th").sortBy("th").format("parquet").saveAsTable(name)
+    distinct.repartition(n, "th").write.bucketBy(n, "th").sortBy("th").format("parquet").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     runs = stored(texts.sortWithinPartitions("th").mapInArrow(runs_of(window), RUNS), "suffix-runs")
     index = SuffixIndex()
