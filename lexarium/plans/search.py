@@ -54,12 +54,14 @@ idf AS (SELECT token, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM raw) ELSE
 
 
 def bm25_sql(name: str, query: str, k: int) -> str:
-    """CTEs that end in ``name(query_id, doc_id, score, rank)``; every query is taken to match k documents or more."""
+    """CTEs that end in ``name(query_id, doc_id, score, rank)``; documents without a match fill short lists by id."""
     return rf"""
 {name}_q AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({TOK}) AS token FROM ({query})) GROUP BY ALL),
 {name}_s AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM {name}_q JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (doc_id), corpus GROUP BY ALL),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
+{name}_a AS (SELECT query_id, doc_id, score, 1 AS hit FROM {name}_s UNION ALL SELECT query_id, doc_id, 0.0, 0
+  FROM (SELECT q.query_id, d.doc_id FROM (SELECT DISTINCT query_id FROM ({query})) q CROSS JOIN documents d) ANTI JOIN {name}_s USING (query_id, doc_id)),
+{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit DESC, score DESC, doc_id) AS rank FROM {name}_a) WHERE rank <= {k})"""
 
 
 ASK = "SELECT item_id AS query_id, text FROM benchmark"
