@@ -323,3 +323,18 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB form of the query: exact, by a join of all shingles, for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) END AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles) AS n FROM s),
+u AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM u a JOIN u b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 90 * (x.n + y.n - both_have)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, a FROM near UNION SELECT r.a, e.b FROM reach r JOIN near e ON r.b = e.a),
+low AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, coalesce(low, doc_id) AS component_id FROM n LEFT JOIN low USING (doc_id)"""

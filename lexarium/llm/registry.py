@@ -35,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle(),
 }
