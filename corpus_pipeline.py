@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that n-gram similarity joins, the one with the smallest doc_id."""
-    return jaccard_join.drop_near_copies(docs)
+    """Of each group of documents that five-word shingles of similarity 0.8 or more join, the one with the smallest doc_id."""
+    return jaccard_join.drop_near_copies(docs, size=5, percent=80)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -504,3 +504,35 @@ def test_pipeline(spark):
     out = rows.collect()
     assert len({r.doc_id for r in out}) == len(out) > 0.5 * before
     assert all(r.n_tokens == len(r.token_ids) for r in out)
+
+
+def test_pipeline_near_copies_equal_brute_force(spark, texts, monkeypatch):
+    from functools import partial
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = [words(rng, 200) for _ in range(4)]
+    # A fifth of the length appended: similarity 0.8 or more of five words, below 0.9 of three; a third is too much.
+    rows = [*texts, *base, *(f"{t} {words(rng, 40)}" for t in base), *(f"{t} {words(rng, 70)}" for t in base)]
+    monkeypatch.setattr(brute, "shingles", partial(brute.shingles, size=5))
+    want = {i for i, (_, c) in brute.jaccard_components(list(enumerate(rows)), 80).items() if c == i}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()} == want
+    n = len(texts)
+    assert not want & set(range(n + 4, n + 8)) and set(range(n + 8, n + 12)) <= want
+
+
+def test_linked_sets_share_a_signature_at_80_percent():
+    import numpy as np
+
+    from lexarium.llm import jaccard_join as op
+
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 40), 99, 250]:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for drop in range(n + 1):
+            for add in (0, drop):
+                if 100 * (n - drop) >= 80 * (n + add) and (drop or add):
+                    b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+                    x, y = op.signatures([a, b], 80)
+                    assert set(x.tolist()) & set(y.tolist()), (n, drop, add)
