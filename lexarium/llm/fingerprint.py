@@ -37,11 +37,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Ranges:
-    """Hashes of ranges [i, j) of ``data``; equal bytes give equal hashes wherever they stand."""
+    """Hashes of ranges [i, j) of ``data``: bytes, or 64-bit values of longer units; equal data give equal hashes wherever they stand."""
 
     def __init__(self, data: np.ndarray):
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_values()[data] * powers(BASE, len(data)), out=self.prefix[1:])
+        np.cumsum((byte_values()[data] if data.dtype == np.uint8 else data) * powers(BASE, len(data)), out=self.prefix[1:])
         self.back = powers(INVERSE, len(data) + 1)
 
     def raw(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:

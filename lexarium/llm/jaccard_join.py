@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import components, slices, stored, table
+from lexarium.llm.common import components, scratch, slices, stored, table
 from lexarium.llm.fingerprint import Ranges, mix
 
 #: Words of a shingle and the similarity from which two sets link, in hundredths.
@@ -317,8 +317,10 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     Rows without an id stay. Rows that repeat a doc_id stay or go together.
     """
-    found = jaccard_components(docs, size, percent)
-    return docs.join(found.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    with scratch(docs.sparkSession):
+        found = jaccard_components(docs, size, percent).where("component_id < doc_id").select("doc_id").distinct()
+        found = stored(found, "near-copies", keep=True)
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import slices, stored, table
+from lexarium.llm.common import scratch, slices, stored, table
 from lexarium.llm.fingerprint import Ranges, mix
-from lexarium.llm.suffix_runs import window_runs
+from lexarium.llm.suffix_runs import GRAM, WORD_GRAM, byte_units, window_runs, word_places, word_values
 
 WINDOW = 400
 #: Batches that the corpus is added in, and offsets of a block in which two suffixes are compared at once.
@@ -88,7 +88,7 @@ def once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.take(pa.array(keep))
 
 
-def runs_of(window: int):
+def runs_of(window: int, words: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
@@ -97,7 +97,12 @@ def runs_of(window: int):
             last = keys[-1] if keys else last
             th, raw = np.array([keys[i] for i in new], np.int64), [texts[i] for i in new]
             for i, j in slices(raw):
-                for r in window_runs([t.encode() for t in raw[i:j]], window):
+                found = (
+                    window_runs([word_values(t.encode()) for t in raw[i:j]], window, WORD_GRAM)
+                    if words
+                    else window_runs([t.encode() for t in raw[i:j]], window, GRAM)
+                )
+                for r in found:
                     yield pa.record_batch(
                         {
                             "th": th[i:j][r["owner"]],
@@ -131,13 +136,15 @@ def gathered(columns: Iterator[dict[str, np.ndarray]], most: int = 200_000) -> I
         yield pa.record_batch({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
 
-def blocks_of(window: int):
+def blocks_of(window: int, words: bool = False):
     """Each run cut into blocks of offsets from its leader, with fingerprints of what all windows of the block
     share (core) and of all that they span (full)."""
 
+    units = word_values if words else byte_units
+
     def blocks(batches):
         for th, raw, x in grouped_rows(batches, ("first", "last", "at", "lead")):
-            ranges = Ranges(np.frombuffer(raw, np.uint8))
+            ranges = Ranges(units(raw))
             low, high = x["at"] - x["last"], x["at"] - x["first"]  # offsets of the windows from the leader
             count = high // BLOCK - low // BLOCK + 1
             of = np.repeat(np.arange(len(count)), count)
@@ -160,12 +167,14 @@ def blocks_of(window: int):
     return lambda batches: gathered(blocks(batches))
 
 
-def starts_of(window: int):
+def starts_of(window: int, words: bool = False):
     """Each window of a block, with a fingerprint of its leader, offset and bytes."""
 
+    units = word_values if words else byte_units
+
     def starts(batches):
         for th, raw, x in grouped_rows(batches, ("at", "lead", "lo", "hi")):
-            ranges = Ranges(np.frombuffer(raw, np.uint8))
+            ranges = Ranges(units(raw))
             count = x["hi"] - x["lo"] + 1
             of = np.repeat(np.arange(len(count)), count)
             d = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + x["lo"][of]
@@ -176,15 +185,31 @@ def starts_of(window: int):
     return lambda batches: gathered(starts(batches))
 
 
-def spans_of(window: int):
+def byte_spans(raw: bytes, first: np.ndarray, last: np.ndarray, words: np.ndarray, window: int, words_window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of runs of windows; those of words count words, a negative last is the text's last window."""
+    first, end = first.astype(np.int64), last.astype(np.int64) + window
+    if not words.any():
+        return first, end
+    start, stop = word_places(raw)
+    last = np.where(last < 0, len(start) - words_window, last)
+    w = np.flatnonzero(words & (last >= 0))
+    first[w], end[w] = start[first[w]], stop[last[w] + words_window - 1]
+    real = ~words | (last >= 0)
+    return first[real], end[real]
+
+
+def spans_of(window: int, words: int = 0):
     """Union of the windows of each text as byte spans, and what is left of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"th": [], "spans": [], "kept": []}
-            for th, raw, x in grouped_rows([b], ("first", "last")):
-                order = np.argsort(x["first"], kind="stable")
-                first, end = x["first"][order].astype(np.int64), x["last"][order].astype(np.int64) + window
+            for th, raw, x in grouped_rows([b], ("first", "last", "words")):
+                first, end = byte_spans(raw, x["first"], x["last"], x["words"].astype(bool), window, words)
+                if not len(first):
+                    continue
+                order = np.argsort(first, kind="stable")
+                first, end = first[order], end[order]
                 reach = np.maximum.accumulate(end)
                 new = np.concatenate([[True], first[1:] > reach[:-1]])
                 lo, hi = first[new], reach[np.concatenate([new[1:], [True]])]
@@ -210,29 +235,15 @@ def with_items(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return texts.join(items, "th").select("th", "text", "items")
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """Byte spans of every distinct text covered by a ``window``-byte string that starts anywhere else too.
-
-    ``docs`` needs ``text``; a null text counts as empty. Returns ``th`` (``text_key``), ``spans
-    array<struct<start,end>>`` (maximal, in bytes of the UTF-8 text) and ``kept binary`` (the other bytes, in
-    order) for the texts that have a span; other texts are kept whole. Copies of a text, overlapping
-    occurrences and occurrences within one text count. Every step groups by fingerprints after partial aggregation;
-    nothing that grows with a group of copies meets in one task.
+def repeated_windows(texts: DataFrame, window: int, batches: int, words: bool = False) -> DataFrame:
+    """Runs ``(th, first, last)`` of windows of ``window`` bytes (or words) that start anywhere else in the distinct texts too.
 
     1. Each text's runs go into the index by batches. Runs with an equal entry are repeated as a whole.
     2. Runs that share only a leader are compared by blocks of offsets: blocks whose common core is unique are
        not repeated, blocks with an equal full span are.
     3. Windows of the blocks that remain open are compared one by one.
     """
-    spark = docs.sparkSession
-    rows = docs.select(text_key(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"lexarium_texts_{uuid.uuid4().hex}"
-    # Distinct texts, bucketed, so that the joins below move only their small side.
-    distinct = rows.where(F.octet_length("text") >= window).mapInArrow(once_a_task, "th long, text string")
-    distinct.repartition(n, "th").write.bucketBy(n, "th").sortBy("th").format("parquet").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
-    runs = stored(texts.sortWithinPartitions("th").mapInArrow(runs_of(window), RUNS), "suffix-runs")
+    runs = stored(texts.sortWithinPartitions("th").mapInArrow(runs_of(window, words), RUNS), "suffix-runs")
     index = SuffixIndex()
     for k in range(batches):
         index.add(runs.where(F.pmod("th", F.lit(batches)) == k))
@@ -243,7 +254,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> D
     several = entries.groupBy("lead").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     reps = entries.join(several, "lead").select("rep.*", "lead")
     blocks = stored(
-        with_items(texts, reps, "first", "last", "at", "lead").mapInArrow(blocks_of(window), BLOCKS), "suffix-blocks"
+        with_items(texts, reps, "first", "last", "at", "lead").mapInArrow(blocks_of(window, words), BLOCKS), "suffix-blocks"
     )
     by_full = blocks.groupBy("core", "full").agg(
         F.count("*").alias("n"), F.min(F.struct("th", "at", "lead", "lo", "hi")).alias("rep")
@@ -255,26 +266,61 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> D
     # 3: one block for each full span under a core that has several
     unclear = by_full.groupBy("core").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     still = by_full.join(unclear, "core").select("rep.*")
-    starts = with_items(texts, still, "at", "lead", "lo", "hi").mapInArrow(starts_of(window), STARTS)
+    starts = with_items(texts, still, "at", "lead", "lo", "hi").mapInArrow(starts_of(window, words), STARTS)
     same = F.count("*").over(Window.partitionBy("key"))
     single = starts.withColumn("n", same).where("n > 1").select("th", F.col("start").alias("first"), F.col("start").alias("last"))
+    return whole.union(equal).union(single)
+
+
+def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, words: int = 0) -> DataFrame:
+    """Byte spans of every distinct text covered by a ``window``-byte string that starts anywhere else too.
+
+    ``docs`` needs ``text``; a null text counts as empty. Returns ``th`` (``text_key``), ``spans
+    array<struct<start,end>>`` (maximal, in bytes of the UTF-8 text) and ``kept binary`` (the other bytes, in
+    order) for the texts that have a span; other texts are kept whole. Copies of a text, overlapping
+    occurrences and occurrences within one text count. Every step groups by fingerprints after partial aggregation;
+    nothing that grows with a group of copies meets in one task.
+
+    With ``words`` (9 at least), passages of so many words that stand anywhere else too are covered as well, whatever
+    their length in bytes and the white space between their words.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(text_key(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lexarium_texts_{uuid.uuid4().hex}"
+    least = min(window, 2 * words - 1) if words else window
+    # Distinct texts, bucketed, so that the joins below move only their small side.
+    distinct = rows.where(F.octet_length("text") >= least).mapInArrow(once_a_task, "th long, text string")
+    distinct.repartition(n, "th").write.bucketBy(n, "th").sortBy("th").format("parquet").option("compression", "zstd").saveAsTable(name)
+    texts = spark.table(name)
+    if words:
+        with scratch(spark):
+            found = stored(repeated_windows(texts, window, batches), "repeated-bytes", keep=True).withColumn("words", F.lit(False))
+        with scratch(spark):
+            passages = stored(repeated_windows(texts, words, batches, words=True), "repeated-words", keep=True)
+        found = found.union(passages.withColumn("words", F.lit(True)))
+    else:
+        found = repeated_windows(texts, window, batches).withColumn("words", F.lit(False))
     # Texts that occur several times are repeated as a whole.
     copies = rows.groupBy("th").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size"))
-    copies = copies.where((F.col("n") > 1) & (F.col("size") >= window)).select(
-        "th", F.lit(0).alias("first"), (F.col("size") - window).cast("int").alias("last")
+    copies = copies.where((F.col("n") > 1) & (F.col("size") >= least))
+    found = found.union(
+        copies.where(F.col("size") >= window).select("th", F.lit(0), (F.col("size") - window).cast("int"), F.lit(False))
     )
-    found = whole.union(equal).union(single).union(copies)
-    return with_items(texts.dropDuplicates(["th"]), found, "first", "last").mapInArrow(
-        spans_of(window), "th long, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    if words:
+        found = found.union(copies.select("th", F.lit(0), F.lit(-1), F.lit(True)))
+    return with_items(texts.dropDuplicates(["th"]), found, "first", "last", "words").mapInArrow(
+        spans_of(window, words), "th long, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
 
 
-def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_repeated(docs: DataFrame, window: int = WINDOW, words: int = 0) -> DataFrame:
     """``docs`` with the repeated bytes of ``text`` removed, and what is left of cut characters. Other columns stay.
 
     A null text stays null; a text without repeated bytes is unchanged; row order is not kept.
     """
-    kept = repeated(docs, window).select("th", "kept")
+    with scratch(docs.sparkSession):
+        kept = stored(repeated(docs, window, words=words).select("th", "kept"), "kept-texts", keep=True)
     changed = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     # The row travels as one struct, so its columns may have any names.
     keyed = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("th")).join(kept, "th", "left")

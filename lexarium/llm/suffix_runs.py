@@ -8,8 +8,8 @@ import numpy as np
 
 from lexarium.llm.fingerprint import Ranges, mix
 
-#: Bytes of a gram whose hash chooses the suffixes.
-GRAM = 64
+#: Bytes, and words, of a gram whose hash chooses the suffixes.
+GRAM, WORD_GRAM = 64, 8
 #: Starts of windows handled at once; a longer text is cut so that every window lies in one piece.
 PIECE = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
@@ -29,13 +29,31 @@ def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def pieces(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text: what ASCII white space separates."""
+    data = np.frombuffer(b" " + raw + b" ", np.uint8)
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.flatnonzero(white[1:] != white[:-1])  # starts and ends of words by turns
+    return edge[::2], edge[1::2]
+
+
+def word_values(raw: bytes) -> np.ndarray:
+    """A 64-bit value of each word of a text."""
+    start, end = word_places(raw)
+    return mix(Ranges(np.frombuffer(raw, np.uint8)).raw(start, end) + (end - start).astype(np.uint64))
+
+
+def byte_units(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8)
+
+
+def pieces(texts: list[bytes] | list[np.ndarray], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(data, owner, start in data, start in its text) of bounded groups of texts or parts of texts."""
-    held: list[bytes] = []
+    held: list = []
     owner, base, size = [], [], 0
 
     def give():
-        data = np.frombuffer(b"".join(held), np.uint8)
+        data = np.frombuffer(b"".join(held), np.uint8) if isinstance(held[0], bytes) else np.concatenate(held)
         at = np.cumsum([0, *map(len, held)])[:-1]
         return data, np.array(owner), at, np.array(base)
 
@@ -55,18 +73,18 @@ def pieces(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.nda
         yield give()
 
 
-def window_runs(texts: list[bytes], window: int) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of consecutive windows of ``window`` bytes that share their leader.
+def window_runs(texts: list[bytes] | list[np.ndarray], window: int, gram_size: int = GRAM) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of consecutive windows of ``window`` bytes (or words, of texts as ``word_values``) that share their leader.
 
     A window's leader is its smallest gram (of equal ones the last), so equal windows have equal leaders at
     the same offset wherever they stand. Yields arrays by run: ``owner`` (text), ``first`` and ``last`` (starts of
     its windows in the text), ``at`` (the leader's start in the text), ``lead`` (the leader's hash) and
     ``cls`` (a hash of the bytes that all its windows span, of the leader and of its offset).
     """
-    w = window - GRAM + 1
+    w = window - gram_size + 1
     for data, owner, at, base in pieces(texts, window):
         ranges = Ranges(data)
-        gram = ranges.grams(GRAM)
+        gram = ranges.grams(gram_size)
         keys = (gram & ~LOW) | (LOW - np.arange(len(gram), dtype=np.uint64))
         low = sliding_min(keys, w)
         leader = (LOW - (low & LOW)).astype(np.int64)

@@ -536,3 +536,43 @@ def test_linked_sets_share_a_signature_at_80_percent():
                     b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
                     x, y = op.signatures([a, b], 80)
                     assert set(x.tolist()) & set(y.tolist()), (n, drop, add)
+
+
+def without_passages(texts, n, window):
+    """Texts without passages of ``n`` words, and strings of ``window`` bytes, that occur more than once."""
+    import re
+    from collections import Counter
+
+    raw = [(t or "").encode() for t in texts]
+    places = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raw]
+    passage = lambda r, w, i: tuple(r[s:e] for s, e in w[i : i + n])
+    seen = Counter(passage(r, w, i) for r, w in zip(raw, places, strict=True) for i in range(len(w) - n + 1))
+    strings = Counter(r[i : i + window] for r in raw for i in range(len(r) - window + 1))
+    out = []
+    for r, w in zip(raw, places, strict=True):
+        gone = bytearray(len(r))
+        for i in range(len(w) - n + 1):
+            if seen[passage(r, w, i)] > 1:
+                gone[w[i][0] : w[i + n - 1][1]] = b"\x01" * (w[i + n - 1][1] - w[i][0])
+        for i in range(len(r) - window + 1):
+            if strings[r[i : i + window]] > 1:
+                gone[i : i + window] = b"\x01" * window
+        out.append(bytes(b for b, g in zip(r, gone, strict=True) if not g).decode(errors="ignore"))
+    return out
+
+
+def test_pipeline_drops_passages_of_51_words(spark, texts):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    planted = [words(rng, n, "abcdefghijklm") for n in (50, 51, 52, 55, 60, 65)]
+    rows = [f"{words(rng, rng.randint(0, 90))} {p} {words(rng, rng.randint(0, 90))}" for p in planted for _ in range(2)]
+    short = " ".join("abc"[i % 3] for i in range(3)) + " " + " ".join(chr(97 + i % 26) for i in range(60))
+    rows = [*texts, *rows, *(f"{k} {short} {k}" for k in ("left", "right")), "long" * 120 + " x", "long" * 120 + " y"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_passages(spark, frame(spark, rows), "").collect()}
+    want = without_passages(rows, 51, 400)
+    assert {i: t or "" for i, t in got.items()} == dict(enumerate(want))
+    n = len(texts)
+    for k, p in enumerate(planted):
+        for i in (n + 2 * k, n + 2 * k + 1):
+            assert len(p) < 400 and (p in got[i]) == (k == 0), i
