@@ -198,8 +198,8 @@ def byte_spans(raw: bytes, first: np.ndarray, last: np.ndarray, words: np.ndarra
     return first[real], end[real]
 
 
-def spans_of(window: int, words: int = 0):
-    """Union of the windows of each text as byte spans, and what is left of the text."""
+def spans_of(window: int, words: int = 0, characters: bool = False):
+    """Union of the windows of each text as byte spans, and what is left of the text: with ``characters`` whole ones only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,7 +216,9 @@ def spans_of(window: int, words: int = 0):
                 cuts = np.concatenate([[0], np.stack([lo, hi], axis=1).ravel(), [len(raw)]])
                 out["th"].append(th)
                 out["spans"].append([{"start": int(s), "end": int(e)} for s, e in zip(lo, hi, strict=True)])
-                out["kept"].append(b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)))
+                left = [raw[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)]
+                # The text is valid, so what does not decode is a part of a character at an edge of a piece.
+                out["kept"].append(b"".join(p.decode(errors="ignore").encode() for p in left) if characters else b"".join(left))
             yield pa.record_batch(
                 [
                     pa.array(out["th"], pa.int64()),
@@ -272,7 +274,7 @@ def repeated_windows(texts: DataFrame, window: int, batches: int, words: bool =
     return whole.union(equal).union(single)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, words: int = 0) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, words: int = 0, characters: bool = False) -> DataFrame:
     """Byte spans of every distinct text covered by a ``window``-byte string that starts anywhere else too.
 
     ``docs`` needs ``text``; a null text counts as empty. Returns ``th`` (``text_key``), ``spans
@@ -282,7 +284,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, word
     nothing that grows with a group of copies meets in one task.
 
     With ``words`` (9 at least), passages of so many words that stand anywhere else too are covered as well, whatever
-    their length in bytes and the white space between their words.
+    their length in bytes and the white space between their words. With ``characters``, ``kept`` has no parts of
+    characters that a span cuts.
     """
     spark = docs.sparkSession
     rows = docs.select(text_key(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
@@ -310,18 +313,18 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, word
     if words:
         found = found.union(copies.select("th", F.lit(0), F.lit(-1), F.lit(True)))
     return with_items(texts.dropDuplicates(["th"]), found, "first", "last", "words").mapInArrow(
-        spans_of(window, words), "th long, spans array<struct<start:bigint,end:bigint>>, kept binary"
+        spans_of(window, words, characters), "th long, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
 
 
 def drop_repeated(docs: DataFrame, window: int = WINDOW, words: int = 0) -> DataFrame:
-    """``docs`` with the repeated bytes of ``text`` removed, and what is left of cut characters. Other columns stay.
+    """``docs`` with the repeated bytes of ``text`` removed, and what is left of the characters that they cut. Other columns stay.
 
     A null text stays null; a text without repeated bytes is unchanged; row order is not kept.
     """
     with scratch(docs.sparkSession):
-        kept = stored(repeated(docs, window, words=words).select("th", "kept"), "kept-texts", keep=True)
-    changed = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+        kept = stored(repeated(docs, window, words=words, characters=True).select("th", "kept"), "kept-texts", keep=True)
+    changed = F.col("kept").cast("string")
     # The row travels as one struct, so its columns may have any names.
     keyed = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("th")).join(kept, "th", "left")
     return keyed.select(*[F.coalesce(changed, "row.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -576,3 +576,13 @@ def test_pipeline_drops_passages_of_51_words(spark, texts):
     for k, p in enumerate(planted):
         for i in (n + 2 * k, n + 2 * k + 1):
             assert len(p) < 400 and (p in got[i]) == (k == 0), i
+
+
+def test_drop_repeated_keeps_replacement_characters(spark):
+    from lexarium.llm import suffix_dedup as op
+
+    passage = "x" * 50 + words(random.Random(13), 120)
+    # Two cut characters whose halves would join to a third one, and marks that stood in the text.
+    rows = [f"a\ufffdb {passage} c\ufffd", f"\ufffd {passage}!", "\u00e9" + passage + "\u00e8", "\u0129" + passage + "\u00e9"]
+    got = {r.doc_id: r.text for r in op.drop_repeated(frame(spark, rows)).collect()}
+    assert got == {0: "a\ufffdb c\ufffd", 1: "\ufffd!", 2: "", 3: ""}
