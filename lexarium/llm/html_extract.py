@@ -54,7 +54,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Blocks up to this many characters are short; denser links than this are bad; stop words from HIGH on are
@@ -64,13 +65,22 @@ SHORT, LINKS, LOW, HIGH = 70, 0.33, 0.08, 0.18
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
+def hidden(rest: str) -> bool:
+    """Whether a tag has the hidden attribute, ``aria-hidden=true`` or a style without display."""
+    for m in ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def marked(rest: str, in_article: bool) -> int:
     """Whether a tag's class, id or role says that it holds no part of the article: 2 for sure, 1 unless one is inside."""
     for m in MARKS.finditer(rest):
         parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()))
         if parts & HINTS or (not in_article and parts & OUTSIDE_HINTS):
             return 2 if parts & NEVER else 1
-    return 2 if HIDDEN.search(rest) else 0
+    return 2 if hidden(rest) else 0
 
 
 class Blocks:
@@ -119,7 +129,8 @@ class Blocks:
                     self.containers += not container
                     container = container or self.containers
             elif name in BOILERPLATE and not (name in ("header", "label") and container):
-                boiler = 1 if name == "header" else 2
+                # A form may stand around the whole page: an article inside is one, unless the form is no part of it for sure.
+                boiler = max(boiler, marked(rest, bool(container)), 1) if name == "form" else 1 if name == "header" else 2
             elif boiler < 2 and name not in ("html", "body") and rest:
                 boiler = max(boiler, marked(rest, bool(container)))
             self.stack.append((name, boiler, container))

@@ -586,3 +586,18 @@ def test_drop_repeated_keeps_replacement_characters(spark):
     rows = [f"a\ufffdb {passage} c\ufffd", f"\ufffd {passage}!", "\u00e9" + passage + "\u00e8", "\u0129" + passage + "\u00e9"]
     got = {r.doc_id: r.text for r in op.drop_repeated(frame(spark, rows)).collect()}
     assert got == {0: "a\ufffdb c\ufffd", 1: "\ufffd!", 2: "", 3: ""}
+
+
+def test_html_hidden_words_and_page_forms():
+    from lexarium.llm import html_extract as op
+
+    body = "<p>It is the text of the page that all of the readers want to see, and it is long enough to be one.</p>"
+    text = body[3:-4]
+    for tag in ('class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'style="overflow: hidden" class=x', 'data-hidden="x"'):
+        assert op.main_text(f"<div {tag}><article>{body}</article></div>") == text, tag
+        assert op.main_text(f"<article {tag}>{body}</article>") == text, tag
+    assert op.main_text(f"<form action=x><div><article>{body}</article></div></form>") == text
+    assert op.main_text(f"<form><main>{body}<form>The form of the page is not for the text of it and is to be cut.</form></main></form>") == text
+    for tag in ("hidden", 'hidden=""', "HIDDEN class=x", 'style="color:red; display : none"', "aria-hidden=true", "aria-hidden='True'"):
+        assert op.main_text(f"<article>{body}<div {tag}>It is what the readers of the page are not to see at all.</div></article>") == text, tag
+        assert op.main_text(f"<form {tag}><article>{body}</article></form>") == "", tag
