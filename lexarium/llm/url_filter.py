@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +45,31 @@ def canonical_form(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path_of(url), r"(\.html)?/*$", ""))
 
 
+def resolved(url: str | None, base: str | None, target: str) -> str | None:
+    """A link target as an absolute url, by the page's url and its base element; null if it is none."""
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://", target):
+        return target
+    _, mark, rest = (url or "").partition("://")
+    try:
+        # Forms have no scheme, and only known ones are resolved against.
+        return urljoin(urljoin(f"http://{rest}", base or ""), target) if mark else None
+    except ValueError:
+        return None
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Redirect and canonical-link edges ``(a, b)`` between canonical forms, from the pages' heads.
 
-    Read from ``<link rel=canonical href=...>`` and ``<meta http-equiv=refresh content="0; url=...">``,
-    absolute targets only; null url or html give none.
+    Read from every ``<link rel=canonical href=...>`` and ``<meta http-equiv=refresh content="0; url=...">``;
+    relative targets are resolved against the page's url (and ``<base href>``); null url or html give none.
     """
-    canonical = F.regexp_extract("html", r"(?is)<link\b(?=[^>]*\brel=[\"']?canonical\b)[^>]*\bhref=[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("html", r"(?is)<meta\b(?=[^>]*\bhttp-equiv=[\"']?refresh\b)[^>]*\burl=[\"']?([^\"'\s>]+)", 1)
-    found = pages.select(canonical_form(F.col("url")).alias("a"), F.explode(F.array(canonical, refresh)).alias("to"))
+    tags = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag")
+    base = F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref=[\"']?([^\"'\s>]+)", 1).alias("base")
+    canonical = F.regexp_extract("tag", r"(?is)^<link\b(?=[^>]*\brel=[\"']?canonical\b)[^>]*\bhref=[\"']?([^\"'\s>]+)", 1)
+    refresh = F.regexp_extract("tag", r"(?is)^<meta\b(?=[^>]*\bhttp-equiv=[\"']?refresh\b)[^>]*\burl=[\"']?([^\"'\s>]+)", 1)
+    found = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", base, tags)
+    found = found.select("url", "base", F.concat(canonical, refresh).alias("target")).where("target <> ''")
+    found = found.select(canonical_form(F.col("url")).alias("a"), F.udf(resolved, "string")("url", "base", "target").alias("to"))
     return found.where("to like '%://%' and a <> ''").select("a", canonical_form(F.col("to")).alias("b")).where("a <> b")
 
 

@@ -601,3 +601,20 @@ def test_html_hidden_words_and_page_forms():
     for tag in ("hidden", 'hidden=""', "HIDDEN class=x", 'style="color:red; display : none"', "aria-hidden=true", "aria-hidden='True'"):
         assert op.main_text(f"<article>{body}<div {tag}>It is what the readers of the page are not to see at all.</div></article>") == text, tag
         assert op.main_text(f"<form {tag}><article>{body}</article></form>") == "", tag
+
+
+def test_url_filter_relative_and_several_links(spark):
+    from lexarium.llm import url_filter as op
+
+    canonical = lambda *to: "".join(f'<link rel="canonical" href="{t}">' for t in to)
+    refresh = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    rows = [
+        ("http://x.org/a", canonical("/es/3")), ("http://y.com/b/c", refresh("../en/9")), ("http://z.de/q", canonical("//w.com/en/1")),
+        ("http://z.de/two", canonical("http://z.de/other", "http://w.com/en/1")), ("http://z.de/three", refresh("/none") + refresh("http://w.com/en/1")),
+        ("http://z.de/base", '<base href="http://w.com/en/">' + canonical("1")), ("http://z.de/next", canonical("/login?to=http://w.com/en/1")),
+        ("http://z.de/mail", canonical("mailto:a@w.com")), (None, canonical("/en/1")), ("http://z.de/bad", canonical("//[x/en/1")),
+        ("http://x.org/es/3", ""), ("http://y.com/en/9", ""), ("http://w.com/en/1", ""),
+    ]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in op.filter_urls(pages).collect()}
+    assert [got[i] for i in range(len(rows))] == ["block"] * 6 + ["allow"] * 4 + ["block"] * 3
