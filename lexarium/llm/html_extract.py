@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,12 @@ STOP_WORDS = frozenset(
 )
 
 # Element names by what they do to the flow of text.
-RAW = ("script", "style", "noscript", "template", "textarea", "select", "option", "svg", "math", "iframe", "object", "head", "button")
+#: Their content is no markup and runs to the closing tag; that of a script or style without one to the page's end.
+RAW = frozenset(["script", "style", "title", "noscript", "textarea", "iframe"])
+#: Their content is no part of the text; without a closing tag only the tag itself goes.
+CUT = frozenset(["template", "select", "option", "svg", "math", "object", "button"])
+#: Elements that a page's head may hold; any other one ends it.
+HEAD = frozenset(["title", "meta", "link", "base", "script", "style", "noscript", "template"])
 BOILERPLATE = frozenset(["nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "label"])
 CONTENT = frozenset(["article", "main"])
 BLOCKS = frozenset(
@@ -47,20 +53,21 @@ NEVER = frozenset(
 #: Hints that count outside articles only: an article's own header holds its title.
 OUTSIDE_HINTS = frozenset(["header"])
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|</?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<|[^<]+",
-    re.S | re.I,
-)
+#: A class of these and a hint, as ``has-sidebar``, tells of the page around, not of the element.
+ABOUT = frozenset(["has", "with", "no", "without", "is", "not", "hide", "show"])
+
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+TAG_STOP = re.compile(r"[>\"']")
+ENDS = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+EDGES = {name: re.compile(rf"<(/?)(?:{name}\b|article\b|main\b)", re.I) for name in CUT}
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Blocks up to this many characters are short; denser links than this are bad; stop words from HIGH on are
-#: good for a block that is not short, below LOW bad.
-SHORT, LINKS, LOW, HIGH = 70, 0.33, 0.08, 0.18
+#: Blocks up to this many characters are short; denser links than this are bad (in an article than this, if
+#: the rest is running text); stop words from HIGH on are good for a block that is not short, below LOW bad.
+SHORT, LINKS, ARTICLE_LINKS, LOW, HIGH = 70, 0.33, 0.8, 0.08, 0.18
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -76,39 +83,140 @@ def hidden(rest: str) -> bool:
 
 def marked(rest: str, in_article: bool) -> int:
     """Whether a tag's class, id or role says that it holds no part of the article: 2 for sure, 1 unless one is inside."""
+    found = 0
     for m in MARKS.finditer(rest):
-        parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()))
-        if parts & HINTS or (not in_article and parts & OUTSIDE_HINTS):
-            return 2 if parts & NEVER else 1
-    return 2 if hidden(rest) else 0
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+            if parts[0] in ABOUT:
+                continue
+            if not HINTS.isdisjoint(parts) or (not in_article and not OUTSIDE_HINTS.isdisjoint(parts)):
+                found = max(found, 1 if NEVER.isdisjoint(parts) else 2)
+    return found or (2 if hidden(rest) else 0)
+
+
+def tags(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """Parts of a page: ("text", characters, "", end), ("open", name, attributes, end) and ("close", name, "", end).
+
+    Every character is looked at a bounded number of times: what is not found once (a quote, an end of a comment) is
+    not looked for again. Send an end to go on from there.
+    """
+    at, size = 0, len(page)
+    last = {c: page.rfind(c) for c in ">\"'"}
+    quotes = True
+    while at < size:
+        i = page.find("<", at)
+        if i < 0:
+            yield "text", page[at:], "", size
+            return
+        if i > at:
+            yield "text", page[at:i], "", i
+        follows = page[i + 1 : i + 2]
+        if follows in ("!", "?"):
+            for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("", ">")):
+                if page.startswith(start, i):
+                    k = page.find(stop, i + max(2, len(start)))
+                    at = size if k < 0 else k + len(stop)
+                    break
+            continue
+        closing = follows == "/"
+        name = NAME.match(page, i + 1 + closing)
+        if not name or i > last[">"]:
+            yield "text", "<", "", i + 1
+            at = i + 1
+            continue
+        k = page.find(">", name.end())
+        double, single = page.count('"', name.end(), k), page.count("'", name.end(), k)
+        # With pairs of one kind of quote the first > ends the tag; else it may stand in a value.
+        if quotes and not closing and (double % 2 or single % 2 or (double and single)):
+            p = name.end()
+            while (m := TAG_STOP.search(page, p)) and m[0] != ">":
+                # A quote opens a value only after an equals sign.
+                opens = page[: m.start()].endswith("=") if m.start() < 64 else page[m.start() - 64 : m.start()].rstrip().endswith("=")
+                if not opens:
+                    p = m.end()
+                elif m.start() >= last[m[0]]:
+                    m = None
+                    break
+                else:
+                    p = page.find(m[0], m.end()) + 1
+            if m:
+                k = m.start()
+            else:
+                quotes = False  # no tag's quotes are matched from here on
+        told = yield ("close", name[0].lower(), "", k + 1) if closing else ("open", name[0].lower(), page[name.end() : k], k + 1)
+        at = k + 1 if told is None else told
+        if told is not None:
+            yield "text", "", "", at
+
+
+def skipped(page: str, name: str, rest: str, end: int, lost: set[str]) -> int:
+    """Where the content of a cut or raw element that opens before ``end`` is over; ``end`` if it holds none."""
+    if name in lost or (name in CUT and rest.rstrip().endswith("/")):
+        return end
+    if name in RAW:
+        m = ENDS[name].search(page, end)
+        if not m and name not in ("script", "style"):
+            lost.add(name)
+            return end
+        k = page.find(">", m.end()) if m else -1
+        return len(page) if k < 0 else k + 1
+    depth, at = 1, end
+    while m := EDGES[name].search(page, at):
+        at = m.end()
+        if m[0].lower().endswith(("article", "main")) or (not m[1] and name in ("button", "select", "option")):
+            return end  # an article in it, or the next one: this one was never closed
+        depth += -1 if m[1] else 1
+        if not depth:
+            k = page.find(">", at)
+            return len(page) if k < 0 else k + 1
+    lost.add(name)
+    return end
 
 
 class Blocks:
-    """Splits a page into blocks: (text, characters inside links, boilerplate element?, container)."""
+    """Splits a page into blocks: (text, characters inside links, boilerplate 0 to 2, container)."""
 
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, bool, int]] = []
+        self.out: list[tuple[str, int, int, int]] = []
         self.parts: list[tuple[str, bool]] = []
         #: Open block elements: (name, inside boilerplate: 0 to 2, container); containers count articles, 0 is the page.
         self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        #: Names on the stack, counted from each article or main element on.
+        self.held: list[Counter[str]] = [Counter()]
         self.containers = 0
         self.links = 0
+        self.head = False
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(entities.unescape("".join(t for t, _ in self.parts)).split())
             linked = sum(len(t.strip()) for t, link in self.parts if link)
             if text:
-                self.out.append((text, linked, self.stack[-1][1] > 0, self.stack[-1][2]))
+                self.out.append((text, linked, self.stack[-1][1], self.stack[-1][2]))
             self.parts = []
 
+    def push(self, name: str, boiler: int, container: int) -> None:
+        self.stack.append((name, boiler, container))
+        if name in CONTENT:
+            self.held.append(Counter())
+        self.held[-1][name] += 1
+
+    def drop(self) -> str:
+        name = self.stack.pop()[0]
+        self.held[-1][name] -= 1
+        if name in CONTENT:
+            self.held.pop()
+        return name
+
     def pop(self, name: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == name:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in CONTENT and name not in ("body", "html"):
-                return
+        """Closes the innermost open ``name``; an article or main element is only closed by its own tag or the page's."""
+        if name in ("body", "html"):
+            if any(h[name] for h in self.held):
+                while self.drop() != name:
+                    pass
+        elif self.held[-1][name]:
+            while self.drop() != name:
+                pass
 
     def open(self, name: str, rest: str) -> None:
         if name == "br" or name == "wbr":
@@ -119,7 +227,7 @@ class Blocks:
             self.flush()
             self.links = 0
             if self.stack[-1][0] == "p" and name in CLOSES_P or name == self.stack[-1][0] == "li":
-                self.stack.pop()
+                self.drop()
             if name in VOID:
                 return
             _, boiler, container = self.stack[-1]
@@ -133,7 +241,7 @@ class Blocks:
                 boiler = max(boiler, marked(rest, bool(container)), 1) if name == "form" else 1 if name == "header" else 2
             elif boiler < 2 and name not in ("html", "body") and rest:
                 boiler = max(boiler, marked(rest, bool(container)))
-            self.stack.append((name, boiler, container))
+            self.push(name, boiler, container)
 
     def close(self, name: str) -> None:
         if name == "a":
@@ -143,44 +251,62 @@ class Blocks:
             self.links = 0
             self.pop(name)
 
-    def read(self, page: str) -> list[tuple[str, int, bool, int]]:
-        for m in TOKEN.finditer(page):
-            tag = m["tag"]
-            if tag:
-                if m[0][1] == "/":
-                    self.close(tag.lower())
+    def read(self, page: str) -> list[tuple[str, int, int, int]]:
+        lost: set[str] = set()
+        parts = tags(page)
+        part = next(parts, None)
+        while part:
+            kind, name, rest, end = part
+            go_on = None
+            if kind == "text":
+                self.head = self.head and not name.strip()
+                if name and not self.head:
+                    self.parts.append((name, self.links > 0))
+            elif kind == "close":
+                self.head = self.head and name != "head"
+                self.close(name)
+            else:
+                self.head = name == "head" or (self.head and name in HEAD)
+                if name in RAW or name in CUT:
+                    after = skipped(page, name, rest, end, lost)
+                    go_on = after if after != end else None
                 else:
-                    self.open(tag.lower(), m["rest"])
-            elif m[0][0] != "<" or m[0] == "<":
-                self.parts.append((m[0], self.links > 0))
+                    self.open(name, rest)
+            part = next(parts, None) if go_on is None else parts.send(go_on)
         self.flush()
         return self.out
 
 
-def first_pass(text: str, linked: int, boiler: bool, inside: bool) -> str:
-    """good, bad, or short (for the second pass)."""
-    if boiler or linked > LINKS * len(text):
+def first_pass(text: str, linked: int, boiler: bool, inside: bool, density: float, foreign: bool = False) -> str:
+    """good, bad, or short (for the second pass). In a ``foreign`` page stop words tell nothing."""
+    if boiler:
+        return "bad"
+    if linked > LINKS * len(text) and not (inside and linked <= ARTICLE_LINKS * len(text) and (foreign or density >= LOW)):
         return "bad"
     if len(text) <= SHORT:
         return "short"
-    words = WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= HIGH:
+    if foreign or density >= HIGH:
         return "good"
     return "bad" if density < LOW and not inside else "short"
 
 
-def main_text(page: str | None) -> str:
-    """Text of the blocks that are part of the article, joined by two line feeds.
+def kept_blocks(blocks: list[tuple[str, int, int, int]], least: int) -> list[str]:
+    """Both passes over a page's blocks; elements that boilerplate marks by ``least`` or more are no part of the article.
 
     Once a page has an article or main element, its content lies there; else all blocks compete. Blocks
     that the first pass leaves open get the label of the nearest decided block of their container (a
     tie: good only if both sides are); in an article that decides nothing they are good, in a page bad.
     """
-    blocks = Blocks().read(page or "")
     inside = any(c for *_, c in blocks)
-    blocks = [b for b in blocks if bool(b[3]) == inside]
-    labels = [first_pass(t, n, boiler, bool(c)) for t, n, boiler, c in blocks]
+    blocks = [(t, n, boiler >= least, c) for t, n, boiler, c in blocks if bool(c) == inside]
+    words = [[] if boiler else WORD.findall(t.lower()) for t, _, boiler, _ in blocks]
+    stops = [sum(w in STOP_WORDS for w in own) for own in words]
+    long = [i for i, (t, n, *_) in enumerate(blocks) if len(t) > SHORT and n <= LINKS * len(t)]
+    foreign = sum(stops[i] for i in long) < LOW * sum(len(words[i]) for i in long)
+    labels = [
+        first_pass(t, n, boiler, bool(c), stop / max(1, len(own)), foreign)
+        for (t, n, boiler, c), stop, own in zip(blocks, stops, words, strict=True)
+    ]
     # A link list or an advert within an article is cut, but decides nothing about the text around it.
     decided = [
         None if label == "short" or (label == "bad" and c) else (i, label) for i, (label, (*_, c)) in enumerate(zip(labels, blocks, strict=True))
@@ -197,12 +323,22 @@ def main_text(page: str | None) -> str:
     for i, (block, label) in enumerate(zip(blocks, labels, strict=True)):
         if label == "short":
             near = [x for x in (before[i], after[i]) if x]
-            least = min((abs(x[0] - i) for x in near), default=0)
-            told = {x[1] for x in near if abs(x[0] - i) == least}
+            least_far = min((abs(x[0] - i) for x in near), default=0)
+            told = {x[1] for x in near if abs(x[0] - i) == least_far}
             label = ("good" if block[3] else "bad") if not told else "good" if told == {"good"} else "bad"
         if label == "good":
             kept.append(block[0])
-    return "\n\n".join(kept)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """Text of the blocks that are part of the article, joined by two line feeds.
+
+    Where everything stands in elements that names mark as boilerplate, those that may hold an article do; a page
+    whose long blocks have hardly any stop words is judged by length and links alone.
+    """
+    blocks = Blocks().read(page or "")
+    return "\n\n".join(kept_blocks(blocks, 1) or kept_blocks(blocks, 2))
 
 
 def extract(pages: DataFrame) -> DataFrame:
