@@ -33,41 +33,51 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def last_split(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two parts that the rank rule joins to ``token`` at last, or None if it does not reach the token.
+
+    The rule: of all neighbours that make a token together, those of the lowest rank are joined, the leftmost first.
+    """
+    parts = [token[i : i + 1] for i in range(len(token))]
+    none = len(ranks)
+    while len(parts) > 2:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+        if rank == none:
+            return None
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
 class ByteBPE:
     """A byte-level BPE built from the text of a rank file.
 
-    The library wants merges, so every split of a token into two earlier tokens is listed by the rank of
-    the result. Where several splits of one token compete for overlapping characters (runs of one
-    character) the library may take another one than the rank file's own leftmost-first rule; each
-    distinct word is therefore compared once with the rank-file rule, which decides.
+    The library takes merges, in order, and the rank file has none: each token gets the one that the rank rule ends
+    with on the token alone (``last_split``). Wherever the rule makes a token of some bytes of a word, nothing has
+    joined these bytes with others before, so it went the same way as on the token alone: with one merge a
+    token, ranked as the token is, the library gives the rule's ids. A token that the rule never reaches
+    has none and stands only for the whole word that it is (``ignore_merges``).
     """
 
     def __init__(self, ranks_file: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import regex
-        import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.np = np
         self.alphabet = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x.strip())}
-        splits = sorted(
-            (rank, ranks[a], a, b)
-            for token, rank in ranks.items()
-            for a, b in ((token[:i], token[i:]) for i in range(1, len(token)))
-            if ranks.get(a, rank) < rank and ranks.get(b, rank) < rank
-        )
+        in_order = sorted((t for t in ranks if len(t) > 1), key=ranks.__getitem__)
+        splits = [x for x in (last_split(t, ranks) for t in in_order) if x]
         model = models.BPE(
             vocab={self.to_chars(t): r for t, r in ranks.items()},
-            merges=[(self.to_chars(a), self.to_chars(b)) for _, _, a, b in splits],
+            merges=[(self.to_chars(a), self.to_chars(b)) for a, b in splits],
             ignore_merges=True,
         )
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = regex.compile(pattern).findall
-        self.rule = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         top = max(ranks.values()) + 1
         by_id = [b""] * top
         for chars, i in self.tokenizer.get_vocab().items():
@@ -79,10 +89,8 @@ class ByteBPE:
         return "".join(self.alphabet[b] for b in token)
 
     def learn(self, words: list[str]) -> None:
-        encode = self.rule._core_bpe.encode_single_piece
         for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids, exact = e.ids, encode(word.encode())
-            self.memo[word] = self.np.array(ids if ids == exact else exact, self.np.int32).tobytes()
+            self.memo[word] = self.np.array(e.ids, self.np.int32).tobytes()
 
     def encode(self, texts: list[str]):
         """Flat int32 ids of all texts and each text's end among them."""
@@ -172,6 +180,7 @@ def digests(encoded: DataFrame, *more: str) -> DataFrame:
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("char_starts").alias("starts_xxhash64"),
         *more,
     )
 
@@ -180,4 +189,4 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+    return digests(encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, offsets=True))
