@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import rows_where, slices, table
+from lexarium.llm.common import rows_where, slices, stored, table
 
 #: Edits allowed, as a share of an item's bytes; shorter items than MIN_BYTES must occur as they are.
 EDIT_RATE, MIN_BYTES = 0.1, 24
-#: Bytes of a piece.
+#: Bytes of a piece; those of an item that is too short for one more of these than edits are shorter.
 PIECE = 8
 #: LSH: sampled places a table, walks (random functions), recall aimed at, and the share of embedded places at
 #: which a window at the edit limit still agrees with its item (measured by the tests, rounded down).
@@ -108,6 +108,34 @@ def edit_distance_within(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+class Pieces:
+    """Pieces of one size, found in a text all at once: rows (bytes as a number, item, offset in the item)."""
+
+    def __init__(self, size: int, rows: list[tuple[int, int, int]]):
+        piece, of, offset = (np.array(x, np.uint64 if k == 0 else np.int64) for k, x in enumerate(zip(*rows, strict=True)))
+        order = np.argsort(piece, kind="stable")
+        self.mask = np.uint64((1 << 8 * size) - 1)
+        self.of, self.offset = of[order], offset[order]
+        self.values, self.first, self.count = np.unique(piece[order], return_index=True, return_counts=True)
+        self.slots = np.zeros(1 << 20, bool)
+        self.slots[self.slot(self.values)] = True
+
+    @staticmethod
+    def slot(v: np.ndarray) -> np.ndarray:
+        return (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def places(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, offset) of all pieces in ``data``, the bytes from each position on as numbers."""
+        v = data & self.mask
+        at = np.flatnonzero(self.slots[self.slot(v)])
+        place = np.minimum(np.searchsorted(self.values, v[at]), len(self.values) - 1)
+        exact = self.values[place] == v[at]
+        at, place = at[exact], place[exact]
+        count = self.count[place]
+        row = np.repeat(self.first[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.repeat(at, count), self.of[row], self.offset[row]
+
+
 class Benchmark:
     """Items with the pieces that lead to their windows."""
 
@@ -122,22 +150,18 @@ class Benchmark:
                 self.items.append(item)
                 self.edits.append(int(rate * len(item)) if len(item) >= MIN_BYTES else 0)
         self.short = [k for k, x in enumerate(self.items) if len(x) < PIECE]
-        piece, of, offset = [], [], []
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         self.need = np.ones(len(self.items), np.int64)
         for k, (item, d) in enumerate(zip(self.items, self.edits, strict=True)):
-            # At least d + 1 pieces, or more of them; of m pieces m - d occur unchanged.
-            starts = range(0, len(item) - PIECE + 1, PIECE if len(item) >= (d + 1) * PIECE else max(1, len(item) // (d + 1)))
-            self.need[k] = max(1, len(starts) - d)
-            for s in starts:
-                piece.append(int.from_bytes(item[s : s + PIECE], "little"))
-                of.append(k)
-                offset.append(s)
-        order = np.argsort(np.array(piece, np.uint64), kind="stable")
-        self.piece = np.array(piece, np.uint64)[order]
-        self.of, self.offset = np.array(of, np.int64)[order], np.array(offset, np.int64)[order]
-        self.values, self.first, self.count = np.unique(self.piece, return_index=True, return_counts=True)
-        self.slots = np.zeros(1 << 20, bool)
-        self.slots[self.slot(self.values)] = True
+            if len(item) < PIECE:
+                continue
+            # At least d + 1 pieces that don't overlap, so that an edit breaks one: of m pieces m - d occur unchanged.
+            size = min(PIECE, len(item) // (d + 1))
+            starts = range(0, len(item) - size + 1, size)
+            self.need[k] = len(starts) - d
+            pieces.setdefault(size, []).extend((int.from_bytes(item[s : s + size], "little"), k, s) for s in starts)
+        #: By size of the pieces: their bytes as numbers, in order.
+        self.pieces = {size: Pieces(size, rows) for size, rows in pieces.items()}
         #: Items by length class: walks are shared by a class, sampled places lie within 3 x an item's length.
         self.top = np.array([-(-len(x) // 64) * 64 for x in self.items], np.int64)
         self.places = np.zeros((WALKS, len(self.items), TABLES, SAMPLED), np.int64)
@@ -171,30 +195,19 @@ class Benchmark:
                     hit[part[left]] |= same.all(axis=2).any(axis=1)
         return hit
 
-    @staticmethod
-    def slot(v: np.ndarray) -> np.ndarray:
-        return (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-
     def candidates(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, window start) of all windows that pieces do not rule out."""
-        none = np.empty(0, np.int64)
-        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        v = octets(data)
-        at = np.flatnonzero(self.slots[self.slot(v)])
-        if not len(at) or not len(self.values):
-            return none, none, none
-        place = np.minimum(np.searchsorted(self.values, v[at]), len(self.values) - 1)
-        exact = self.values[place] == v[at]
-        at, place = at[exact], place[exact]
-        count = self.count[place]
-        row = np.repeat(self.first[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        item, diagonal = self.of[row], np.repeat(at, count) - self.offset[row]
+        # Zeros at the end: pieces shorter than eight bytes occur up to a text's last byte.
+        data = octets(np.frombuffer(b"\0".join(texts) + bytes(PIECE), np.uint8))
+        found = [p.places(data) for p in self.pieces.values()] or [(np.empty(0, np.int64),) * 3]
+        at, item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        diagonal = at - offset
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        text = np.searchsorted(begin, np.repeat(at, count), "right") - 1
+        text = np.searchsorted(begin, at, "right") - 1
         order = np.lexsort((diagonal, item, text))
         text, item, diagonal = text[order], item[order], diagonal[order]
         # A window needs as many pieces on diagonals that lie within its edits.
-        edits = np.array(self.edits, np.int64)[item] if len(item) else none
+        edits = np.array(self.edits, np.int64)[item] if len(item) else item
         last = np.arange(len(item)) + self.need[item] - 1
         inside = last < len(item)
         far = np.minimum(last, len(item) - 1)
@@ -253,30 +266,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE)
     lower case with white space runs as one space. Returns ``doc_id, item_id, start`` (about, in bytes of that
     form), ``distance`` (smallest edit distance) and ``item_bytes``, one row for each row of ``docs`` and item. Null and
     empty texts and items match nothing; items of fewer than ``MIN_BYTES`` bytes must occur unchanged; repeated
-    rows of ``docs`` repeat their pairs, repeated items count once. A benchmark of more than ``ITEM_BLOCK`` items
-    is done in blocks, each of which a task holds.
+    rows of ``docs`` repeat their pairs, repeated items count once. Driver and tasks hold one block of about ``ITEM_BLOCK``
+    items; a larger benchmark is done block by block, each block's pairs written before the next is read.
     """
-    found = [_scan(docs, block, rate) for block in item_blocks(benchmark)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], OUT)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
-
-
-def item_blocks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The non-null items in blocks of about ``ITEM_BLOCK``."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    out = None
+    for block, more in item_blocks(benchmark):
+        found = _scan(docs, block, rate)
+        if more or out is not None:
+            found = stored(found, "benchmark-pairs")
+        out = found if out is None else out.unionAll(found)
+    return docs.sparkSession.createDataFrame([], OUT) if out is None else out
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """The non-null items in blocks of about ``ITEM_BLOCK``, read one by one, and whether another block follows."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     blocks = -(-items.count() // ITEM_BLOCK)
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
-    return [[tuple(r) for r in items.where(place == k).collect()] for k in range(blocks)]
+    for k in range(blocks):
+        yield [tuple(r) for r in items.where(place == k).collect()], k + 1 < blocks
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """Rows of ``docs``, with all columns, in which no item occurs within ``rate`` edits a byte."""
-    for block in item_blocks(benchmark):
+    """Rows of ``docs``, with all columns, in which no item occurs within ``rate`` edits a byte.
+
+    A row with a null or empty text stays; rows that repeat a text stay or go together; an empty benchmark keeps all rows.
+    """
+    for block, more in item_blocks(benchmark):
         docs = rows_where(docs, _clean(block, rate))
+        if more:
+            docs = stored(docs, "without-items")
     return docs
 
 
