@@ -2,57 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a Python worker works on at once; bounds its memory whatever the batch holds.
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexarium-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-#: Paths of the tables written inside each open ``scratch``.
-_scratch: list[list[str]] = []
-
+from lexarium.storage import scratch, shared_dir, shuffles_deleted, stored
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables that ``stored`` wrote inside: for results that were stored with ``keep``."""
-    made: list[str] = []
-    _scratch.append(made)
-    try:
-        yield
-    finally:
-        _scratch.remove(made)
-        for p in made:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["batch", "components", "rows_where", "scratch", "shared_dir", "shuffles_deleted", "slices", "stored", "table"]
 
-
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: lineage ends here.
-
-    With ``keep`` the innermost open ``scratch`` leaves it to the next outer one.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    holders = _scratch[: len(_scratch) - keep]
-    if holders:
-        holders[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Text bytes that a Python worker works on at once; bounds its memory whatever the batch holds.
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,13 +50,18 @@ def rows_where(df: DataFrame, keep) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, component)``, component = smallest node.
+    """Connected components of ``edges(a, b)`` as a stored table ``(node, component)``, component = smallest node.
 
     Alternates large-star and small-star contraction; every round pre-aggregates minima before it
     shuffles and is written to the shared folder, so a lost executor costs one round at most. The
     number of rounds grows with the logarithm of the longest path. Nulls and self-loops are ignored;
     no edges give no rows.
     """
+    with scratch(edges.sparkSession):
+        return stored(_contracted(edges), "components", keep=True)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     now = stored(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

@@ -16,22 +16,27 @@ from lexarium.llm.fingerprint import Ranges, mix
 #: Words of a shingle and the similarity from which two sets link, in hundredths.
 SHINGLE, PERCENT = 3, 90
 #: Up to this many differing features PartEnum enumerates pairs of three sub-partitions (tolerating one
-#: difference a partition); beyond, one partition more than differences, each its own signature.
+#: difference a partition); beyond, each partition is its own signature.
 ENUMERATE_UP_TO = 8
+#: Partitions for each one that the differences need: the more there are, the smaller is the share of them signed.
+SPARE = 1.2
+#: Signatures that a task holds, about, to link sets that share one before anything is shuffled.
+HELD = 1_000_000
 #: Features of a block of a cluster, about: what a group holds at most twice.
 BLOCK_FEATURES = 200_000
 SEED = np.uint64(0x5851F42D4C957F2D)
 
-DOCS = "doc_id long, th long, n_shingles int, key long, sigs array<bigint>"
+DOCS = "doc_id long, th long, n_shingles int, key long, sigs array<bigint>, ties array<bigint>"
 FEATURES = "key long, features array<bigint>"
+LINKS = "a long, b long"
 
 
 class Bands:
     """Size bands [low, high] with high = low * 100 / percent, and each band's PartEnum layout.
 
     Sets that link have sizes in one band or in two that follow each other, so a set has signatures for its own
-    band and for the next. Two linked sets of at most ``high`` features differ in at most
-    floor(2 * high * (100 - percent) / (100 + percent)) features.
+    band and for the next. Two linked sets of together m features differ in at most
+    floor(m * (100 - percent) / (100 + percent)) features.
     """
 
     def __init__(self, percent: int, largest: int):
@@ -41,14 +46,27 @@ class Bands:
             highs.append(low * 100 // percent)
             low = highs[-1] + 1
         low, high = low, low * 100 // percent
+        self.percent = percent
         self.lows = np.array([*lows, low])
         self.highs = np.array([*highs, high])
         differ = 2 * self.highs * (100 - percent) // (100 + percent)
         self.subsets = (differ > 0) & (differ <= ENUMERATE_UP_TO)
         #: Partitions: with sub-partitions one of them has at most one difference, without one has none.
-        self.parts = np.where(self.subsets, differ // 2 + 1, differ + 1)
+        self.parts = np.ceil(SPARE * (np.where(self.subsets, differ // 2, differ) + 1)).astype(np.int64)
         self.cells = self.parts * np.where(self.subsets, 3, 1)
 
+    def signed(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """How many of a band's signatures a set of each size needs: none if no set of the band links with it.
+
+        All sets of a band rank their signatures alike. Two that link share at least all but as many as their
+        differences can break; with ``total`` signatures each of which ``shared`` are common, the first
+        total - shared + 1 of either have one in common.
+        """
+        most = np.minimum(self.highs[band], sizes * 100 // self.percent)
+        differ = (sizes + most) * (100 - self.percent) // (100 + self.percent)
+        shared = self.parts[band] - np.where(self.subsets[band], differ // 2, differ)
+        return np.where((differ > 0) & (most >= self.lows[band]), self.cells[band] - shared + 1, 0)
+
 
 @lru_cache(maxsize=8)
 def bands(percent: int, largest: int) -> Bands:
@@ -100,7 +118,11 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
-    """PartEnum signatures of non-empty sets: linked sets share at least one."""
+    """PartEnum signatures of non-empty sets: different sets that link share at least one.
+
+    Of a set's signatures those of the most features come first (equal ones by value), and only as many are given
+    as linked sets need to share one: what a few features decide, as an empty partition, is left out.
+    """
     if not sets:
         return []
     sizes = np.array([len(s) for s in sets])
@@ -114,19 +136,26 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarra
     of = np.repeat(np.arange(len(sets)), sizes)
     for step in (0, 1):
         band = own + step
+        need = layout.signed(sizes, band)
         cells = layout.cells[band]
         base = np.cumsum(cells) - cells
         cell = base[of] + (place * cells[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         total = int(cells.sum())
         # Sums modulo 2**64 of the features' values by cell; either half stays exact in a double.
         sums = np.bincount(cell, low, total).astype(np.uint64) + (np.bincount(cell, high, total).astype(np.uint64) << np.uint64(32))
+        count = np.bincount(cell, minlength=total)
         number = (np.arange(total) - np.repeat(base, cells)).astype(np.uint64)
         tag = mix(np.repeat(band, cells).astype(np.uint64) * np.uint64(1 << 32) + number)
         triple = np.repeat(layout.subsets[band], cells)
         # A subset of two of three sub-partitions is named by the one that it leaves out.
         group = np.flatnonzero(triple).reshape(-1, 3)
         sums[group] = sums[group].sum(axis=1, dtype=np.uint64)[:, None] - sums[group]
-        for i, s in enumerate(np.split(mix(sums ^ tag).view(np.int64), base[1:])):
+        count[group] = count[group].sum(axis=1)[:, None] - count[group]
+        sigs = mix(sums ^ tag)
+        owner = np.repeat(np.arange(len(sets)), cells)
+        order = np.lexsort((sigs, -count, owner))
+        chosen = order[np.arange(total) - np.repeat(base, cells) < need[owner]]
+        for i, s in enumerate(np.split(sigs[chosen].view(np.int64), np.cumsum(need)[:-1])):
             out[i].append(s)
     return [np.concatenate(x) for x in out]
 
@@ -138,11 +167,46 @@ def lists(parts: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()), mask=mask)
 
 
+def tied(sigs: list[np.ndarray], keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each set's signatures that no set before it has, and the keys of the sets that are the first with the others."""
+    of = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
+    flat = np.concatenate(sigs)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if len(flat) else np.empty(0, bool)
+    first = np.empty(len(flat), np.int64)
+    first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(flat) else order
+    fresh = first == np.arange(len(flat))
+    ends = np.cumsum([len(s) for s in sigs])[:-1]
+    own = [s[f] for s, f in zip(sigs, np.split(fresh, ends), strict=True)]
+    others = [np.unique(keys[of[x[~f]]]) for x, f in zip(np.split(first, ends), np.split(fresh, ends), strict=True)]
+    return own, others
+
+
 def sets_of(size: int, percent: int):
-    """Every row's set size and key; signatures with the first row of each set that a task sees."""
+    """Every row's set size and key; signatures and ties with the first row of each set that a task sees.
+
+    A signature that many sets share leaves a task once for about ``HELD`` signatures; the other sets are tied to the
+    one that carries it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple] = []
+        count = 0
+
+        def given() -> pa.RecordBatch:
+            ids, th, sizes, keys, sigs = (
+                [x for part in column for x in part] if k else pa.concat_arrays(list(column))
+                for k, column in zip((0, 0, 1, 1, 1), zip(*held, strict=True), strict=True)
+            )
+            some = [k for k, x in enumerate(sigs) if x is not None]
+            own, others = tied([sigs[k] for k in some], np.array([keys[k] for k in some], np.int64)) if some else ([], [])
+            ties: list[np.ndarray | None] = [None] * len(sigs)
+            for k, x, y in zip(some, own, others, strict=True):
+                sigs[k], ties[k] = x, y
+            arrays = [ids, th, pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), lists(sigs), lists(ties)]
+            return pa.record_batch(arrays, names=["doc_id", "th", "n_shingles", "key", "sigs", "ties"])
+
         for b in batches:
             ids, th, texts = b.column("doc_id"), b.column("th"), b.column("text").to_pylist()
             for i, j in slices(texts):
@@ -156,16 +220,15 @@ def sets_of(size: int, percent: int):
                 sigs: list[np.ndarray | None] = [None] * (j - i)
                 for k, s in zip(fresh, signatures([sets[k] for k in fresh], percent), strict=True):
                     sigs[k] = s
-                yield pa.record_batch(
-                    [
-                        ids.slice(i, j - i),
-                        th.slice(i, j - i),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([k if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.int64()),
-                        lists(sigs),
-                    ],
-                    names=["doc_id", "th", "n_shingles", "key", "sigs"],
-                )
+                    count += len(s)
+                count += j - i
+                keys = [k if len(s) else None for k, s in zip(keys, sets, strict=True)]
+                held.append((ids.slice(i, j - i), th.slice(i, j - i), [len(s) for s in sets], keys, sigs))
+                if count > HELD:
+                    yield given()
+                    held, count = [], 0
+        if held:
+            yield given()
 
     return run
 
@@ -187,11 +250,12 @@ def features_of(size: int):
     return run
 
 
-def links_within(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def links_within(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all pairs (one of ``left``, one of ``right``) that link: a spanning forest of them.
 
-    Exact: a pair is passed over if it is connected already, if the sizes rule it out, or if the parities of
-    the features' counts by bin already differ more often than the two sets may.
+    Exact: a pair is passed over if it is connected already (``parts`` says which sets are from the start), if the
+    sizes rule it out, or if the parities of the features' counts by bin already differ more often than the
+    two sets may.
     """
     sizes = np.array([len(x) for x in sets])
     bins = 1 << max(6, int(2 * sizes.max() - 1).bit_length())
@@ -205,7 +269,7 @@ def links_within(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
         part = slice(starts[i], starts[j])
         counts = np.bincount((of[part] - i) * bins + at[part], minlength=(j - i) * bins)
         odd[i:j] = np.packbits((counts & 1).astype(np.uint8).reshape(j - i, bins), axis=1).view(np.uint64)
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if parts is None else np.unique(parts, return_inverse=True)[1]
     out = []
     sizes_right = sizes[right]
     for x in left:
@@ -235,62 +299,113 @@ def compared(percent: int):
         group = None
 
         def close() -> list[tuple[int, int]]:
-            keys = np.array([k for k, _, _ in held])
-            block = np.array([b for _, b, _ in held])
+            keys, block, parts = (np.array([h[k] for h in held]) for k in range(3))
             some = np.arange(len(held))
             left, right = (some, some) if group[1] == group[2] else (some[block == group[1]], some[block == group[2]])
-            return links_within(keys, [x for _, _, x in held], left, right, percent) if len(left) and len(right) else []
+            return links_within(keys, [h[3] for h in held], left, right, percent, parts) if len(left) and len(right) else []
+
+        def given(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
             found = []
             sets = b.column("features")
             values, offsets = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
-            rows = zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "key", "block")), strict=True)
-            for r, (*own, key, block) in enumerate(rows):
+            rows = zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "key", "block", "part")), strict=True)
+            for r, (*own, key, block, part) in enumerate(rows):
                 if own != group:
                     found += close() if held else []
                     group, held = own, []
-                held.append((key, block, np.array(values[offsets[r] : offsets[r + 1]])))
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                held.append((key, block, part, np.array(values[offsets[r] : offsets[r + 1]])))
+            yield given(found)
         if held:
-            found = close()
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            yield given(close())
 
     return run
 
 
+def within_groups(groups: DataFrame, percent: int) -> DataFrame:
+    """Links found in each group of rows ``(cluster, i, j, key, block, part, features)``."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.select("cluster", "i", "j", "key", "block", "part", "features").repartition(n, "cluster", "i", "j")
+    return groups.sortWithinPartitions("cluster", "i", "j", "key").mapInArrow(compared(percent), LINKS)
+
+
+def dealt(members: DataFrame, by: list[str], block: str, parts: str) -> DataFrame:
+    """``members(cluster, key, n, ...)`` with a block number for about every ``BLOCK_FEATURES`` of those alike in ``by``."""
+    parted = members.groupBy(*by).agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias(parts))
+    return members.join(parted, by).withColumn(block, F.pmod(F.xxhash64("key"), F.col(parts)).cast("int"))
+
+
+def pair(first: str, second: str) -> list:
+    return [F.least(first, second).alias("i"), F.greatest(first, second).alias("j")]
+
+
+def links_of(members: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that connect every two sets of a cluster that link; ``members(cluster, key, n)``.
+
+    1. A cluster is dealt into blocks; sets are compared within each block.
+    2. In a cluster of several blocks the first set of each group found so far stands for it; those are compared
+       across all blocks.
+    3. What is not in the cluster's largest group by now is compared with the sets of all blocks, and the
+       largest group's sets, which are connected, only with that: near copies cost what they are, not their square.
+    """
+    blocks = dealt(members, ["cluster"], "block", "blocks")
+    blocks = stored(blocks.join(features, "key"), "cluster-blocks")
+    alone = blocks.withColumn("part", F.col("key")).withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    links = stored(within_groups(alone, percent), "links")
+    large = blocks.where("blocks > 1").drop("block")
+    if large.isEmpty():
+        return links
+
+    def parted() -> DataFrame:
+        found = components(links).select(F.col("node").alias("key"), F.col("component").alias("part"))
+        return large.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
+
+    # 2: one set of each group; every two blocks of them meet
+    first = dealt(parted().where("part = key").drop("blocks"), ["cluster"], "block", "blocks")
+    across = first.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    links = stored(links.union(within_groups(across.select("*", *pair("block", "other")), percent)), "links")
+    # 3: what is outside the largest group, against everything
+    now = stored(parted().drop("blocks"), "cluster-parts")
+    sizes = now.groupBy("cluster", "part").agg(F.sum("n").alias("total"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("total", "part")).alias("most"))
+    now = now.join(largest.select("cluster", F.col("most.part").alias("largest")), "cluster")
+    now = now.withColumn("outside", F.col("part") != F.col("largest")).drop("largest")
+    counts = now.groupBy("cluster").agg(
+        F.ceil(F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)) / BLOCK_FEATURES).cast("int").alias("outer"),
+        F.ceil(F.sum(F.when(F.col("outside"), 0).otherwise(F.col("n"))) / BLOCK_FEATURES).cast("int").alias("inner"),
+    )
+    now = now.join(counts.where("outer > 0"), "cluster")
+    # Blocks 0 to outer - 1 hold what is outside, the next ones the largest group.
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("key"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("key"), F.col("inner")))
+    reach = F.when(F.col("outside"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
+    across = now.withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), reach - 1)))
+    return stored(links.union(within_groups(across.select("*", *pair("block", "other")), percent)), "links")
+
+
 def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Sets of all documents, and the components of distinct sets that link.
 
     Returns ``(doc_id, n_shingles, key)`` by document (key null for an empty set) and ``(key, component)`` for the
-    sets that link with another. Sets that share signatures, directly or by others, form clusters; a
-    cluster is dealt into blocks of bounded size, and every two blocks are compared in one group, exactly,
-    with a spanning forest of the links as the result, so no pairs are ever listed.
+    sets that link with another. Sets that share signatures, directly or by others, form clusters, in which
+    ``links_of`` compares them, exactly; no pairs are ever listed.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     sets = stored(rows.mapInArrow(sets_of(size, percent), DOCS), "shingle-sets")
     signed = sets.where("sigs is not null").select("key", F.explode("sigs").alias("sig"))
     low = F.min("key").over(Window.partitionBy("sig"))
-    stars = signed.withColumn("low", low).where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    clusters = stored(components(stored(stars, "signature-stars")), "clusters")
+    stars = signed.withColumn("low", low).where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    ties = sets.where("size(ties) > 0").select("key", F.explode("ties").alias("b"))
+    clusters = components(stored(stars.union(ties).distinct(), "signature-stars"))
+    # One row a set before any join, so that a set that many documents share meets no task as a group.
+    members = sets.where("key is not null").groupBy("key").agg(F.min("th").alias("th"), F.first("n_shingles").alias("n"))
+    members = stored(members.join(clusters.withColumnRenamed("node", "key"), "key").withColumnRenamed("component", "cluster"), "cluster-members")
     # Texts of the sets in question: one for each, found again by its hash.
-    members = sets.select("key", "th", "n_shingles").join(clusters, F.col("key") == F.col("node"))
-    members = members.groupBy("key", "component").agg(F.min("th").alias("th"), F.first("n_shingles").alias("n"))
     texts = rows.select("th", "text").join(members.select("th").distinct(), "th", "left_semi")
     features = texts.mapInArrow(features_of(size), FEATURES).dropDuplicates(["key"])
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "component").select("key", F.col("component").alias("cluster"), "blocks")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(features, "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    groups = dealt.select("cluster", "key", "block", "features", other)
-    groups = groups.select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "features"
-    )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key")
-    links = stored(groups.mapInArrow(compared(percent), "a long, b long"), "links")
-    found = components(links)
-    return sets.select("doc_id", "n_shingles", "key"), found.select(F.col("node").alias("key"), "component")
+    links = links_of(members.select("cluster", "key", "n"), features, percent)
+    return sets.select("doc_id", "n_shingles", "key"), components(links).select(F.col("node").alias("key"), "component")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -301,15 +416,18 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     stand alone. Equal sets always link. Repeated rows are kept; an empty table gives no rows. Sets are told
     apart by 64-bit keys.
     """
-    sets, groups = similar_sets(docs, size, percent)
-    # By distinct set first, so a set that many documents share is one row until the last join.
-    own = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    own = own.join(groups, "key", "left")
-    told = own.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("low").alias("component_id"), F.sum("n").alias("total"))
-    many = own.select("key", F.coalesce("component", "key").alias("c")).join(told.where("total > 1"), "c").select("key", "component_id")
-    return sets.join(many, "key", "left").select(
-        "doc_id", F.col("n_shingles").cast("long"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    size_of = F.col("n_shingles").cast("long").alias("n_shingles")
+    with scratch(docs.sparkSession):
+        sets, groups = similar_sets(docs, size, percent)
+        # By distinct set first, so a set that many documents share is one row until the last join.
+        own = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+        own = own.join(groups, "key", "left")
+        told = own.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("low").alias("component_id"), F.sum("n").alias("total"))
+        many = own.select("key", F.coalesce("component", "key").alias("c")).join(told.where("total > 1"), "c")
+        linked = sets.where("key is not null").join(many.select("key", "component_id"), "key", "left")
+        linked = linked.select("doc_id", size_of, F.coalesce("component_id", "doc_id").alias("component_id"))
+        alone = sets.where("key is null").select("doc_id", size_of, F.col("doc_id").alias("component_id"))
+        return stored(linked.union(alone), "jaccard-components", keep=True)
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
