@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,31 @@ def parse(c: Column) -> Column:
     return F.coalesce(parse_iso(c), *[F.try_to_timestamp(c, F.lit(f)) for f in FORMATS])
 
 
+def parse_datetime_like(c: Column) -> Column:
+    """ISO as ``yyyy-MM-dd HH:mm:ss`` in UTC, a date with day first as an ISO date; what does not parse stays as it is, blank ones are null."""
+    trimmed = F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    iso_date = F.when(F.regexp_like(trimmed, F.lit(r"^\d{4}-\d{2}-\d{2}$")), trimmed.try_cast("date")).cast("timestamp")
+    day_first = F.when(F.regexp_like(trimmed, F.lit(r"^\d{1,2}/\d{1,2}/\d{4}$")), F.date_format(F.try_to_timestamp(trimmed, F.lit("d/M/yyyy")), "yyyy-MM-dd"))
+    full = F.date_format(F.coalesce(parse_iso(trimmed), iso_date, F.try_to_timestamp(trimmed, F.lit("d/M/yyyy HH:mm:ss"))), FORMATS[0])
+    return F.coalesce(full, day_first, trimmed)
+
+
+def filter_date(value: str | None, name: str = "date") -> date | None:
+    """A request's date: ``yyyy-MM-dd``, ``dd/MM/yyyy`` or an ISO time; blank is none, anything else an error."""
+    raw = (value or "").strip()
+    if not raw:
+        return None
+    for form in ("%Y-%m-%d", "%d/%m/%Y"):
+        try:
+            return datetime.strptime(raw, form).date()
+        except ValueError:
+            pass
+    try:
+        return datetime.fromisoformat(raw.replace("Z", "+00:00")).date()
+    except ValueError:
+        raise ValueError(f"invalid {name}: use YYYY-MM-DD, DD/MM/YYYY or an ISO datetime") from None
+
+
 def parse_last_updated(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in FORMATS[:2]])
 

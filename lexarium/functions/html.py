@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +21,13 @@ MENU_PATTERNS = (
     r"(?i)^\s*(download|related software|installation guide)\s*$",
     r"(?i)^\s*(mailing lists|support and training|troubleshooting)\s*$",
 )
-#: Entities by name, ``&amp;`` last so that nothing is decoded twice.
+#: The most frequent references, which need no look in the table of all; ``&amp;`` last, for plain replacement.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
     ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 )
 
+# What is cut, and where lines break.
 CUTS = tuple(rf"(?is)<{e}\b[^>]*>.*?</{e}>" for e in CUT_ELEMENTS) + tuple(
     rf"(?is)<{e}\b[^>]*class=[\"'][^\"']*{c}[^\"']*[\"'][^>]*>.*?</{e}>" for e, c in CUT_CLASSES
 )
@@ -35,10 +40,50 @@ BREAKS = (
 )
 
 
+@lru_cache(maxsize=1)
+def references() -> tuple[str, str, str]:
+    """(JSON of all named references, a pattern for those that need no semicolon, JSON of numbers that stand for others)."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    numbers = {str(n): "" for n in (*range(1, 9), 0xB, *range(0xE, 0x20), *range(0x7F, 0xA0), *range(0xFDD0, 0xFDF0))}
+    numbers |= {str(n + plane): "" for n in (0xFFFE, 0xFFFF) for plane in range(0, 0x110000, 0x10000)}
+    numbers |= {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {"0": "\ufffd", "13": "\r"}
+    return json.dumps(html5), "^(?:" + "|".join(bare) + ")", json.dumps(numbers)
+
+
+def _numeric(x: Column) -> Column:
+    """A piece that starts with a numeric reference, without its ampersand."""
+    whole = F.regexp_extract(x, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    hexadecimal = F.regexp_extract(whole, r"^#[xX]0*([0-9a-fA-F]+)", 1)
+    decimal = F.regexp_extract(whole, r"^#0*([0-9]+)", 1)
+    number = F.when(F.length(hexadecimal) > 7, 0x110000).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
+    number = number.when(F.length(decimal) > 8, 0x110000).otherwise(decimal.try_cast("int"))
+    odd = F.try_element_at(F.from_json(F.lit(references()[2]), "map<string,string>"), number.cast("string"))
+    none = number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    char = F.when(odd.isNotNull(), odd).when(none, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return F.when(whole == "", F.concat(F.lit("&"), x)).otherwise(F.concat(char, F.substr(x, F.length(whole) + 1)))
+
+
+def _named(x: Column) -> Column:
+    """A piece that starts with a name: the whole name's character, else that of the longest beginning that needs no semicolon."""
+    names, bare, _ = references()
+    table = F.from_json(F.lit(names), "map<string,string>")
+    whole, begin = F.regexp_extract(x, r"^[A-Za-z0-9]{1,31};", 0), F.regexp_extract(x, bare, 0)
+    told = lambda name: F.concat(F.try_element_at(table, name), F.substr(x, F.length(name) + 1))
+    return F.coalesce(F.when(whole != "", told(whole)), F.when(begin != "", told(begin)), F.concat(F.lit("&"), x))
+
+
 def unescape(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references decoded, named and numeric ones, each once: what a decoded one leaves is not read again."""
+
+    def decoded(x: Column) -> Column:
+        out = F.when(F.startswith(x, F.lit("#")), _numeric(x))
+        for name, char in ENTITIES:
+            if name[1] != "#":
+                out = out.when(F.startswith(x, F.lit(name[1:])), F.concat(F.lit(char), F.substr(x, F.lit(len(name)))))
+        return out.otherwise(_named(x))
+
+    pieces = F.transform(F.split(c, "&"), lambda x, i: F.when(i == 0, x).otherwise(decoded(x)))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
 def body(c: Column) -> Column:

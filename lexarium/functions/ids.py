@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexarium.functions.text import collapse, strip, unaccent
+from lexarium.functions.text import collapse, normalize, strip, unaccent
 
 # Departments and the names that stand for them.
 DEPARTMENTS = ("aplicaciones", "sistemas", "bigdata", "general", "comunicaciones", "slurm")
@@ -84,6 +84,14 @@ def conversation_id(link: Column) -> Column:
     return F.concat(F.lit("conv_"), F.coalesce(number, F.substring(F.sha1(F.coalesce(link, F.lit("")).cast("binary")), 1, 10)))
 
 
+def stable_conversation_id(conversation: Column, source: Column, text: Column) -> Column:
+    """The given id, else that of the ticket in the source, else one by source and text."""
+    number = F.nullif(F.regexp_extract(source, r"id=(\d+)", 1), F.lit(""))
+    seed = F.concat(F.coalesce(strip(source), F.lit("")), F.lit("|"), normalize(F.coalesce(text, F.lit(""))))
+    made = F.coalesce(number, F.substring(F.sha1(seed.cast("binary")), 1, 12))
+    return F.coalesce(blank_to_null(conversation), F.concat(F.lit("conv_"), made))
+
+
 def page_ids(source: Column, page: Column) -> Column:
     """Struct (doc_id, conversation_id, anchor) of a page of a document."""
     h = F.substring(F.sha1(source.cast("binary")), 1, 12)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,13 +22,17 @@ TECHNICAL = (
 TOKEN = r"[a-z0-9_./+\\-]+"
 
 
+#: What ``\\s`` matches.
+WHITE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalize(c: Column) -> Column:
     """Carriage returns as line feeds, blanks collapsed, at most one empty line, no space at the ends."""
-    c = F.regexp_replace(F.translate(c, "\r", "\n"), r"[ \t]+", " ")
+    c = F.regexp_replace(F.replace(c, F.lit("\r"), F.lit("\n")), r"[ \t]+", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
@@ -52,18 +58,37 @@ def tidy_phrase(c: Column) -> Column:
     return normalize(F.regexp_replace(c, r"^\s*[,.;:!?-]+\s*", ""))
 
 
-def accent_pairs() -> tuple[str, str]:
-    """Lower-case letters below U+0250 that decompose to a base letter and marks, with their base letters."""
-    pairs = [(chr(p), unicodedata.normalize("NFD", chr(p))[0]) for p in range(0xC0, 0x250) if chr(p) == chr(p).lower()]
-    pairs = [(a, b) for a, b in pairs if a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def classes(chars) -> str:
+    """A character class of ``chars``, as ranges."""
+    have = {ord(c) for c in chars}
+    starts, ends = (sorted(p for p in have if p + step not in have) for step in (-1, 1))
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
 
+@lru_cache(maxsize=1)
+def folds() -> tuple[str, str, str, str]:
+    """What compatibility decomposition without marks makes of lower-case characters, by the interpreter's tables.
 
-ACCENTED, PLAIN = accent_pairs()
+    (characters that become another one and then those that become none, what the former become, JSON of those that become
+    several, a pattern for the latter). Hangul syllables stay whole.
+    """
+    single, several = {}, {}
+    for p in (p for p in range(0xA0, 0x30000) if not 0xAC00 <= p < 0xE000):
+        c = chr(p)
+        to = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if to != c == c.lower():
+            (single if len(to) < 2 else several)[c] = to
+    gone = "".join(a for a, b in single.items() if not b)
+    return "".join(a for a, b in single.items() if b) + gone, "".join(single.values()), json.dumps(several), classes(several)
 
 
 def unaccent(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Lower-case letters without marks, compatibility characters as plain ones."""
+    given, to, several, spread = folds()
+    many = F.from_json(F.lit(several), "map<string,string>")
+    plain = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
+    c = F.when(F.regexp_like(c, F.lit(spread)), plain).otherwise(c)
+    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), F.translate(c, given, to)).otherwise(c)
 
 
 def fold(c: Column) -> Column:
@@ -72,7 +97,8 @@ def fold(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
+    """Words of the folded text; white space is no part of them, so it is not normalised first."""
+    return F.regexp_extract_all(unaccent(F.lower(c)), F.lit(TOKEN), F.lit(0))
 
 
 def first_line(c: Column) -> Column:
