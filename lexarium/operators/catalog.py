@@ -42,7 +42,10 @@ def entries(rows: DataFrame) -> DataFrame:
         F.coalesce(F.min_by("_source", F.when(F.col("_source").isNotNull(), F.col("position"))), F.lit("")).alias("source"),
         F.min_by("_title", F.struct("_rank", "position")).alias("title"),
         F.max("last_updated").alias("last_updated"),
-        F.max_by("ingest_job_id", F.struct("ingested_at", -F.col("position"))).alias("ingest_job_id"),
+        F.coalesce(
+            F.max_by("ingest_job_id", F.when(F.col("ingested_at").isNotNull(), F.struct("ingested_at", -F.col("position")))),
+            F.min_by("ingest_job_id", F.when(F.col("ingest_job_id").isNotNull(), F.col("position"))),
+        ).alias("ingest_job_id"),
         F.max("ingested_at").alias("ingested_at"),
     )
     ident = F.substring(F.sha1(F.concat_ws("|", "type", "department", "identity").cast("binary")), 1, 16)
@@ -85,22 +88,55 @@ def overview(items: DataFrame) -> DataFrame:
     )
 
 
+def overview_buckets(items: DataFrame, limit: int = 6) -> DataFrame:
+    """``limit`` rows a type in their order, with each type's total: web sources by host, PDF files and tickets one by one.
+
+    Web sources come by documents, chunks and label, the others by newest ingestion and update.
+    """
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    none = F.lit(None).cast("string")
+    web = overview(items).select(
+        F.lit("web").alias("source_type"), "label", F.col("documents").alias("total_documents"), F.col("chunks").alias("total_chunks"),
+        F.col("departments").alias("department_count"), "last_updated", none.alias("catalog_id"),
+        F.row_number().over(Window.orderBy(F.desc("documents"), F.desc("chunks"), F.lower("label"))).alias("place"),
+    )
+    newest_first = Window.partitionBy("source_type").orderBy(
+        F.desc_nulls_last("ingested_at"), F.desc_nulls_last("last_updated"), F.desc(F.lower(F.coalesce("title", "source"))), F.desc("catalog_id")
+    )
+    single = items.where(F.col("source_type").isin("pdf", "ticket")).select(
+        "source_type", F.coalesce("title", F.nullif("source", F.lit("")), "source_type").alias("label"), F.lit(1).cast("bigint").alias("total_documents"),
+        F.col("chunk_count").alias("total_chunks"), F.lit(1).cast("bigint").alias("department_count"), "last_updated", "catalog_id",
+        F.row_number().over(newest_first).alias("place"),
+    )
+    every = web.unionByName(single)
+    totals = every.groupBy("source_type").agg(F.count("*").alias("total"))
+    return every.where(F.col("place") <= limit).join(totals, "source_type")
+
+
+def lookup(items: DataFrame, catalog_id: str) -> DataFrame:
+    """The entry of an id; no rows if there is none."""
+    return items.where(F.col("catalog_id") == catalog_id)
+
+
 def newest(items: DataFrame, kind: str, limit: int) -> DataFrame:
     order = Window.orderBy(F.desc_nulls_last("last_updated"), "catalog_id")
     top = items.where(F.col("source_type") == kind).orderBy(F.desc_nulls_last("last_updated"), "catalog_id").limit(limit)
     return top.withColumn("place", F.row_number().over(order))
 
 
+def tree_label() -> Column:
+    return F.when(F.col("source_type") == "ticket", "tickets").otherwise(F.coalesce(F.regexp_replace("host", r"^www\.", ""), F.nullif("source", F.lit("")), "catalog_id"))
+
+
 def tree(items: DataFrame) -> DataFrame:
     """Groups by host without ``www.`` (tickets in one group), with counts by type."""
-    label = F.when(F.col("source_type") == "ticket", "tickets").otherwise(F.coalesce(F.regexp_replace("host", r"^www\.", ""), F.nullif("source", F.lit("")), "catalog_id"))
-    return items.withColumn("grp", label).groupBy("grp").agg(
+    return items.withColumn("grp", tree_label()).groupBy("grp").agg(
         *[F.count_if(F.col("source_type") == t).alias(f"{t}_count") for t in TYPES], F.sum("chunk_count").alias("chunks"), F.count("*").alias("children")
     )
 
 
 def tree_children(items: DataFrame) -> DataFrame:
-    """``tree`` with the entries of each group as a sorted array."""
-    label = F.when(F.col("source_type") == "ticket", "tickets").otherwise(F.coalesce(F.regexp_replace("host", r"^www\.", ""), F.nullif("source", F.lit("")), "catalog_id"))
-    kids = F.array_sort(F.collect_list(F.struct(F.lower(F.coalesce("title", "source")).alias("key"), "catalog_id", "title", "source", "chunk_count")))
-    return items.withColumn("grp", label).groupBy("grp").agg(kids.alias("children"))
+    """The entries with their group and their place in it, by title: a group's children as rows, so that no group is one value."""
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.lower(F.coalesce("title", "source")), "catalog_id"))
+    return items.withColumn("grp", tree_label()).select("grp", place.alias("place"), "catalog_id", "source_type", "title", "source", "chunk_count")

@@ -76,6 +76,16 @@ DROP_LINES = (
     r"(?i)^-----Original Message-----",
     r"(?i)^-----Mensaje original-----",
 )
+#: What breaks or leaves a comment's HTML, in order, and what stands there instead.
+COMMENT_BREAKS = (
+    (r"(?is)<\s*(?:br\s*/?|/p|/div|/li|/tr|/ul|/ol|/table|hr)\s*>|<\s*(?:p|div|li|tr|ul|ol|table)\b[^>]*>", "\n"),
+    (r"(?is)<[^>]+>", " "),
+    (r"(?i)([.!?])\s+(saludos,?|un saludo,?|best regards,?|kind regards,?)\b", "$1\n$2"),
+    (r"(?i)\s+--\s+(?=[A-ZÁÉÍÓÚÑ_])", "\n--\n"),
+    (r"(?i)\s+(?=(?:tel\.?|phone|fax|e-?mail)\b)", "\n"),
+)
+DOWNLOAD_REPLY = ("escribiu:\n", "escribio:\n", "wrote:\n", "de: ", "from: ")
+DOWNLOAD_CREATE = ("* descripcion:",)
 SIGNATURE_HINT = r"(?i)(aviso de confidencialidad)"
 SEPARATOR_NOISE = r"[\\/]{5,}|[_-]{6,}"
 
@@ -118,50 +128,129 @@ def total_count(c: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
+def replaced(c: Column, patterns: tuple[str, ...], to: tuple[str, ...] | str = " ") -> Column:
+    """Struct (text, n): the patterns replaced one after the other, and how often."""
+
+    def step(p: str, shown: str):
+        return lambda x: F.struct(F.regexp_replace(x["text"], p, shown).alias("text"), (x["n"] + F.regexp_count(x["text"], F.lit(p))).alias("n"))
+
+    state = F.struct(c.alias("text"), F.lit(0).alias("n"))
+    for p, shown in zip(patterns, (to,) * len(patterns) if isinstance(to, str) else to, strict=True):
+        state = let(state, step(p, shown))
+    return state
+
+
+def reply_trims(c: Column, create_markers: tuple[str, ...] = CREATE_MARKERS) -> Column:
+    """Struct (text, quote_reply, create_header, rt_url_line, separator_line).
+
+    The text is without quoted tails (the marker's own line goes too), form heads, ticket url lines and separators; the
+    others count what was cut.
+    """
+
+    def cut(m: str, part: int, edge: str, counts: tuple[int, int]):
+        def step(x: Column) -> Column:
+            has = F.contains(x["text"], F.lit(m))
+            return F.struct(
+                F.when(has, F.regexp_replace(F.substring_index(x["text"], m, part), edge, "")).otherwise(x["text"]).alias("text"),
+                (x["quote_reply"] + has.cast("int") * counts[0]).alias("quote_reply"),
+                (x["create_header"] + has.cast("int") * counts[1]).alias("create_header"),
+            )
+
+        return step
+
+    def lines(x: Column) -> Column:
+        bare = F.regexp_replace(x["text"], TICKET_URL_LINE, "")
+        return F.struct(
+            normalize(F.regexp_replace(bare, SEPARATOR_LINE, "")).alias("text"), x["quote_reply"].alias("quote_reply"), x["create_header"].alias("create_header"),
+            F.regexp_count(x["text"], F.lit(TICKET_URL_LINE)).alias("rt_url_line"), F.regexp_count(bare, F.lit(SEPARATOR_LINE)).alias("separator_line"),
+        )
+
+    state = F.struct(c.alias("text"), F.lit(0).alias("quote_reply"), F.lit(0).alias("create_header"))
+    for m in REPLY_MARKERS:
+        state = let(state, cut(m, 1, r"\n?[^\n]*\z", (1, 0)))
+    for m in create_markers:
+        state = let(state, cut(m, -1, r"\A[^\n]*\n?", (0, 1)))
+    return let(state, lines)
+
+
 def trim_replies(c: Column, create_markers: tuple[str, ...] = CREATE_MARKERS) -> Column:
-    """Without quoted tails (the marker's own line goes too), form heads, ticket url lines and separators."""
+    return reply_trims(c, create_markers)["text"]
+
+
+def downloaded(c: Column, ticket: Column, markers: tuple[str, ...] = DOWNLOAD_REPLY, create_markers: tuple[str, ...] = DOWNLOAD_CREATE, base: str = "") -> Column:
+    """A message as the ticket system gives it: cut at the first reply marker in any case that does not start it, form heads and
+    the link to its own ticket (below ``base``) and separator lines gone."""
+
     def before(m: str):
-        return lambda x: F.when(F.contains(x, F.lit(m)), F.regexp_replace(F.substring_index(x, m, 1), r"\n?[^\n]*\z", "")).otherwise(x)
+        return lambda x: F.when(F.locate(m, F.lower(x)) > 1, F.substr(x, F.lit(1), F.locate(m, F.lower(x)) - 1)).otherwise(x)
 
     def after(m: str):
-        return lambda x: F.when(F.contains(x, F.lit(m)), F.regexp_replace(F.substring_index(x, m, -1), r"\A[^\n]*\n?", "")).otherwise(x)
+        def step(x: Column) -> Column:
+            at = F.locate(m, F.lower(x))
+            tail = F.ltrim(F.substr(x, at + len(m)), F.lit("\n "))
+            return F.when((at > 0) & (tail != ""), tail).otherwise(x)
+
+        return step
 
-    for step in (*map(before, REPLY_MARKERS), *map(after, create_markers)):
+    c = F.replace(F.replace(html.unescape(F.coalesce(c, F.lit(""))), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    for step in (*map(before, markers), *map(after, create_markers)):
         c = let(c, step)
-    return normalize(F.regexp_replace(F.regexp_replace(c, TICKET_URL_LINE, ""), SEPARATOR_LINE, ""))
+    if base:
+        c = F.replace(c, F.concat(F.lit(f"\n<URL: {base}/Ticket/Display.html?id="), ticket.cast("string"), F.lit(" >\n\n")), F.lit(""))
+    return strip(F.regexp_replace(F.regexp_replace(c, SEPARATOR_LINE, ""), r"\n{3,}", "\n\n"))
 
 
-def comment_lines(c: Column) -> Column:
-    """HTML of a comment as lines, broken before closings, signatures and contact details."""
-    c = html.unescape(c)
-    c = F.regexp_replace(c, r"(?is)<\s*(?:br\s*/?|/p|/div|/li|/tr|/ul|/ol|/table|hr)\s*>|<\s*(?:p|div|li|tr|ul|ol|table)\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"(?is)<[^>]+>", " ")
-    c = F.regexp_replace(c, r"(?i)([.!?])\s+(saludos,?|un saludo,?|best regards,?|kind regards,?)\b", "$1\n$2")
-    c = F.regexp_replace(c, r"(?i)\s+--\s+(?=[A-ZÁÉÍÓÚÑ_])", "\n--\n")
-    c = F.regexp_replace(c, r"(?i)\s+(?=(?:tel\.?|phone|fax|e-?mail)\b)", "\n")
-    return tidy_phrase(c)
+def comment_html(c: Column) -> Column:
+    """Struct (text, n): HTML of a comment as lines, broken before closings, signatures and contact details; how often that did something."""
+    plain = F.replace(html.unescape(c), F.lit("\u00a0"), F.lit(" "))
+    broken = replaced(plain, tuple(p for p, _ in COMMENT_BREAKS), tuple(to for _, to in COMMENT_BREAKS))
+    return let(broken, lambda x: F.struct(tidy_phrase(x["text"]).alias("text"), x["n"].alias("n")))
 
 
 def sift(c: Column, patterns: tuple[str, ...]) -> Column:
-    """Trimmed lines that are not blank and match none of the patterns."""
-    lines = F.transform(F.split(c, "\n"), normalize)
-    return F.array_join(F.filter(lines, lambda x: (x != "") & ~any_match(x, patterns)), "\n")
+    """Struct (text, n): trimmed lines that are not blank and match none of the patterns, and how many do."""
+    lines = F.filter(F.transform(F.split(c, "\n"), normalize), lambda x: x != "")
+    told = F.transform(lines, lambda x: F.struct(x.alias("line"), any_match(x, patterns).alias("cut")))
+    return let(
+        told,
+        lambda t: F.struct(
+            F.array_join(F.transform(F.filter(t, lambda x: ~x["cut"]), lambda x: x["line"]), "\n").alias("text"), F.size(F.filter(t, lambda x: x["cut"])).alias("n")
+        ),
+    )
 
 
-def clean_comment(c: Column) -> Column:
-    """A comment without signature lines and closing phrases; empty if little but a closing was in it."""
+def comment_cleanup(c: Column) -> Column:
+    """Struct (text, html_normalized, signature_lines, closures, removed_all) of a comment.
 
-    def closed(lines: Column) -> Column:
-        out = lines
-        for p in CLOSURES:
-            out = F.regexp_replace(out, p, " ")
-        return F.when(total_count(lines, CLOSURES) == 0, tidy_phrase(out)).otherwise(let(tidy_phrase(sift(tidy_phrase(out), TRIVIAL)), residue))
+    Signature lines and closing phrases are cut; the text is empty if little but a closing was in it.
+    """
+
+    def signed(made: Column) -> Column:
+        touched = (made["n"] > 0) | (made["text"] != normalize(c))
+        return let(
+            sift(made["text"], SIGNATURE_LINES),
+            lambda kept: let(
+                replaced(kept["text"], CLOSURES),
+                lambda bare: let(
+                    F.when(bare["n"] > 0, sift(tidy_phrase(bare["text"]), TRIVIAL)).otherwise(F.struct(tidy_phrase(bare["text"]).alias("text"), F.lit(0).alias("n"))),
+                    lambda rest: judged(touched, kept["n"], bare["n"] + rest["n"], tidy_phrase(rest["text"])),
+                ),
+            ),
+        )
 
-    def residue(rest: Column) -> Column:
+    def judged(touched: Column, signatures: Column, closures: Column, rest: Column) -> Column:
         words = F.size(F.filter(F.split(rest, r"\s+"), lambda x: x != ""))
-        return F.when((words <= 12) & ~F.regexp_like(rest, F.lit(TECHNICAL)), "").otherwise(rest)
+        gone = (rest == "") | ((closures > 0) & (words <= 12) & ~F.regexp_like(rest, F.lit(TECHNICAL)))
+        return F.struct(
+            F.when(gone, "").otherwise(rest).alias("text"), touched.cast("int").alias("html_normalized"), signatures.alias("signature_lines"),
+            closures.alias("closures"), gone.cast("int").alias("removed_all"),
+        )
 
-    return let(sift(comment_lines(c), SIGNATURE_LINES), closed)
+    return let(comment_html(c), signed)
+
+
+def clean_comment(c: Column) -> Column:
+    return comment_cleanup(c)["text"]
 
 
 def preserved_fragments(c: Column) -> Column:
@@ -186,27 +275,25 @@ def without_leading(c: Column, fragment: Column) -> Column:
     return let(F.coalesce(out, c), tidy_phrase)
 
 
-def clean_phrases(c: Column) -> Column:
-    """Struct (text, replaced, removed): form phrases cut; a form head's subjects come first as ``Subject:`` lines."""
+def phrase_cleanup(c: Column) -> Column:
+    """Struct (text, hard, headed, header, removed_all): form phrases cut; a form head's subjects come first as ``Subject:`` lines.
 
-    def dropped(flat: Column) -> Column:
-        out = flat
-        for p in HARD_DROPS:
-            out = F.regexp_replace(out, p, " ")
-        return F.struct(out.alias("flat"), total_count(flat, HARD_DROPS).alias("n"))
+    ``hard`` and ``header`` count what was cut, ``headed`` tells whether the text has a form's head.
+    """
 
     def headless(x: Column) -> Column:
-        headed = F.regexp_like(x["flat"], F.lit(HEADER_CONTEXT))
-        bare = x["flat"]
-        for p in HEADERS:
-            bare = F.regexp_replace(bare, p, " ")
-        rest = F.struct(preserved_fragments(c).alias("fragments"), tidy_phrase(bare).alias("bare"))
-        n = x["n"] + F.when(headed, total_count(x["flat"], HEADERS)).otherwise(0)
-        return F.struct(F.when(headed, let(rest, named)).otherwise(x["flat"]).alias("text"), n.alias("n"))
-
-    def named(x: Column) -> Column:
+        headed = F.regexp_like(x["text"], F.lit(HEADER_CONTEXT))
+        return let(
+            replaced(x["text"], HEADERS),
+            lambda bare: F.struct(
+                F.when(headed, named(preserved_fragments(c), tidy_phrase(bare["text"]))).otherwise(x["text"]).alias("text"),
+                x["n"].alias("hard"), headed.alias("headed"), F.when(headed, bare["n"]).otherwise(0).alias("header"),
+            ),
+        )
+
+    def named(fragments: Column, bare: Column) -> Column:
         return let(
-            F.struct(x["fragments"].alias("fragments"), F.aggregate(x["fragments"], x["bare"], without_leading).alias("bare")),
+            F.struct(fragments.alias("fragments"), F.aggregate(fragments, bare, without_leading).alias("bare")),
             lambda y: F.array_join(
                 F.filter(
                     F.concat(
@@ -220,13 +307,22 @@ def clean_phrases(c: Column) -> Column:
         )
 
     def judged(x: Column) -> Column:
-        probe = F.regexp_replace(F.regexp_replace(x["text"], r"(?i)<URL:\s*https?://[^>]+>", " "), r"(?i)https?://\S+", " ")
-        probe = strip(F.regexp_replace(F.regexp_replace(probe, r"\[[A-Z]+\]", " "), r"[<>{}()\[\],.:;!?\-_/\\]+", " "))
-        removed = (x["n"] > 0) & (probe == "")
-        return F.struct(F.when(removed, "").otherwise(x["text"]).alias("text"), x["n"].alias("replaced"), removed.alias("removed"))
+        def told(t: Column) -> Column:
+            probe = F.regexp_replace(F.regexp_replace(t, r"(?i)<URL:\s*https?://[^>]+>", " "), r"(?i)https?://\S+", " ")
+            probe = strip(F.regexp_replace(F.regexp_replace(probe, r"\[[A-Z]+\]", " "), r"[<>{}()\[\],.:;!?\-_/\\]+", " "))
+            gone = (x["hard"] + x["header"] > 0) & (probe == "")
+            return F.struct(
+                F.when(gone, "").otherwise(t).alias("text"), x["hard"].alias("hard"), x["headed"].alias("headed"), x["header"].alias("header"), gone.alias("removed_all")
+            )
 
-    tidied = lambda x: F.struct(tidy_phrase(x["text"]).alias("text"), x["n"].alias("n"))
-    return let(let(let(let(collapse(c), dropped), headless), tidied), judged)
+        return let(tidy_phrase(x["text"]), told)
+
+    return let(let(replaced(collapse(c), HARD_DROPS), headless), judged)
+
+
+def clean_phrases(c: Column) -> Column:
+    """Struct (text, replaced, removed) of ``phrase_cleanup``."""
+    return let(phrase_cleanup(c), lambda x: F.struct(x["text"].alias("text"), (x["hard"] + x["header"]).alias("replaced"), x["removed_all"].alias("removed")))
 
 
 def line_reasons(line: Column) -> Column:
@@ -258,36 +354,100 @@ def drop_noise_lines(lines: Column, mode: Cleaning = FULL) -> Column:
     return F.array_join(F.transform(F.filter(lines, kept), lambda x: x["line"]), "\n")
 
 
-CLEANED = ("content_clean", "content_retrieval", "content_raw", "noise_flags", "retrieval_fallback_used")
+#: What is counted of a message's cleaning.
+STATS = (
+    "noise_candidates", "protected_technical", "dropped_hard_noise", "dropped_boilerplate", "kept_tagged",
+    "phrase_cleanup_candidates", "phrase_cleanup_replacements", "phrase_cleanup_header_replacements", "phrase_cleanup_removed_all_content",
+    "comment_role_html_normalized", "comment_role_signature_lines_removed", "comment_role_closure_replacements", "comment_role_removed_all_content",
+    "ticketformater_quote_reply_trims", "ticketformater_create_header_trims", "ticketformater_rt_url_line_trims", "ticketformater_separator_line_trims",
+)
+CLEANED = ("content_clean", "content_retrieval", "content_raw", "noise_flags", "noise_stats", "retrieval_fallback_used")
+
+
+def line_stats(lines: Column, mode: Cleaning) -> dict[str, Column]:
+    """Counts of a text's noisy lines by what becomes of them."""
+    noisy = lambda x: is_hard(x) | x["boilerplate"]
+    safe = lambda x: x["technical"] if mode.protect_technical else F.lit(False)
+    count = lambda test: F.size(F.filter(lines, lambda x: noisy(x) & test(x)))
+    soft = lambda x: ~safe(x) & ~is_hard(x)
+    return {
+        "noise_candidates": count(lambda x: F.lit(True)),
+        "protected_technical": count(safe),
+        "dropped_hard_noise": count(lambda x: ~safe(x) & is_hard(x)),
+        "dropped_boilerplate": count(soft) if mode.drop_boilerplate else F.lit(0),
+        "kept_tagged": F.lit(0) if mode.drop_boilerplate else count(soft),
+    }
 
 
 def clean_messages(messages: DataFrame, mode: Cleaning = FULL, text: str = "text", role: str = "role") -> DataFrame:
-    """``messages`` with the columns ``CLEANED``.
+    """``messages`` with the columns ``CLEANED``; ``noise_stats`` is a struct of the counts ``STATS``.
 
     A message that cleaning empties falls back to its trimmed original, unless phrase or comment cleanup
     has shown that it holds nothing else. Each step is a column of its own, so that no step is computed twice.
     """
+    c = F.col
     out = messages.withColumn("_text", normalize(F.coalesce(text, F.lit(""))))
     none = F.array().cast("array<string>")
     if mode.passthrough:
-        values = (F.col("_text"), F.col("_text"), F.col("_text"), none, F.lit(False))
+        zeros = F.struct(*[F.lit(0).alias(n) for n in STATS])
+        values = (c("_text"), c("_text"), c("_text"), none, zeros, F.lit(False))
         return out.withColumns(dict(zip(CLEANED, values, strict=True))).drop("_text")
-    c, comment = F.col, F.coalesce(F.col(role) == "comment", F.lit(False))
-    out = out.withColumn("_told", F.when(comment, clean_comment(c("_text"))).otherwise(c("_text")) if mode.comments else c("_text"))
-    trimmed = F.when(comment, normalize(c("_told"))).otherwise(trim_replies(normalize(c("_told")), mode.create_markers))
-    out = out.withColumn("_original", trimmed if mode.replies else c("_told"))
-    same = F.struct(c("_original").alias("text"), F.lit(0).alias("replaced"), F.lit(False).alias("removed"))
-    out = out.withColumn("_phrases", clean_phrases(c("_original")) if mode.phrases else same)
+    comment = F.coalesce(F.col(role) == "comment", F.lit(False))
+    numbers = ("html_normalized", "signature_lines", "closures", "removed_all")
+    untold = F.struct(c("_text").alias("text"), *[F.lit(0).alias(n) for n in numbers])
+    out = out.withColumn("_told", F.when(comment, comment_cleanup(c("_text"))).otherwise(untold) if mode.comments else untold)
+    plain = F.struct(normalize(c("_told.text")).alias("text"), *[F.lit(0).alias(n) for n in ("quote_reply", "create_header", "rt_url_line", "separator_line")])
+    trimmed = F.when(comment, plain).otherwise(reply_trims(normalize(c("_told.text")), mode.create_markers))
+    out = out.withColumn("_original", trimmed if mode.replies else plain)
+    same = F.struct(c("_original.text").alias("text"), F.lit(0).alias("hard"), F.lit(False).alias("headed"), F.lit(0).alias("header"), F.lit(False).alias("removed_all"))
+    out = out.withColumn("_phrases", phrase_cleanup(c("_original.text")) if mode.phrases else same)
     out = out.withColumn("_lines", noise_lines(c("_phrases.text")))
     out = out.withColumn("_clean", drop_noise_lines(c("_lines"), mode) if mode.lines else normalize(c("_phrases.text")))
-    emptied = comment & (c("_told") == "") if mode.comments else F.lit(False)
-    out = out.withColumn("content_raw", F.when(c("_phrases.removed") | emptied, "").otherwise(c("_original")))
+    gone = c("_phrases.removed_all") | (c("_told.removed_all") > 0)
+    out = out.withColumn("content_raw", F.when(gone, "").otherwise(c("_original.text")))
     out = out.withColumn("retrieval_fallback_used", (c("_clean") == "") & (c("content_raw") != ""))
     out = out.withColumn("content_retrieval", F.when(c("retrieval_fallback_used"), c("content_raw")).otherwise(c("_clean")))
-    reasons = ("signature_hint", "separator_noise", "legacy_drop_pattern", "boilerplate")
-    flags = [F.when(F.array_contains(c(f"_lines.{r}"), True), r) for r in reasons] if mode.lines else []
-    flags.append(F.when(c("_phrases.replaced") > 0, "ticket_phrase"))
-    flags.append(F.when(comment, "comment_role_cleanup") if mode.comments else F.lit(None).cast("string"))
-    flags.append(F.when(c("_told") != c("_original"), "reply_trim"))
-    out = out.withColumn("noise_flags", F.array_sort(F.array_compact(F.array(*flags)))).withColumn("content_clean", c("content_retrieval"))
+    both = c("_phrases.hard") + c("_phrases.header")
+    counts = line_stats(c("_lines"), mode) if mode.lines else {n: F.lit(0) for n in STATS[:5]}
+    counts |= dict(zip(STATS[5:9], (both, both, c("_phrases.header"), c("_phrases.removed_all").cast("int")), strict=True))
+    counts |= dict(zip(STATS[9:13], (c(f"_told.{n}") for n in numbers), strict=True))
+    counts |= dict(zip(STATS[13:], (c(f"_original.{n}") for n in ("quote_reply", "create_header", "rt_url_line", "separator_line")), strict=True))
+    out = out.withColumn("noise_stats", F.struct(*[counts[n].cast("int").alias(n) for n in STATS]))
+    noisy = lambda r: F.exists("_lines", lambda x: x[r])
+    n = lambda name: c(f"noise_stats.{name}") > 0
+    told = {
+        **({r: noisy(r) for r in ("signature_hint", "separator_noise", "legacy_drop_pattern", "boilerplate")} if mode.lines else {}),
+        "protected_technical": n("protected_technical"),
+        "ticket_phrase_hard_drop": c("_phrases.hard") > 0,
+        "ticket_phrase_header_context": c("_phrases.headed"),
+        "ticket_phrase_header": n("phrase_cleanup_header_replacements"),
+        "ticket_phrase_removed_all": c("_phrases.removed_all"),
+        "comment_role_cleanup": comment if mode.comments else F.lit(False),
+        "comment_role_html": n("comment_role_html_normalized"),
+        "comment_role_signature": n("comment_role_signature_lines_removed"),
+        "comment_role_closure": n("comment_role_closure_replacements"),
+        "comment_role_removed_all": n("comment_role_removed_all_content"),
+        "ticketformater_reply_trim": n("ticketformater_quote_reply_trims"),
+        "ticketformater_create_trim": n("ticketformater_create_header_trims"),
+        "ticketformater_url_trim": n("ticketformater_rt_url_line_trims"),
+        "ticketformater_separator_trim": n("ticketformater_separator_line_trims"),
+    }
+    flags = F.array_sort(F.array_compact(F.array(*[F.when(test, name) for name, test in told.items()])))
+    out = out.withColumn("noise_flags", flags).withColumn("content_clean", c("content_retrieval"))
     return out.drop("_text", "_told", "_original", "_phrases", "_lines", "_clean")
+
+
+def conversation_totals(cleaned: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Of each conversation of ``clean_messages`` rows: messages kept, empty ones, noisy ones, fallbacks and the sums of ``STATS``.
+
+    Empty messages, and those of which nothing is left, count in no other number.
+    """
+    blank = normalize(F.coalesce(text, F.lit(""))) == ""
+    kept = ~blank & ((F.col("content_retrieval") != "") | (F.col("content_raw") != ""))
+    return cleaned.groupBy(key).agg(
+        F.count_if(kept).alias("n_messages"),
+        F.count_if(blank).alias("empty_messages_skipped"),
+        F.count_if(kept & (F.size("noise_flags") > 0)).alias("messages_with_noise"),
+        F.count_if(kept & F.col("retrieval_fallback_used")).alias("retrieval_fallback_used"),
+        *[F.sum(F.when(kept, F.col(f"noise_stats.{n}")).otherwise(0)).alias(n) for n in STATS],
+    )

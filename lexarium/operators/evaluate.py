@@ -2,9 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.functions.ids import blank_to_null
+
+#: An evaluation row: expected ids, one or several, and graded judgments; numbers may come as text.
+EXPECTED = (
+    "query_id bigint, expected_ticket_id string, expected_ticket_ids array<string>, expected_conversation_id string, "
+    "expected_conversation_ids array<string>, relevance_judgments array<struct<ticket_id:string,conversation_id:string,relevance:string>>"
+)
+
+
+def as_list(one: Column, many: Column) -> Column:
+    """A value and a list of values as one list without nulls and blanks."""
+    every = F.concat(F.array(one.cast("string")), F.coalesce(many.cast("array<string>"), F.array().cast("array<string>")))
+    return F.array_compact(F.transform(every, blank_to_null))
+
+
+def as_int_list(one: Column, many: Column) -> Column:
+    """As ``as_list``, whole numbers only; others are left out."""
+    return F.array_compact(F.transform(as_list(one, many), lambda x: F.regexp_extract(x, r"^[+-]?\d+$", 0).try_cast("bigint")))
+
+
+def expected_relevance(rows: DataFrame) -> DataFrame:
+    """``(query_id, identity, grade)`` of rows as ``EXPECTED``: an expected id counts 1, a judgment its grade, the largest wins.
+
+    Grades below 0 count as 0, those that are no number as 1; identities are ``ticket:<id>`` and ``conversation:<id>``.
+    """
+    c = F.col
+    named = lambda kind, x: F.concat(F.lit(f"{kind}:"), x.cast("string"))
+    one = lambda kind: lambda x: F.struct(named(kind, x).alias("identity"), F.lit(1.0).alias("grade"))
+    tickets = F.transform(as_int_list(c("expected_ticket_id"), c("expected_ticket_ids")), one("ticket"))
+    talks = F.transform(as_list(c("expected_conversation_id"), c("expected_conversation_ids")), one("conversation"))
+    grade = lambda j: F.greatest(F.coalesce(j["relevance"].try_cast("double"), F.lit(1.0)), F.lit(0.0))
+    judged = F.coalesce(c("relevance_judgments"), F.array().cast("array<struct<ticket_id:string,conversation_id:string,relevance:string>>"))
+    by_ticket = F.transform(judged, lambda j: F.struct(named("ticket", F.regexp_extract(j["ticket_id"], r"^\s*([+-]?\d+)\s*$", 1).try_cast("bigint")).alias("identity"), grade(j).alias("grade")))
+    by_talk = F.transform(judged, lambda j: F.struct(named("conversation", blank_to_null(j["conversation_id"])).alias("identity"), grade(j).alias("grade")))
+    told = rows.select("query_id", F.explode(F.concat(tickets, talks, by_ticket, by_talk)).alias("x")).select("query_id", "x.*")
+    return told.where("identity is not null").groupBy("query_id", "identity").agg(F.max("grade").alias("grade"))
+
+
+def result_identity(ticket: Column, conversation: Column, chunk: Column) -> Column:
+    """Ticket, else conversation, else chunk of a result; empty if it has none."""
+    named = lambda kind, x: F.concat(F.lit(f"{kind}:"), x.cast("string"))
+    return F.coalesce(named("ticket", ticket.try_cast("bigint")), named("conversation", blank_to_null(conversation)), named("chunk", blank_to_null(chunk)), F.lit(""))
+
+
+def graded_results(results: DataFrame, relevance: DataFrame) -> DataFrame:
+    """``results(query_id, rank, ticket_id, conversation_id, ...)`` with the larger grade of their ticket and their conversation."""
+    c = F.col
+    by_ticket = relevance.select("query_id", c("identity").alias("_t"), c("grade").alias("_tg"))
+    by_talk = relevance.select("query_id", c("identity").alias("_c"), c("grade").alias("_cg"))
+    none = F.lit("")
+    keyed = results.withColumn("_t", F.concat(F.lit("ticket:"), c("ticket_id").try_cast("bigint").cast("string")))
+    keyed = keyed.withColumn("_c", F.concat(F.lit("conversation:"), F.coalesce(blank_to_null(c("conversation_id")), none)))
+    told = keyed.join(by_ticket, ["query_id", "_t"], "left").join(by_talk, ["query_id", "_c"], "left")
+    return told.withColumn("grade", F.greatest(F.coalesce("_tg", F.lit(0.0)), F.coalesce("_cg", F.lit(0.0)))).drop("_t", "_c", "_tg", "_cg")
+
 
 def graded(results: DataFrame, relevance: DataFrame) -> DataFrame:
     """``(query_id, doc_id, rank)`` with the grade of each row; several grades of a document: the largest, not below 0."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.functions import urls
+
 #: Columns that track ingestion and don't count as a change.
 TRACKING = ("ingest_label", "ingest_job_id", "ingested_at")
 
@@ -71,6 +73,14 @@ def purge(df: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(~hit), counts
 
 
+def any_host(columns: list[Column], host: str) -> Column:
+    """Whether one of the columns is a url of the host or names it anywhere."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce((urls.host(c) == host.lower()) | F.contains(F.lower(c), F.lit(host.lower())), F.lit(False))
+    return out
+
+
 def migrate(df: DataFrame, column: str, value: str, where: Column) -> DataFrame:
     """``column`` set to ``value`` where the predicate holds; ``changed`` says for which rows that is a change."""
     hit = F.coalesce(where, F.lit(False))

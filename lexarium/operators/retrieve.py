@@ -27,6 +27,8 @@ DEPARTMENT_BOOST, EXACT_BONUS = 5.0, 2.5
 LOW_INFO_CHARS, LOW_INFO_TOKENS, LOW_INFO_PENALTY = 80, 6, 6.0
 TITLE_BOOST, INTRO_BOOST, LENGTH_BOOST, LENGTH_FROM = 1.5, 1.0, 0.5, 160
 EXACT_MATCHES = 3
+#: Places from which rescued exact matches are numbered: behind all candidates.
+EXACT_SEQ = 1_000_000_000
 #: Query vectors that a task holds at once; more are done in blocks.
 QUERY_BLOCK = 4096
 
@@ -68,7 +70,7 @@ def bm25(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     return (
         index.postings.join(weighted, "token")
-        .crossJoin(index.corpus)
+        .crossJoin(F.broadcast(index.corpus))
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(part), 6).alias("score"))
     )
@@ -128,15 +130,17 @@ def fuse(runs: list[tuple[DataFrame, float]], rrf_k: int = RRF_K) -> DataFrame:
 
     ``(query_id, doc_id, fused_score, fused_rank)``; ties go to the document that an earlier list names first.
     """
-    parts = [
-        run.select("query_id", "doc_id", (F.lit(float(w)) / (rrf_k + F.col("rank"))).alias("part"), (F.lit(i * 1_000_000) + F.col("rank")).alias("seq"))
-        for i, (run, w) in enumerate(runs)
-        if w > 0
-    ]
+    parts = [r.select("query_id", "doc_id", "rank", F.lit(i).alias("run"), F.lit(float(w)).alias("weight")) for i, (r, w) in enumerate(runs)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    scored = every.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 8).alias("fused_score"), F.min("seq").alias("seq"))
+    return fuse_runs(every, rrf_k)
+
+
+def fuse_runs(every: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
+    """As ``fuse``, of all lists in one: ``(query_id, doc_id, rank, run, weight)``, lists in the order of ``run``."""
+    part = F.col("weight") / (rrf_k + F.col("rank"))
+    scored = every.where("weight > 0").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 8).alias("fused_score"), F.min(F.struct("run", "rank")).alias("seq"))
     order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), "seq", "doc_id")
     return scored.withColumn("fused_rank", F.row_number().over(order)).drop("seq")
 
@@ -165,7 +169,7 @@ def exact_rescue(candidates: DataFrame, lexical: DataFrame, holds: DataFrame, ma
         "place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) + F.coalesce("have", F.lit(0))
     )
     more = unseen.where(F.col("place") <= matches).select(
-        "query_id", "doc_id", F.lit(0.0).alias("fused_score"), (F.lit(1_000) + F.col("place")).cast("int").alias("seq")
+        "query_id", "doc_id", F.lit(0.0).alias("fused_score"), (F.lit(EXACT_SEQ) + F.col("place")).cast("int").alias("seq")
     )
     return candidates.unionByName(more)
 
@@ -179,10 +183,12 @@ def overlap_score(query_tokens: Column, doc_tokens: Column) -> Column:
 def rerank(candidates: DataFrame, docs: DataFrame, query_texts: DataFrame, score=overlap_score) -> DataFrame:
     """Largest score of a candidate over the texts of its query ``(query_id, text)``: adds ``rerank_score``.
 
-    ``score(query_tokens, doc_tokens)`` is any Column function; replace it by a model's Arrow UDF.
+    ``score(query_tokens, doc_tokens)`` is any Column function; replace it by a model's Arrow UDF. Only candidates' texts are
+    split into tokens, each once.
     """
     texts = query_texts.select("query_id", tokens(F.col("text")).alias("qt"))
-    held = docs.select("doc_id", tokens(F.col("text")).alias("dt"))
+    held = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = stored(held.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("dt")), "candidate-tokens")
     pairs = candidates.join(texts, "query_id").join(held, "doc_id").withColumn("s", score(F.col("qt"), F.col("dt")))
     best = pairs.groupBy("query_id", "doc_id").agg(F.max("s").alias("rerank_score"))
     return candidates.join(best, ["query_id", "doc_id"])
@@ -235,18 +241,24 @@ def overfetch(k: int, has_query: bool = True) -> int:
     return min(300, 4 * k) if has_query else k
 
 
+def deletions(c: Column) -> Column:
+    """A word and all words that lack one of its letters."""
+    lacking = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
+    return F.array_distinct(F.concat(F.array(c), lacking))
+
+
 def typo_candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Vocabulary words one edit from each of ``words(word)``, blocked on the first letter and length.
+    """The vocabulary word one edit from each of ``words(word)``: ``(word, correction, frequency)``.
 
-    The best is the most frequent, then the first in code-point order: ``(word, correction, frequency)``.
+    Words of four letters or more with the same first letter; the most frequent, of equally frequent ones the first in
+    code-point order. Two words one edit apart share a word that lacks a letter of either, so an equality join finds them.
     """
-    v = vocabulary.select(F.col("token").alias("correction"), "frequency", F.substring("token", 1, 1).alias("head"), F.length("token").alias("size"))
-    w = words.where(F.length("word") >= 4).select("word", F.substring("word", 1, 1).alias("head"), F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])).alias("size"))
-    near = w.join(v, ["head", "size"]).where((F.levenshtein("word", "correction", 1) >= 0) & (F.col("word") != F.col("correction")))
-    best = F.max_by(F.struct("correction", "frequency"), F.struct("frequency", F.col("order")))
-    # max_by takes the largest, so the order key is negative rank by code point within the same frequency
-    ranked = near.withColumn("order", -F.row_number().over(Window.partitionBy("word").orderBy("correction")))
-    return ranked.groupBy("word").agg(best.alias("b")).select("word", "b.correction", "b.frequency")
+    v = vocabulary.where(F.length("token") >= 4).select(F.col("token").alias("correction"), "frequency", F.explode(deletions(F.col("token"))).alias("stem"))
+    w = words.where((F.length("word") >= 4) & ~F.col("word").rlike("^[0-9]+$")).select("word", F.explode(deletions(F.col("word"))).alias("stem"))
+    same_head = F.substring("word", 1, 1) == F.substring("correction", 1, 1)
+    near = w.join(v, "stem").where(same_head & (F.levenshtein("word", "correction", 1) >= 0) & (F.col("word") != F.col("correction")))
+    best = F.min(F.struct((-F.col("frequency")).alias("order"), "correction", "frequency"))
+    return near.groupBy("word").agg(best.alias("b")).select("word", "b.correction", "b.frequency")
 
 
 def date_search(rows: DataFrame, group: str, stamp: str, key: str, low=None, high=None, k: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,43 +20,58 @@ def by_department(df: DataFrame, path: str) -> None:
 
 
 class VersionedTable:
-    """Versions of a table in folders of their own; a version is read once its marker is written after a check."""
+    """Versions of a table: each is a small file that names the data folders that make it up, written after a check.
+
+    Data is written once: an append adds a folder and names the others again, so it costs what the delta costs.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[str]:
-        """Promoted versions, oldest first."""
+    def _names(self, first: str) -> list[str]:
         if not self._fs.exists(self._path(self.root)):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(n for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.root}/{n}/_PROMOTED")))
+        return sorted(n for n in names if n.startswith(first))
+
+    def versions(self) -> list[str]:
+        """Promoted versions, oldest first."""
+        return self._names("v")
+
+    def _held(self, version: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/{version}", wholetext=True).first()[0])
 
     def read(self) -> DataFrame:
         have = self.versions()
         if not have:
             raise FileNotFoundError(f"no promoted version in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{have[-1]}")
-
-    def promote(self, df: DataFrame, rows: int | None = None) -> str:
-        """Write a version, read it back, compare its row count (``rows``, where known), then mark it."""
-        name = f"v{time.time_ns()}"
-        df.write.parquet(f"{self.root}/{name}")
-        written = self.spark.read.parquet(f"{self.root}/{name}").count()
+        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in self._held(have[-1])["parts"]])
+
+    def _write(self, df: DataFrame, rows: int | None, before: dict) -> str:
+        """A part, read back and counted, and then the version that names it: the version's file appears as a whole."""
+        stamp = time.time_ns()
+        part, version = f"d{stamp}", f"v{stamp}"
+        df.write.parquet(f"{self.root}/{part}")
+        written = self.spark.read.parquet(f"{self.root}/{part}").count()
         if rows is not None and written != rows:
-            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+            self._fs.delete(self._path(f"{self.root}/{part}"), True)
             raise ValueError(f"{written} rows written, {rows} expected")
-        self._fs.create(self._path(f"{self.root}/{name}/_PROMOTED")).close()
-        return name
+        out = self._fs.create(self._path(f"{self.root}/.{version}"))
+        out.write(bytearray(json.dumps({"parts": [*before["parts"], part], "rows": before["rows"] + written}).encode()))
+        out.close()
+        self._fs.rename(self._path(f"{self.root}/.{version}"), self._path(f"{self.root}/{version}"))
+        return version
 
-    def append(self, delta: DataFrame) -> str:
-        """The current version and ``delta``, checked to have grown by exactly the delta."""
-        if not self.versions():
-            return self.promote(delta)
-        now = self.read()
-        return self.promote(now.unionByName(delta), now.count() + delta.count())
+    def promote(self, df: DataFrame, rows: int | None = None) -> str:
+        """A version of its own, of ``rows`` rows where that is known; if the check fails the one before stays."""
+        return self._write(df, rows, {"parts": [], "rows": 0})
+
+    def append(self, delta: DataFrame, rows: int | None = None) -> str:
+        """The current version and ``delta``, of ``rows`` rows where that is known."""
+        have = self.versions()
+        return self._write(delta, rows, self._held(have[-1]) if have else {"parts": [], "rows": 0})
 
     def append_or_rebuild(self, delta: DataFrame, everything: DataFrame) -> str:
         try:
@@ -66,14 +82,47 @@ class VersionedTable:
             except Exception as second:
                 raise RuntimeError(f"append failed ({first}), rebuild failed ({second})") from second
 
+    def roll_back(self) -> str:
+        """Drops the newest version; the one before is read from now on."""
+        have = self.versions()
+        if len(have) < 2:
+            raise ValueError("no version to go back to")
+        self._fs.delete(self._path(f"{self.root}/{have[-1]}"), False)
+        return have[-2]
+
     def retain(self, keep: int, apply: bool = True) -> list[str]:
-        """Names of versions beyond the newest ``keep``, deleted if ``apply``."""
-        old = self.versions()[: -keep or None] if keep > 0 else []
-        for name in old if apply else []:
-            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        """Names of versions beyond the newest ``keep``, deleted with the data that only they name if ``apply``."""
+        have = self.versions()
+        old = have[: -keep or None] if keep > 0 else []
+        if apply and old:
+            named = {p for v in have[len(old) :] for p in self._held(v)["parts"]}
+            for name in [*old, *(p for p in self._names("d") if p not in named)]:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
         return old
 
 
+class VectorTable:
+    """Vectors by document key: a versioned table ``(doc_key, embedding)`` without nulls, one vector a key."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.table = VersionedTable(spark, root)
+
+    @staticmethod
+    def _rows(vectors: DataFrame) -> DataFrame:
+        return vectors.where("doc_key is not null and embedding is not null").select("doc_key", "embedding").dropDuplicates(["doc_key"])
+
+    def rebuild(self, vectors: DataFrame) -> str:
+        return self.table.promote(self._rows(vectors))
+
+    def append(self, vectors: DataFrame) -> str:
+        """Vectors of keys that the table lacks."""
+        rows = self._rows(vectors)
+        return self.table.append(rows.join(self.table.read().select("doc_key"), "doc_key", "left_anti") if self.table.versions() else rows)
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+
 def retention(listing: DataFrame, keep: int) -> DataFrame:
     """Rows of ``(name, stamp)`` that are not among the newest ``keep``."""
     newest = listing.orderBy(F.desc("stamp"), "name").limit(keep)

@@ -26,16 +26,29 @@ def upsert(base: DataFrame, batch: DataFrame, key: str, stamp: str, tie: str) ->
     return latest(base.unionByName(batch), key, stamp, tie)
 
 
-def stream_upsert(stream: DataFrame, table: VersionedTable, key: str, stamp: str, tie: str, checkpoint: str, overlap: str = "48 hours") -> StreamingQuery:
-    """Run what is there (``availableNow``) through an upsert of the table.
+def current(table: VersionedTable, key: str, stamp: str, tie: str) -> DataFrame:
+    """The newest row of each key of a table that a stream appends to."""
+    return latest(table.read(), key, stamp, tie)
+
+
+def compact(table: VersionedTable, key: str, stamp: str, tie: str) -> str:
+    """A version that holds the newest rows only."""
+    return table.promote(current(table, key, stamp, tie))
+
+
+def stream_upsert(
+    stream: DataFrame, table: VersionedTable, key: str, stamp: str, tie: str, checkpoint: str, overlap: str = "48 hours", every: str | None = None
+) -> StreamingQuery:
+    """Appends a batch's newest rows to the table, which ``current`` reads: run what is there, or start ``every`` interval.
 
     Late rows within ``overlap`` are taken; repeats of (tie) within it are dropped. An empty batch only moves the
-    checkpoint. Writing the same batch again gives the same table, so a batch that is run twice does no harm.
+    checkpoint. A batch that is run twice adds rows that ``current`` takes for one, so it does no harm.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            table.promote(upsert(table.read(), batch, key, stamp, tie) if table.versions() else latest(batch, key, stamp, tie))
+            table.append(latest(batch, key, stamp, tie))
 
     fresh = stream.withWatermark(stamp, overlap).dropDuplicatesWithinWatermark([tie])
-    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
