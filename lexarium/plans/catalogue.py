@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.plans import preparation, search
+from lexarium.plans import full_search, preparation, search, surface
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | preparation.QUERIES
-ORACLE_SQL: dict[str, str] = search.ORACLE_SQL | preparation.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | preparation.QUERIES | surface.QUERIES | full_search.QUERIES
+ORACLE_SQL: dict[str, str] = search.ORACLE_SQL | preparation.ORACLE_SQL | surface.ORACLE_SQL | full_search.ORACLE_SQL

@@ -88,7 +88,8 @@ SELECT doc_id, length(clean) AS n, sha1(clean) AS clean FROM l"""
 
 
 def clean_messages(s, d):
-    return clean.clean_messages(turns(s, d)).select("conv_id", "turn", "role", *clean.CLEANED)
+    made = clean.clean_messages(turns(s, d)).withColumn("noise_flags", F.array_join("noise_flags", ","))
+    return made.select("conv_id", "turn", "role", *[c for c in clean.CLEANED if c != "noise_stats"])
 
 
 def phrase_cleanup(s, d):
@@ -147,12 +148,12 @@ def synthetic_pages(s, d):
 
 def page_acceptance(s, d):
     rows = pages(s, d).select("page_id", F.col("url").alias("source"), html.text(F.col("html")).alias("text"))
-    reason = prepare.page_skip_reason(F.col("source"), F.lit("2024-01-01"), F.lit("ok"), F.col("text"), F.lit(1), F.lit(None).cast("int"), 400)
+    reason = prepare.page_skip_reason(F.col("source"), F.lit("2024-01-01"), F.lit("ok"), F.col("text"), F.lit(1), F.lit(1), 400)
     return prepare.skip_histogram(rows.select("page_id", reason.alias("skip_reason")))
 
 
 ACCEPT = f"""WITH {PAGE_LINES}, t AS (SELECT page_id, {q_normalize("array_to_string(l, chr(10))")} AS text FROM kept)
-SELECT skip_reason, count(*) AS n FROM (SELECT CASE WHEN coalesce({q_strip('url')}, '') = '' THEN 'missing_source' WHEN {q_strip('text')} = '' THEN 'empty_text' WHEN length(text) < 400 THEN 'text_too_short' END AS skip_reason
+SELECT skip_reason, count(*) AS n FROM (SELECT CASE WHEN coalesce({q_strip('url')}, '') = '' THEN 'missing source' WHEN {q_strip('text')} = '' THEN 'empty text' WHEN length(text) < 400 THEN 'text too short (<400)' END AS skip_reason
 FROM t JOIN pages USING (page_id)) WHERE skip_reason IS NOT NULL GROUP BY ALL"""
 
 
@@ -267,15 +268,18 @@ def contract_validation(s, d):
     role = F.when(F.col("role") != "system", F.col("role"))
     rows = turns(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), F.col("text").alias("content")))).alias("m"))
     messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    messages = F.when(F.col("conv_id") % 7 == 0, F.lit(None)).when(F.col("conv_id") % 7 == 1, F.slice(messages, 1, 0)).otherwise(messages)
     link = F.when(F.size("m") > 3, F.concat(F.lit("https://desk.example.org/?id="), F.col("conv_id").cast("string")))
-    errors = prepare.contract_errors(link, F.lit("2024-01-01"), messages, F.lit(None).cast("string"))
+    errors = prepare.contract_errors(link, F.when(F.col("conv_id") % 5 == 0, " ").otherwise("2024-01-01"), messages, F.lit(None).cast("string"))
     return rows.select("conv_id", F.array_join(errors, "; ").alias("errors"), F.size(errors).cast("bigint").alias("n"))
 
 
 CONTRACT = f"""WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role = 'system' AND {q_strip("coalesce(text, '')")} <> '' AS bad, {q_strip("coalesce(text, '')")} <> '' AS filled FROM conversations),
-e AS (SELECT conv_id, list_concat(CASE WHEN count(*) > 3 THEN [] ELSE ['link missing'] END, CASE WHEN bool_or(filled) THEN [] ELSE ['no content and no subject'] END,
-  coalesce(list('messages[' || i || '].role missing' ORDER BY i) FILTER (bad), [])) AS l FROM m GROUP BY ALL)
-SELECT conv_id, array_to_string(l[1:40], '; ') AS errors, len(l[1:40]) AS n FROM e"""
+g AS (SELECT conv_id, conv_id % 7 AS k, count(*) AS n, bool_or(filled) AS filled, list('messages[' || i || '].role missing/empty' ORDER BY i) FILTER (bad) AS bad FROM m GROUP BY ALL),
+e AS (SELECT conv_id, list_concat(CASE WHEN n > 3 THEN [] ELSE ['missing/empty ''link'''] END, CASE WHEN conv_id % 5 = 0 THEN ['missing ''lastUpdated'' or ''last_updated'''] ELSE [] END,
+  CASE WHEN k = 0 THEN ['''messages'' must be a list'] WHEN k = 1 THEN [] ELSE coalesce(bad, []) END,
+  CASE WHEN k = 1 OR (k > 1 AND NOT filled) THEN ['row must contain at least one non-empty messages[].content or a non-empty ''subject'''] ELSE [] END) AS l FROM g)
+SELECT conv_id, array_to_string(l, '; ') AS errors, len(l) AS n FROM e"""
 
 
 def profile_conversations(s, d):

@@ -141,7 +141,7 @@ top AS (SELECT query_id, doc_id, score AS fused_score, rank AS seq FROM lex WHER
 have AS (SELECT query_id, count(*) AS have FROM top SEMI JOIN holds USING (query_id, doc_id) GROUP BY ALL),
 more AS (SELECT l.query_id, l.doc_id, coalesce(have, 0) + row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank) AS place
   FROM (SELECT * FROM lex SEMI JOIN holds USING (query_id, doc_id)) l ANTI JOIN top t ON l.query_id = t.query_id AND l.doc_id = t.doc_id LEFT JOIN have h ON h.query_id = l.query_id)
-SELECT * FROM top UNION ALL SELECT query_id, doc_id, 0.0, 1000 + place FROM more WHERE place <= 3"""
+SELECT * FROM top UNION ALL SELECT query_id, doc_id, 0.0, 1000000000 + place FROM more WHERE place <= 3"""
 
 
 def rerank_max_over_variants(spark, d):
@@ -161,27 +161,33 @@ def typo_candidates(spark, d):
 
 
 TYPO = rf"""WITH v AS (SELECT token, count(*) AS frequency FROM (SELECT unnest({TOK}) AS token FROM documents) GROUP BY ALL),
-w AS (SELECT DISTINCT token AS word FROM (SELECT unnest({TOK}) AS token FROM benchmark) WHERE length(token) >= 4)
+w AS (SELECT DISTINCT token AS word FROM (SELECT unnest({TOK}) AS token FROM benchmark) WHERE length(token) >= 4 AND NOT regexp_full_match(token, '[0-9]+'))
 SELECT word, correction, frequency FROM (SELECT word, token AS correction, frequency, row_number() OVER (PARTITION BY word ORDER BY frequency DESC, token) AS n
-FROM w JOIN v ON substr(word, 1, 1) = substr(token, 1, 1) AND abs(length(word) - length(token)) <= 1 WHERE word <> token AND levenshtein(word, token) <= 1) WHERE n = 1"""
+FROM w JOIN v ON substr(word, 1, 1) = substr(token, 1, 1) AND abs(length(word) - length(token)) <= 1 WHERE word <> token AND length(token) >= 4 AND levenshtein(word, token) <= 1) WHERE n = 1"""
 
 
 def relevance(spark, d):
-    """Grades of documents for items: a labelled document among an item's three best has its quality and one."""
+    """Grades of documents for items, told by another ranking than the one that is graded.
+
+    A labelled document among an item's three best by its first five words has its quality and one.
+    """
+    index = retrieve.LexicalIndex.build(docs(spark, d))
     graded = table(spark, d, "labels").select("doc_id", (F.col("quality") + 1).alias("grade"))
-    return lexical(spark, d, 3).join(graded, "doc_id").select("query_id", "doc_id", "grade")
+    told = retrieve.bm25_top(index, first_words(queries(spark, d), 5), 3).join(graded, "doc_id").select("query_id", "doc_id", "grade")
+    return told, retrieve.bm25_top(index, queries(spark, d), 10)
 
 
 def eval_metrics(spark, d):
-    return evaluate.query_metrics(lexical(spark, d, 10), relevance(spark, d), 5)
+    told, found = relevance(spark, d)
+    return evaluate.query_metrics(found, told, 5)
 
 
 def eval_overall(spark, d):
     return evaluate.overall(eval_metrics(spark, d))
 
 
-METRICS = f"""WITH {BM25} {bm25_sql('lex', ASK, 10)},
-rel AS (SELECT query_id, doc_id, quality + 1 AS grade FROM lex JOIN labels USING (doc_id) WHERE rank <= 3),
+METRICS = f"""WITH {BM25} {bm25_sql('lex', ASK, 10)}, {bm25_sql('short', SHORT_ASK, 3)},
+rel AS (SELECT query_id, doc_id, quality + 1 AS grade FROM short JOIN labels USING (doc_id)),
 g AS (SELECT l.query_id, l.doc_id, l.rank, coalesce(r.grade, 0) AS grade FROM lex l LEFT JOIN (SELECT query_id, doc_id, greatest(max(grade), 0) AS grade FROM rel GROUP BY ALL) r USING (query_id, doc_id)),
 i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS ideal FROM g),
 a AS (SELECT query_id, sum(CASE WHEN rank <= 5 AND grade > 0 THEN 1 ELSE 0 END) AS hits, min(CASE WHEN grade > 0 THEN rank END) AS first,
@@ -192,21 +198,26 @@ m AS (SELECT query_id, round(hits / 5, 6) AS "precision", round(CASE WHEN releva
 """
 
 
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def case_invariance(spark, d):
     q = queries(spark, d)
-    both = q.select((F.col("query_id") * 2).alias("query_id"), "text").unionByName(
-        first_words(q, 8).select((F.col("query_id") * 2 + 1).alias("query_id"), "text")
-    )
-    found = retrieve.bm25_top(retrieve.LexicalIndex.build(docs(spark, d)), both, 8)
-    groups = both.select("query_id", F.floor(F.col("query_id") / 2).alias("grp"))
-    return evaluate.group_agreement(found, groups, 8)
+    forms = [F.col("text"), F.lower("text"), F.translate("text", LOWER, UPPER), F.col("text")]
+    cased = q.select("query_id", F.posexplode(F.array(*forms)).alias("form", "text"))
+    # The last form drops a word, so that not all agree.
+    last = F.when(F.col("form") == 3, F.regexp_replace("text", r"^\S+", "")).otherwise(F.col("text"))
+    cased = cased.select((F.col("query_id") * 4 + F.col("form")).alias("query_id"), last.alias("text"))
+    found = retrieve.bm25_top(retrieve.LexicalIndex.build(docs(spark, d)), cased, 8)
+    return evaluate.group_agreement(found, cased.select("query_id", F.floor(F.col("query_id") / 4).alias("grp")), 8)
 
 
-CASE_ASK = f"SELECT item_id * 2 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string({TOK}[1:8], ' ') FROM benchmark"
+CASE_ASK = rf"""SELECT item_id * 4 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 4 + 1, lower(text) FROM benchmark
+UNION ALL SELECT item_id * 4 + 2, translate(text, '{LOWER}', '{UPPER}') FROM benchmark UNION ALL SELECT item_id * 4 + 3, regexp_replace(text, '^\S+', '') FROM benchmark"""
 CASES = f"""WITH {BM25} {bm25_sql('lex', CASE_ASK, 8)},
 s AS (SELECT query_id, list(doc_id) AS docs FROM lex GROUP BY ALL)
-SELECT a.query_id // 2 AS grp, count(*) AS pairs, round(avg(len(list_intersect(a.docs, b.docs)) / len(list_distinct(list_concat(a.docs, b.docs)))), 6) AS agreement
-FROM s a JOIN s b ON a.query_id // 2 = b.query_id // 2 AND a.query_id < b.query_id GROUP BY ALL"""
+SELECT a.query_id // 4 AS grp, count(*) AS pairs, round(avg(len(list_intersect(a.docs, b.docs)) / len(list_distinct(list_concat(a.docs, b.docs)))), 6) AS agreement
+FROM s a JOIN s b ON a.query_id // 4 = b.query_id // 4 AND a.query_id < b.query_id GROUP BY ALL"""
 
 LEX_WITH = f"WITH {BM25} {bm25_sql('lex', ASK, 40)}"
 QUERIES = {
