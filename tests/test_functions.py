@@ -43,10 +43,31 @@ def test_urls(spark):
     assert values(spark, urls.canonicalize(x), ["HTTPS://User@Ex.org:80/a/b//?q#f", "nope"]) == ["https://user@ex.org:80/a/b", None]
     assert values(spark, urls.host_label(x), ["www.big-data.org", "ft3.x.es", ""]) == ["Big Data".replace("Big", "BIG"), "FT3", None]
     assert values(spark, urls.forbidden_host(x), ["10.1.2.3", "localhost", "172.20.0.1", "172.32.0.1", "x.org", ""]) == [True, True, True, False, False, True]
-    shapes = ["https://github.com/a/b/blob/main/docs/README.md?x#y", "https://github.com/a/b/wiki/Home", "https://gitlab.org/g/s/n/-/wikis/p/q", "https://github.com/a/b", "ftp://github.com/a/b/wiki"]
+    own = ["100.64.0.1", "100.128.0.1", "224.0.0.1", "::ffff:10.0.0.1", "[::1]", "fe80::1", "8.8.8.8", "198.51.100.7"]
+    assert values(spark, urls.forbidden_host(x), own) == [True, False, True, True, True, True, False, True]
+    shapes = ["https://github.com/a/b/blob/main/README.md?x#y", "https://github.com/a/b/wiki/Home", "https://gitlab.com/g/s/n/-/wikis/p/q", "https://github.com/a/b", "ftp://github.com/a/b/wiki"]
+    shapes += ["https://github.com/a/b/blob/main/docs/README.md", "https://gitlab.org/g/n/-/wikis", "https://gitlab.com/n/-/wikis"]
     got = values(spark, urls.classify_repo(x), shapes)
-    assert [(g.provider, g.kind, g.name) if g else None for g in got] == [("github", "readme", "b"), ("github", "wiki", "b"), ("gitlab", "wiki", "n"), None, None]
-    assert got[0].doc_path == "docs/README.md" and got[2].wiki_page == "p/q"
+    assert [(g.provider, g.doc_kind, g.repo_name) if g else None for g in got] == [("github", "readme", "b"), ("github", "wiki", "b"), ("gitlab", "wiki", "n"), *[None] * 5]
+    assert got[0].doc_path == "README.md" and got[2].wiki_page_slug == "p/q" and got[2].repo_namespace == "g/s" and not got[1].is_wiki_root
+    assert got[0].acquisition_url == "https://raw.githubusercontent.com/a/b/main/README.md"
+    assert values(spark, urls.repo_problem(x), shapes) == [None, None, None, "shape", "scheme", "shape", "host", "shape"]
+    paths = ["/a/./b/../c", "/../a", "/a/..", "/a/b/.", "/plain"]
+    assert values(spark, urls.without_dots(x), paths) == ["/a/c", "/a", "/", "/a/b/", "/plain"]
+
+
+def test_references_and_folds_equal_the_standard_library(spark):
+    import html as standard
+    import unicodedata
+
+    rng, names = random.Random(1), list(standard.entities.html5)
+    parts = lambda: rng.choice([f"&{rng.choice(names)}", f"&#{rng.randrange(0x11FFFF)};", f"&#x{rng.randrange(3000):x}", " ", "x", ";", "&", "amp;", "#"])
+    given = ["&eacute;&#233;&hellip;", "&amp;lt;", "&notit; &copy2020 &ampx", "&#0;&#128;&#xD800;&#99999999;", "&#xFFFFFFFFFFFF;", *("".join(parts() for _ in range(8)) for _ in range(400))]
+    assert values(spark, html.unescape(F.col("x")), given) == [standard.unescape(t) for t in given]
+    texts = ["Ünï çödé ﬁ ½ ² é Ǆ ß ĳ ™ ａｂｃ ①", *("".join(chr(rng.randrange(0x21, 0x3000)) for _ in range(30)) for _ in range(300))]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    lowered = values(spark, F.lower("x"), texts)
+    assert values(spark, text.unaccent(F.lower("x")), texts) == [plain(t) for t in lowered]
 
 
 def test_ids(spark):
@@ -140,3 +161,47 @@ def test_message_parsing():
     assert prepare.parse_messages("{broken") == [{"role": "user", "content": "{broken"}]
     assert prepare.parse_messages({"question": "q", "answer": "a"}) == [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
     assert prepare.parse_messages(None) == [] and prepare.parse_messages("  ") == []
+    assert prepare.parse_messages({"role": "usuario", "content": " x "}) == [{"role": "user", "content": "x"}]
+    assert prepare.parse_messages([{"query": "q", "response": "a"}, "plain", 5]) == [{"role": r, "content": t} for r, t in (("user", "q"), ("assistant", "a"), ("user", "plain"), ("user", "5"))]
+    deep = "x"
+    for _ in range(30):
+        deep = [deep]
+    assert prepare.parse_messages(deep) == [{"role": "user", "content": str(deep[0][0][0][0][0][0][0][0][0][0][0][0][0][0][0][0][0][0][0][0])}]
+    assert prepare.row_messages({"messages": [], "thread": "t", "body": "b"}) == [{"role": "user", "content": "t"}]
+    assert prepare.row_messages({"body": "b"}) == [{"role": "user", "content": "b"}] and prepare.row_messages({}) == []
+
+
+def test_contract_errors_and_roles(spark):
+    schema = "link string, updated string, messages array<struct<role:string,content:string>>, subject string"
+    rows = [("l", "2024", None, "s"), (" ", " ", [("user", "a"), (None, "b"), None, ("", " ")], None), ("l", "2024", [], None), ("l", "2024", [], "s"), ("l", "2024", [(None, "x")] * 50, None)]
+    df = spark.createDataFrame(rows, schema)
+    errors = prepare.contract_errors(F.col("link"), F.col("updated"), F.col("messages"), F.col("subject"))
+    got = [r[0] for r in df.select(errors).collect()]
+    assert got[0] == ["'messages' must be a list"] and got[3] == []
+    assert got[1] == ["missing/empty 'link'", "missing 'lastUpdated' or 'last_updated'", "messages[1].role missing/empty", "messages[2] must be an object"]
+    assert len(got[2]) == 1 and got[2][0].startswith("row must contain") and len(got[4]) == 50
+    assert [len(r[0]) for r in df.select(prepare.shown(errors)).collect()] == [1, 4, 1, 0, 40]
+    assert values(spark, prepare.role(F.col("x")), ["Agent", "system", "usuario", "nobody", None]) == ["assistant", "system", "user", "user", "user"]
+    kinds = spark.createDataFrame([("Comment", "a@org.es"), ("Correspond", "a@ORG.es"), ("Create", None)], "k string, a string")
+    assert [r[0] for r in kinds.select(prepare.transaction_role(F.col("k"), F.col("a"), "org")).collect()] == ["comment", "assistant", "user"]
+
+
+def test_noise_flags_and_stats(spark):
+    rows = [
+        (1, 1, "user", "fine\nOn Monday X wrote:\nold text"),
+        (1, 2, "user", "This transaction appears to have no content"),
+        (1, 3, "user", 'Greetings, This message has been automatically generated in response to the creation of a trouble ticket regarding: "Disk full", a summary of which appears below. The disk is full'),
+        (1, 4, "comment", "<p>Hola Ana,</p><p>cierro este ticket.</p><p>Saludos</p>"),
+        (2, 1, "user", " "),
+        (2, 2, "user", "a line\n-----\nerror _______ here"),
+    ]
+    df = spark.createDataFrame(rows, "conv int, turn int, role string, text string")
+    cleaned = clean.clean_messages(df).cache()
+    got = {(r.conv, r.turn): r for r in cleaned.collect()}
+    assert got[1, 1].noise_flags == ["ticketformater_reply_trim"] and got[1, 1].noise_stats.ticketformater_quote_reply_trims == 1
+    assert got[1, 2].noise_flags == ["ticket_phrase_hard_drop", "ticket_phrase_removed_all"]
+    assert {"ticket_phrase_header", "ticket_phrase_header_context"} <= set(got[1, 3].noise_flags) and got[1, 3].noise_stats.phrase_cleanup_header_replacements >= 2
+    assert {"comment_role_cleanup", "comment_role_html", "comment_role_closure", "comment_role_removed_all"} == set(got[1, 4].noise_flags)
+    assert got[2, 2].noise_stats.ticketformater_separator_line_trims == 1 and "protected_technical" in got[2, 2].noise_flags
+    told = {r.conv: r for r in clean.conversation_totals(cleaned, "conv").collect()}
+    assert (told[1].n_messages, told[1].messages_with_noise, told[2].empty_messages_skipped, told[2].n_messages) == (2, 2, 1, 1)

@@ -73,7 +73,12 @@ def test_catalog(spark):
     df = catalog.entries(spark.createDataFrame(rows, cols))
     assert catalog.page(catalog.matching(df, q="disk"), 1, 10).first().total == 1
     assert {r.grp for r in catalog.tree(df).collect()} >= {"tickets", "a.org"}
-    assert catalog.tree_children(df).count() == 3
+    kids = catalog.tree_children(df).collect()
+    assert len(kids) == 3 and {(r.grp, r.place) for r in kids} >= {("tickets", 1), ("a.org", 1)}
+    buckets = catalog.overview_buckets(df, 1).collect()
+    assert sorted((r.source_type, r.total, r.place) for r in buckets) == [("pdf", 1, 1), ("ticket", 1, 1), ("web", 1, 1)]
+    assert catalog.lookup(df, by["web"].catalog_id).count() == 1 and catalog.lookup(df, "none").count() == 0
+    assert by["ticket"].ingest_job_id == "j" and by["pdf"].ingest_job_id is None
     with pytest.raises(ValueError):
         catalog.page(df, 0, 10)
 
@@ -103,14 +108,26 @@ def test_versioned_table_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental.stream_upsert(stream, table, "user_id", "ts", "event_id", str(tmp_path / "ck"), "60 days").awaitTermination()
     want = {(r.user_id, r.event_id) for r in incremental.latest(df, "user_id", "ts", "event_id").collect()}
-    assert {(r.user_id, r.event_id) for r in table.read().collect()} == want
+    assert {(r.user_id, r.event_id) for r in incremental.current(table, "user_id", "ts", "event_id").collect()} == want
+    incremental.compact(table, "user_id", "ts", "event_id")
+    assert table.read().count() == len(want)
     before = len(table.versions())
-    with pytest.raises(ValueError):
-        table.promote(df, rows=1)
-    table.append(table.read().limit(1))
+    for write in (table.promote, table.append):
+        with pytest.raises(ValueError):
+            write(df, rows=1)
+    assert len(table.versions()) == before and table.read().count() == len(want)
+    table.append(df.limit(1), rows=1)
     assert table.read().count() == len(want) + 1 and len(table.versions()) == before + 1
+    table.roll_back()
+    assert table.read().count() == len(want)
+    table.append(df.limit(2))
+    assert table.retain(1, apply=False) and len(table.versions()) == before + 1
     table.retain(1)
-    assert len(table.versions()) == 1
+    assert len(table.versions()) == 1 and table.read().count() == len(want) + 2
+    vectors = writers.VectorTable(spark, str(tmp_path / "vectors"))
+    vectors.rebuild(spark.createDataFrame([("a", [1.0]), ("a", [1.0]), (None, [2.0]), ("b", None)], "doc_key string, embedding array<float>"))
+    vectors.append(spark.createDataFrame([("a", [3.0]), ("c", [4.0])], "doc_key string, embedding array<float>"))
+    assert sorted((r.doc_key, r.embedding[0]) for r in vectors.read().collect()) == [("a", 1.0), ("c", 4.0)]
     lower, upper = datetime(2024, 1, 2), datetime(2024, 1, 3)
     assert {r.ts.day for r in incremental.in_window(df, "ts", lower, upper).collect()} == {3}
 
