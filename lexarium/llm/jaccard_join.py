@@ -20,13 +20,13 @@ SHINGLE, PERCENT = 3, 90
 ENUMERATE_UP_TO = 8
 #: Partitions for each one that the differences need: the more there are, the smaller is the share of them signed.
 SPARE = 1.2
-#: Signatures that a task holds, about, to link sets that share one before anything is shuffled.
-HELD = 1_000_000
-#: Features of a block of a cluster, about: what a group holds at most twice.
-BLOCK_FEATURES = 200_000
+#: Signatures that a task holds, about, to find those that so many sets share that they leave the task once.
+HELD, HOT = 1_000_000, 64
+#: Features of a block of a group, about: what a task holds at most twice.
+BLOCK_FEATURES = 1_000_000
 SEED = np.uint64(0x5851F42D4C957F2D)
 
-DOCS = "doc_id long, th long, n_shingles int, key long, sigs array<bigint>, ties array<bigint>"
+DOCS = "doc_id long, th long, n_shingles int, key long, sigs array<bigint>, hot array<bigint>, ties array<bigint>"
 FEATURES = "key long, features array<bigint>"
 LINKS = "a long, b long"
 
@@ -167,26 +167,30 @@ def lists(parts: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()), mask=mask)
 
 
-def tied(sigs: list[np.ndarray], keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each set's signatures that no set before it has, and the keys of the sets that are the first with the others."""
-    of = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
+def thinned(sigs: list[np.ndarray], keys: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Each set's signatures, without those that ``HOT`` of the sets or more share; of these, those that it is the first to have;
+    and the keys of the sets that are the first with the others."""
     flat = np.concatenate(sigs)
     order = np.argsort(flat, kind="stable")
-    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if len(flat) else np.empty(0, bool)
-    first = np.empty(len(flat), np.int64)
-    first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(flat) else order
-    fresh = first == np.arange(len(flat))
+    new = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]])) if len(flat) else np.empty(0, np.int64)
+    counts = np.diff(np.concatenate([new, [len(flat)]]))
+    many, first = np.empty(len(flat), bool), np.empty(len(flat), np.int64)
+    many[order], first[order] = np.repeat(counts >= HOT, counts), np.repeat(order[new], counts)
+    own = first == np.arange(len(flat))
+    of = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
     ends = np.cumsum([len(s) for s in sigs])[:-1]
-    own = [s[f] for s, f in zip(sigs, np.split(fresh, ends), strict=True)]
-    others = [np.unique(keys[of[x[~f]]]) for x, f in zip(np.split(first, ends), np.split(fresh, ends), strict=True)]
-    return own, others
+    cut = lambda x: np.split(x, ends)
+    rare = [s[~m] for s, m in zip(sigs, cut(many), strict=True)]
+    hot = [s[m & o] for s, m, o in zip(sigs, cut(many), cut(own), strict=True)]
+    ties = [np.unique(keys[of[f[m & ~o]]]) for f, m, o in zip(cut(first), cut(many), cut(own), strict=True)]
+    return rare, hot, ties
 
 
 def sets_of(size: int, percent: int):
-    """Every row's set size and key; signatures and ties with the first row of each set that a task sees.
+    """Every row's set size and key; signatures with the first row of each set that a task sees.
 
-    A signature that many sets share leaves a task once for about ``HELD`` signatures; the other sets are tied to the
-    one that carries it.
+    A signature that ``HOT`` sets share leaves a task once for about ``HELD`` signatures, in ``hot``; the other sets are tied to
+    the one that carries it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +204,13 @@ def sets_of(size: int, percent: int):
                 for k, column in zip((0, 0, 1, 1, 1), zip(*held, strict=True), strict=True)
             )
             some = [k for k, x in enumerate(sigs) if x is not None]
-            own, others = tied([sigs[k] for k in some], np.array([keys[k] for k in some], np.int64)) if some else ([], [])
+            told = thinned([sigs[k] for k in some], np.array([keys[k] for k in some], np.int64)) if some else ((), (), ())
+            hot: list[np.ndarray | None] = [None] * len(sigs)
             ties: list[np.ndarray | None] = [None] * len(sigs)
-            for k, x, y in zip(some, own, others, strict=True):
-                sigs[k], ties[k] = x, y
-            arrays = [ids, th, pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), lists(sigs), lists(ties)]
-            return pa.record_batch(arrays, names=["doc_id", "th", "n_shingles", "key", "sigs", "ties"])
+            for k, x, y, z in zip(some, *told, strict=True):
+                sigs[k], hot[k], ties[k] = x, y, z
+            arrays = [ids, th, pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), lists(sigs), lists(hot), lists(ties)]
+            return pa.record_batch(arrays, names=["doc_id", "th", "n_shingles", "key", "sigs", "hot", "ties"])
 
         for b in batches:
             ids, th, texts = b.column("doc_id"), b.column("th"), b.column("text").to_pylist()
@@ -324,9 +329,10 @@ def compared(percent: int):
     return run
 
 
-def within_groups(groups: DataFrame, percent: int) -> DataFrame:
-    """Links found in each group of rows ``(cluster, i, j, key, block, part, features)``."""
+def within_groups(groups: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """Links found in each group of rows ``(cluster, i, j, key, block, part)``."""
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.select("cluster", "i", "j", "key", "block", "part").join(features.hint("merge"), "key")
     groups = groups.select("cluster", "i", "j", "key", "block", "part", "features").repartition(n, "cluster", "i", "j")
     return groups.sortWithinPartitions("cluster", "i", "j", "key").mapInArrow(compared(percent), LINKS)
 
@@ -342,68 +348,82 @@ def pair(first: str, second: str) -> list:
 
 
 def links_of(members: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` that connect every two sets of a cluster that link; ``members(cluster, key, n)``.
+    """Links ``(a, b)`` that connect every two sets of a cluster that link; ``members(cluster, key, n)``, ``features(key, features)``.
 
     1. A cluster is dealt into blocks; sets are compared within each block.
     2. In a cluster of several blocks the first set of each group found so far stands for it; those are compared
        across all blocks.
-    3. What is not in the cluster's largest group by now is compared with the sets of all blocks, and the
-       largest group's sets, which are connected, only with that: near copies cost what they are, not their square.
+    3. The other sets are compared with all sets outside their group, but not the largest group's with each other: near
+       copies cost what they are, not their square.
     """
-    blocks = dealt(members, ["cluster"], "block", "blocks")
-    blocks = stored(blocks.join(features, "key"), "cluster-blocks")
+    blocks = stored(dealt(members, ["cluster"], "block", "blocks"), "cluster-blocks")
     alone = blocks.withColumn("part", F.col("key")).withColumn("i", F.col("block")).withColumn("j", F.col("block"))
-    links = stored(within_groups(alone, percent), "links")
-    large = blocks.where("blocks > 1").drop("block")
+    links = stored(within_groups(alone, features, percent), "links")
+    large = blocks.where("blocks > 1").select("cluster", "key", "n")
     if large.isEmpty():
         return links
+    inside = large.select("key").distinct()
 
     def parted() -> DataFrame:
-        found = components(links).select(F.col("node").alias("key"), F.col("component").alias("part"))
-        return large.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
-
-    # 2: one set of each group; every two blocks of them meet
-    first = dealt(parted().where("part = key").drop("blocks"), ["cluster"], "block", "blocks")
-    across = first.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    links = stored(links.union(within_groups(across.select("*", *pair("block", "other")), percent)), "links")
-    # 3: what is outside the largest group, against everything
-    now = stored(parted().drop("blocks"), "cluster-parts")
+        own = links.join(inside.withColumnRenamed("key", "a"), "a", "left_semi")
+        found = components(own).select(F.col("node").alias("key"), F.col("component").alias("part"))
+        return stored(large.join(found, "key", "left").withColumn("part", F.coalesce("part", "key")), "cluster-parts")
+
+    # 2: one set of each group of a cluster; every two blocks of them meet
+    before = parted()
+    first = before.groupBy("cluster", "part").agg(F.min(F.struct("key", "n")).alias("x")).select("cluster", "part", "x.*")
+    first = stored(first, "cluster-firsts")
+    across = dealt(first, ["cluster"], "block", "blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    links = stored(links.union(within_groups(across.select("*", *pair("block", "other")), features, percent)), "links")
+    # 3: kinds of sets: outside the largest group and not compared yet, outside and compared, inside and not, inside and compared
+    now = parted().join(first.select("cluster", "key", F.lit(True).alias("met")), ["cluster", "key"], "left")
     sizes = now.groupBy("cluster", "part").agg(F.sum("n").alias("total"))
     largest = sizes.groupBy("cluster").agg(F.max(F.struct("total", "part")).alias("most"))
     now = now.join(largest.select("cluster", F.col("most.part").alias("largest")), "cluster")
-    now = now.withColumn("outside", F.col("part") != F.col("largest")).drop("largest")
+    kind = F.when(F.col("part") == F.col("largest"), 2).otherwise(0) + F.when(F.col("met"), 1).otherwise(0)
+    now = now.withColumn("kind", kind).drop("largest", "met")
     counts = now.groupBy("cluster").agg(
-        F.ceil(F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)) / BLOCK_FEATURES).cast("int").alias("outer"),
-        F.ceil(F.sum(F.when(F.col("outside"), 0).otherwise(F.col("n"))) / BLOCK_FEATURES).cast("int").alias("inner"),
+        *[F.ceil(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) / BLOCK_FEATURES).cast("int").alias(f"q{k}") for k in range(4)]
     )
-    now = now.join(counts.where("outer > 0"), "cluster")
-    # Blocks 0 to outer - 1 hold what is outside, the next ones the largest group.
-    own = F.when(F.col("outside"), F.pmod(F.xxhash64("key"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("key"), F.col("inner")))
-    reach = F.when(F.col("outside"), F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
-    across = now.withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), reach - 1)))
-    return stored(links.union(within_groups(across.select("*", *pair("block", "other")), percent)), "links")
+    now = now.join(counts.where("q0 > 0 or (q1 > 0 and q2 > 0)"), "cluster")
+    # Blocks of each kind follow each other; which kinds meet which.
+    starts = [F.lit(0), F.col("q0"), F.col("q0") + F.col("q1"), F.col("q0") + F.col("q1") + F.col("q2")]
+    span = lambda k: F.when(F.col(f"q{k}") > 0, F.sequence(starts[k], starts[k] + F.col(f"q{k}") - 1)).otherwise(F.array().cast("array<int>"))
+    meets = ((0, 1, 2, 3), (0, 2), (0, 1), (0,))
+    block, other = F.lit(None).cast("int"), F.lit(None).cast("array<int>")
+    for k in range(4):
+        mine = F.col("kind") == k
+        block = F.when(mine, starts[k] + F.pmod(F.xxhash64("key"), F.greatest(F.col(f"q{k}"), F.lit(1))).cast("int")).otherwise(block)
+        other = F.when(mine, F.concat(*[span(m) for m in meets[k]])).otherwise(other)
+    across = now.withColumn("block", block.cast("int")).withColumn("other", F.explode(other))
+    return stored(links.union(within_groups(across.select("*", *pair("block", "other")), features, percent)), "links")
 
 
 def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Sets of all documents, and the components of distinct sets that link.
 
     Returns ``(doc_id, n_shingles, key)`` by document (key null for an empty set) and ``(key, component)`` for the
-    sets that link with another. Sets that share signatures, directly or by others, form clusters, in which
-    ``links_of`` compares them, exactly; no pairs are ever listed.
+    sets that link with another. The sets that share a signature are compared in the group of the smallest of them, so sets
+    that collide by chance cost a comparison and no more; a signature that very many sets share joins them to
+    clusters instead. ``links_of`` compares groups and clusters, exactly; no pairs are ever listed.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     sets = stored(rows.mapInArrow(sets_of(size, percent), DOCS), "shingle-sets")
-    signed = sets.where("sigs is not null").select("key", F.explode("sigs").alias("sig"))
-    low = F.min("key").over(Window.partitionBy("sig"))
-    stars = signed.withColumn("low", low).where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    signed = sets.where("size(sigs) > 0").select("key", F.explode("sigs").alias("sig"), F.lit(False).alias("hot"))
+    signed = signed.union(sets.where("size(hot) > 0").select("key", F.explode("hot").alias("sig"), F.lit(True).alias("hot")))
+    same = Window.partitionBy("sig")
+    shared = signed.withColumn("low", F.min("key").over(same)).withColumn("hot", F.max("hot").over(same)).where("key <> low")
+    shared = stored(shared.select("low", "key", "hot").distinct(), "shared-signatures")
     ties = sets.where("size(ties) > 0").select("key", F.explode("ties").alias("b"))
-    clusters = components(stored(stars.union(ties).distinct(), "signature-stars"))
+    clusters = components(shared.where("hot").select(F.col("low").alias("a"), F.col("key").alias("b")).union(ties))
+    groups = shared.where("not hot").select(F.col("low").alias("cluster"), "key")
+    groups = groups.union(groups.select("cluster", F.col("cluster").alias("key"))).union(clusters.select("component", "node")).distinct()
     # One row a set before any join, so that a set that many documents share meets no task as a group.
-    members = sets.where("key is not null").groupBy("key").agg(F.min("th").alias("th"), F.first("n_shingles").alias("n"))
-    members = stored(members.join(clusters.withColumnRenamed("node", "key"), "key").withColumnRenamed("component", "cluster"), "cluster-members")
-    # Texts of the sets in question: one for each, found again by its hash.
-    texts = rows.select("th", "text").join(members.select("th").distinct(), "th", "left_semi")
-    features = texts.mapInArrow(features_of(size), FEATURES).dropDuplicates(["key"])
+    own = sets.where("key is not null").groupBy("key").agg(F.min("th").alias("th"), F.first("n_shingles").alias("n"))
+    members = stored(groups.join(own, "key"), "cluster-members")
+    # Texts of the sets in question: one for each, found again by its hash. The join is the same at every size.
+    texts = rows.select("th", "text").join(members.select("th").distinct().hint("merge"), "th", "left_semi")
+    features = stored(texts.mapInArrow(features_of(size), FEATURES).dropDuplicates(["key"]), "set-features")
     links = links_of(members.select("cluster", "key", "n"), features, percent)
     return sets.select("doc_id", "n_shingles", "key"), components(links).select(F.col("node").alias("key"), "component")
 
