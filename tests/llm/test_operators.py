@@ -194,15 +194,62 @@ def test_suffix_dedup_rows(spark, texts):
 def test_suffix_levels_are_logarithmic(spark, texts):
     from lexarium.llm import suffix_dedup as op
 
-    rows = [(i, 0, 1, 0, i % 7, i % 3) for i in range(40)]
+    rows = [(i, 0, 1, 0, i % 7, i % 3) for i in range(40)] + [(40, 0, 1, 0, 99, 99)]
     runs = spark.createDataFrame(rows, op.RUNS)
     index = op.SuffixIndex()
     sizes = []
     for k in range(5):
-        index.add(runs.where(f"th % 5 = {k}"))
+        index.add_runs(runs.where(f"th % 5 = {k}"))
         sizes.append(sorted(index.levels))
     assert sizes == [[0], [1], [0, 1], [2], [0, 2]]
+    # The leader that stands once matched nothing.
     assert index.entries().agg({"n": "sum"}).first()[0] == 40
+    assert {r.lead for r in op.union_all(index.matched).collect()} == set(range(7))
+
+
+def test_suffix_index_of_two_calls_equals_one(spark, texts, tmp_path):
+    import json
+
+    from lexarium.llm import suffix_dedup as op
+
+    window = 100
+    keyed = lambda rows: op.long_texts(frame(spark, rows), window).dropDuplicates(["th"])
+    n = len(texts) // 2
+    first, second = keyed(texts[:n]), keyed(texts[n:])
+    second = second.join(first.select("th"), "th", "left_anti")
+    index = op.SuffixIndex(window, home=str(tmp_path / "index"))
+    index.add(first)
+    told = json.loads(json.dumps(index.tables))
+    later = op.SuffixIndex.at(spark, told)
+    later.add(second)
+    assert sorted(later.levels) == [1] and len(list((tmp_path / "index").glob("suffix-array-*"))) == 1
+    spans = lambda i, t: {r.th: [(s.start, s.end) for s in r.spans] for r in op.spans_found(t, i.repeated().selectExpr("*", "false as words"), window).collect()}
+    once = op.SuffixIndex(window)
+    every = keyed(texts)
+    once.add(every)
+    got, want = spans(later, every), spans(once, every)
+    assert got == want and len(want) > 8
+
+
+def test_op4_leaves_nothing_behind(spark, tmp_path):
+    import os
+
+    from lexarium.llm import suffix_dedup as op
+    from lexarium.storage import shared_dir
+
+    rng = random.Random(41)
+    passage = words(rng, 55, "abcdefghijklm")
+    rows = [None, "", "short", f"{words(rng, 80)} {passage} {words(rng, 80)}", f"{words(rng, 80)} {passage}", "same " * 200, "same " * 200]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    got = {r.doc_id: r for r in op.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = brute.repeated(rows, 400)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == dict(enumerate(want))
+    assert got[0].text == got[1].text == "" and got[2].text == "short" and passage not in got[3].text and passage not in got[4].text
+    assert got[3].n_removed == 0 and got[3].text.startswith(rows[3][:40]) and got[5].text == got[6].text == ""
+    left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
+    assert [x.rsplit("-", 1)[0] for x in left] == ["repeated-digests"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lexarium_texts")]
 
 
 def test_leaders_in_pieces(monkeypatch):
@@ -291,13 +338,24 @@ def test_jaccard_join_equals_brute_force(spark, texts):
     assert op.jaccard_components(frame(spark, [])).count() == 0
 
 
-def test_jaccard_blocks_equal_one_group(spark, texts, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 64])
+def test_jaccard_blocks_equal_one_group(spark, texts, monkeypatch, hot):
     from lexarium.llm import jaccard_join as op
 
     monkeypatch.setattr(op, "BLOCK_FEATURES", 150)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.jaccard_components(frame(spark, texts)).collect()}
-    assert got == brute.jaccard_components(list(enumerate(texts)))
-    kept = op.drop_near_copies(frame(spark, texts))
+    monkeypatch.setattr(op, "HOT", hot)
+    rng = random.Random(31)
+    base = words(rng, 120).split()
+    chain = []
+    # Copies that drift: neighbours link, the ends don't.
+    for _ in range(25):
+        base[rng.randrange(len(base))] = "drift" + words(rng, 1)
+        chain.append(" ".join(base))
+    rows = [*texts, *chain]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute.jaccard_components(list(enumerate(rows)))
+    assert len({got[i][1] for i in range(len(texts), len(rows))}) < 5
+    kept = op.drop_near_copies(frame(spark, rows))
     assert kept.columns == frame(spark, []).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if c == i}
 
