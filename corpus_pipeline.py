@@ -21,7 +21,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 51 words or strings of 400 bytes that occur elsewhere; ``n_chars`` follows the text."""
-    cut = suffix_dedup.drop_repeated(docs, words=51)
+    cut = suffix_dedup.drop_repeated(docs, words=suffix_dedup.PASSAGE)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
