@@ -186,6 +186,10 @@ def digests(encoded: DataFrame, *more: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids, decoded bytes and token starts; a null or empty text has no tokens.
+
+    Repeated rows and null ids are kept; other columns are not read; an empty table gives no rows.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

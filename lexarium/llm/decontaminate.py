@@ -337,4 +337,5 @@ def _scan(docs: DataFrame, items: list[tuple], rate: float) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item in it; null and empty texts and items match nothing; repeated rows repeat pairs."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -366,4 +366,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null or empty html has an empty one; repeated rows, null ids and null urls are kept."""
     return extract(table(spark, sf_dir, "pages"))

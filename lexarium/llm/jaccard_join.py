@@ -408,6 +408,7 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     clusters instead. ``links_of`` compares groups and clusters, exactly; no pairs are ever listed.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    row_id = F.coalesce("doc_id", F.lit(-1))
     sets = stored(rows.mapInArrow(sets_of(size, percent), DOCS), "shingle-sets")
     signed = sets.where("size(sigs) > 0").select("key", F.explode("sigs").alias("sig"), F.lit(False).alias("hot"))
     signed = signed.union(sets.where("size(hot) > 0").select("key", F.explode("hot").alias("sig"), F.lit(True).alias("hot")))
@@ -419,10 +420,10 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     groups = shared.where("not hot").select(F.col("low").alias("cluster"), "key")
     groups = groups.union(groups.select("cluster", F.col("cluster").alias("key"))).union(clusters.select("component", "node")).distinct()
     # One row a set before any join, so that a set that many documents share meets no task as a group.
-    own = sets.where("key is not null").groupBy("key").agg(F.min("th").alias("th"), F.first("n_shingles").alias("n"))
-    members = stored(groups.join(own, "key"), "cluster-members")
-    # Texts of the sets in question: one for each, found again by its hash. The join is the same at every size.
-    texts = rows.select("th", "text").join(members.select("th").distinct().hint("merge"), "th", "left_semi")
+    own = sets.where("key is not null").groupBy("key").agg(F.min(F.struct("th", row_id.alias("d"))).alias("at"), F.first("n_shingles").alias("n"))
+    members = stored(groups.join(own.select("key", "at.*", "n"), "key"), "cluster-members")
+    # Texts of the sets in question: one for each, found again by its hash and row. The join is the same at every size.
+    texts = rows.select("th", row_id.alias("d"), "text").join(members.select("th", "d").distinct().hint("merge"), ["th", "d"], "left_semi").select("text")
     features = stored(texts.mapInArrow(features_of(size), FEATURES).dropDuplicates(["key"]), "set-features")
     links = links_of(members.select("cluster", "key", "n"), features, percent)
     return sets.select("doc_id", "n_shingles", "key"), components(links).select(F.col("node").alias("key"), "component")
@@ -462,6 +463,7 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at three words and 0.9; null and empty texts stand alone; equal sets link; repeated rows are kept."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

@@ -214,5 +214,9 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; null, empty and letterless texts are ``und`` with 0, ties go to the first language by name.
+
+    Repeated rows and null ids are kept; other columns of ``documents`` are not read; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

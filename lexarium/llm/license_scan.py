@@ -271,4 +271,22 @@ def summary(scanned: DataFrame) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase places and labels of every document; null and empty texts have no words, labels empty and score 0; repeated rows are kept."""
     return summary(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op8_license_scan`` that phrases alone decide."""
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def places_sql(phrases: tuple = PHRASES) -> str:
+    """DuckDB form of ``license_places``."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, unnest(list_filter(range(0, len(l)), lambda i: list_slice(l, i + 1, i + {len(p.split())}) = [{', '.join(repr(w) for w in p.split())}])) AS i, '{label}' AS label FROM w"
+        for p, label in phrases
+    )
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents), f AS ({found}),
+g AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY ALL)
+SELECT doc_id, len(l) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)"""

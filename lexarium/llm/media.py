@@ -146,6 +146,10 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's samples; a null or empty text is 64 zero samples without a peak; equal texts have equal values.
+
+    Repeated rows and null ids are kept; other columns are not read; an empty table gives no rows.
+    """
     m = encode_media(table(spark, sf_dir, "documents"))
     size = F.length("payload")
     return m.select(
@@ -158,3 +162,14 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.size("fingerprint").cast("string"), F.lower(F.lpad(F.hex(F.xxhash64("fingerprint")), 16, "0"))).alias("feature"),
     )
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op5_media`` that tell the samples read back."""
+    return op5_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+#: DuckDB form of ``media_payloads``: a WAV file has 44 bytes before its samples.
+PAYLOADS = r"""WITH r AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, greatest(64, ((octet_length(b) + 63) // 64) * 64) AS size, b FROM r)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(b || repeat('\x00'::BLOB, size - n)) AS payload_sha256, size + 44 AS media_bytes FROM p"""

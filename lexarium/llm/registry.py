@@ -32,9 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
     "pipeline": corpus_pipeline.run,
+    # Parts of two queries' columns that SQL can tell.
+    "license_places": license_scan.license_places,
+    "media_payloads": media.media_payloads,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle(),
+    "license_places": license_scan.places_sql(),
+    "media_payloads": media.PAYLOADS,
 }

@@ -292,6 +292,10 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from ``labels``; a null or empty text scores as one without matches, 0.5 counts as toxic.
+
+    Repeated rows are kept; a null id is not held out; other columns are not read; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     scored = assess(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select(

@@ -114,6 +114,7 @@ def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page; a null url, or one without ``://``, has no host and is allowed; repeated rows are kept."""
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
