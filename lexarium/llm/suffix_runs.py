@@ -11,7 +11,7 @@ from lexarium.llm.fingerprint import Ranges, mix
 #: Bytes, and words, of a gram whose hash chooses the suffixes.
 GRAM, WORD_GRAM = 64, 8
 #: Starts of windows handled at once; a longer text is cut so that every window lies in one piece.
-PIECE = 1 << 22
+PIECE = 1 << 20
 LOW = np.uint64((1 << 24) - 1)
 
 
