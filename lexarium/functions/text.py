@@ -83,12 +83,17 @@ def folds() -> tuple[str, str, str, str]:
 
 
 def unaccent(c: Column) -> Column:
-    """Lower-case letters without marks, compatibility characters as plain ones."""
+    """Lower-case letters without marks, compatibility characters as plain ones; ASCII text is only looked at once."""
     given, to, several, spread = folds()
-    many = F.from_json(F.lit(several), "map<string,string>")
-    plain = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
-    c = F.when(F.regexp_like(c, F.lit(spread)), plain).otherwise(c)
-    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), F.translate(c, given, to)).otherwise(c)
+
+    def folded(x: Column) -> Column:
+        many = F.from_json(F.lit(several), "map<string,string>")
+        plain = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(many, ch), ch)), "")
+        # The long class is tried only where a character beyond Latin-1, or a fraction, stands at all.
+        rare = F.regexp_like(x, F.lit(r"[\x{BC}-\x{BE}\x{100}-\x{10FFFF}]")) & F.regexp_like(x, F.lit(spread))
+        return F.when(F.regexp_like(x, F.lit(r"[^\x00-\x7F]")), F.translate(F.when(rare, plain).otherwise(x), given, to)).otherwise(x)
+
+    return F.element_at(F.transform(F.array(c), folded), 1)
 
 
 def fold(c: Column) -> Column:

@@ -49,9 +49,9 @@ class LexicalIndex:
     @classmethod
     def build(cls, docs: DataFrame) -> LexicalIndex:
         """From ``(doc_id, text)``. Weights below zero become EPSILON times the mean weight."""
-        terms = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-        counts = terms.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-        postings = stored(counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id"))), "postings")
+        held = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
+        terms = held.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
+        postings = stored(terms.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")).select("doc_id", "token", "tf", "dl"), "postings")
         corpus = docs.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("total")))
         corpus = corpus.select("n", (F.col("total") / F.col("n")).alias("avgdl"))
         df = postings.groupBy("token").agg(F.count("*").alias("df"))
