@@ -93,15 +93,19 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` vectors of largest dot product for each query, exactly: ``(query_id, doc_id, score, rank)``.
 
-    ``vectors(doc_id, embedding)``, ``queries(query_id, embedding)``; unit vectors, so the order is that of distance. The
-    queries are held by tasks in blocks of ``QUERY_BLOCK``; a task keeps its best ``k`` a query and batch.
+    ``vectors(doc_id, embedding)``, ``queries(query_id, embedding)``; unit vectors, so the order is that of distance. Driver and
+    tasks hold one block of about ``QUERY_BLOCK`` queries; several blocks are answered and written one by one. A task keeps its
+    best ``k`` a query and batch.
     """
-    held = [(r.query_id, r.embedding) for r in queries.where("embedding is not null").orderBy("query_id").toLocalIterator()]
-    out = None
-    for i in range(0, max(1, len(held)), QUERY_BLOCK):
-        part = _knn_block(vectors, held[i : i + QUERY_BLOCK], k)
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    place, out = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), None
+    for i in range(blocks):
+        held = [(r.query_id, r.embedding) for r in asked.where(place == i).orderBy("query_id").collect()]
+        part = _knn_block(vectors, held, k).withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= k)
+        part = stored(part, "knn-top") if blocks > 1 else part
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= k)
+    return out
 
 
 def _knn_block(vectors: DataFrame, queries: list[tuple], k: int) -> DataFrame:

@@ -34,7 +34,7 @@ def test_purge_and_migrate(spark):
     assert [(r.dept, r.changed) for r in moved] == [("b", True), (None, False), ("b", False)]
 
 
-def test_retrieval_small(spark):
+def test_retrieval_small(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue cat"), (4, ""), (5, "green"), (6, "grey")], "doc_id long, text string")
     q = spark.createDataFrame([(7, "red"), (8, "nothing")], "query_id long, text string")
     top = retrieve.bm25_top(retrieve.LexicalIndex.build(docs), q, 3).orderBy("query_id", "rank").collect()
@@ -43,6 +43,10 @@ def test_retrieval_small(spark):
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "doc_id long, embedding array<float>")
     near = retrieve.knn(vec, spark.createDataFrame([(7, [0.0, 1.0])], "query_id long, embedding array<float>"), 2).orderBy("rank").collect()
     assert [(r.doc_id, r.score) for r in near] == [(2, 1.0), (3, 0.8)]
+    many = spark.createDataFrame([(i, [float(i % 2), float(1 - i % 2)]) for i in range(20)] + [(99, None)], "query_id long, embedding array<float>")
+    whole = sorted(tuple(r) for r in retrieve.knn(vec, many, 2).collect())
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 6)
+    assert sorted(tuple(r) for r in retrieve.knn(vec, many, 2).collect()) == whole and len(whole) == 40
     run = lambda ids: spark.createDataFrame([(7, d, r) for r, d in enumerate(ids, 1)], "query_id long, doc_id long, rank int")
     fused = retrieve.fuse([(run([1, 2]), 1.0), (run([2, 3]), 1.0), (run([9]), 0.0)]).orderBy("fused_rank").collect()
     assert [r.doc_id for r in fused] == [2, 1, 3]
