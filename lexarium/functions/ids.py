@@ -47,6 +47,11 @@ def valid_department(c: Column) -> Column:
     return F.when(ok, department(c, True))
 
 
+def required_department(c: Column) -> Column:
+    """As ``valid_department``; an invalid name ends the job."""
+    return F.coalesce(valid_department(c), F.raise_error(F.concat(F.lit("invalid department: "), F.coalesce(c, F.lit("none")))).cast("string"))
+
+
 def safe_int(c: Column) -> Column:
     return F.coalesce(c.try_cast("bigint"), F.lit(MISSING))
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, fields
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.operators import catalog
+from lexarium.operators import catalog, merge
 from lexarium.sources.writers import VersionedTable
 
 TRUE, FALSE = ("1", "true", "yes", "on", "y", "t"), ("0", "false", "no", "off", "n", "f", "")
@@ -24,6 +25,23 @@ def truth(value, default: bool = False) -> bool:
     return default if value is None or word not in (*TRUE, *FALSE) else word in TRUE
 
 
+# What a run's label may hold, its longest form, deepest crawl and widest overlap in hours.
+LABEL, LABEL_MOST, DEPTH_MOST, OVERLAP_MOST = r"[A-Za-z0-9_.\- ]+", 120, 20, 168
+
+
+def ingest_request(label: str | None = None, depth: int | None = None, overlap_hours: int | None = None, confirm: bool | None = None) -> str | None:
+    """Checked arguments of an ingestion or (with ``confirm``) a purge; returns the label, blank as none. A ``ValueError`` says what is wrong."""
+    if label is not None and not (0 < len(label) <= LABEL_MOST and re.fullmatch(LABEL, label)):
+        raise ValueError("a label has 1 to 120 letters, digits, blanks or _ . -")
+    if depth is not None and not 1 <= depth <= DEPTH_MOST:
+        raise ValueError("depth is 1 to 20")
+    if overlap_hours is not None and not 0 <= overlap_hours <= OVERLAP_MOST:
+        raise ValueError("overlap is 0 to 168 hours")
+    if confirm is not None and confirm is not True:
+        raise ValueError("a purge must be confirmed")
+    return (label or "").strip() or None
+
+
 @dataclass(frozen=True)
 class Settings:
     """Settings of retrieval, fusion and retention with their defaults."""
@@ -242,3 +260,40 @@ class StoredIndex:
         if missing:
             raise FileNotFoundError(f"the index lacks {', '.join(missing)}: rebuild it")
         return LexicalIndex(**{p: t.read() for p, t in self.tables.items()})
+
+
+def purged(table: VersionedTable, where: Column, dry_run: bool = True) -> dict:
+    """Counts before, removed and after; unless it is a dry run, a version without the rows is promoted."""
+    kept, counts = merge.purge(table.read(), where)
+    told = counts.first().asDict() | {"dry_run": dry_run}
+    if not dry_run and told["removed"]:
+        table.promote(kept, told["after"])
+    return told
+
+
+class RunLog:
+    """Runs of jobs as an append-only table: name, state, start, end and a JSON of what they told."""
+
+    SCHEMA = "job string, state string, started timestamp, ended timestamp, told string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.table = spark, VersionedTable(spark, root)
+
+    def run(self, job: str, step: Callable[[], object]):
+        """The step's result; its end, or its error, is logged."""
+        started = datetime.now(timezone.utc).replace(tzinfo=None)
+
+        def log(state: str, told) -> None:
+            row = (job, state, started, datetime.now(timezone.utc).replace(tzinfo=None), json.dumps(told, default=json_value))
+            self.table.append(self.spark.createDataFrame([row], self.SCHEMA), 1)
+
+        try:
+            out = step()
+        except Exception as e:
+            log("failed", {"error": str(e)[:500]})
+            raise
+        log("done", out)
+        return out
+
+    def read(self) -> DataFrame:
+        return self.table.read()

@@ -143,6 +143,17 @@ def test_settings():
     assert [snapshots.truth(v) for v in ("Yes", 0, None, "maybe", True)] == [True, False, False, False, True]
 
 
+def test_ingest_requests(spark):
+    assert snapshots.ingest_request(" a b ", 20, 0, True) == "a b" and snapshots.ingest_request() is None and snapshots.ingest_request(" ") is None
+    for bad in ({"label": "a/b"}, {"label": ""}, {"label": "x" * 121}, {"depth": 0}, {"depth": 21}, {"overlap_hours": 169}, {"confirm": False}):
+        with pytest.raises(ValueError):
+            snapshots.ingest_request(**bad)
+    names = spark.createDataFrame([("BIG DATA",)], "x string")
+    assert names.select(ids.required_department(F.col("x"))).first()[0] == "bigdata"
+    with pytest.raises(Exception, match="invalid department"):
+        names.select(ids.required_department(F.lit("a$b"))).collect()
+
+
 def test_catalog_snapshot(spark, tmp_path):
     data = tmp_path / "data.jsonl"
     data.write_text('{"a": 1}\n\n')
@@ -201,3 +212,17 @@ def test_relevance(spark):
     rows_ = [(1, " 5 ", ["6", "x"], None, [" a "], [("5", None, "3"), (None, "b", "bad"), ("7", None, "-1"), (None, None, "2")]), (2, None, None, "", None, None)]
     got = {(r.query_id, r.identity): r.grade for r in evaluate.expected_relevance(spark.createDataFrame(rows_, evaluate.EXPECTED)).collect()}
     assert got == {(1, "ticket:5"): 3.0, (1, "ticket:6"): 1.0, (1, "conversation:a"): 1.0, (1, "conversation:b"): 1.0, (1, "ticket:7"): 0.0}
+
+
+def test_purge_and_run_log(spark, tmp_path):
+    from lexarium.sources.writers import VersionedTable
+
+    kept = VersionedTable(spark, str(tmp_path / "rows"))
+    kept.promote(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, department string"))
+    hit = F.col("department") == "a"
+    assert snapshots.purged(kept, hit) == {"before": 3, "removed": 1, "after": 2, "dry_run": True} and kept.read().count() == 3
+    log = snapshots.RunLog(spark, str(tmp_path / "log"))
+    assert log.run("purge", lambda: snapshots.purged(kept, hit, dry_run=False))["after"] == 2 and kept.read().count() == 2
+    with pytest.raises(ZeroDivisionError):
+        log.run("broken", lambda: 1 / 0)
+    assert sorted((r.job, r.state) for r in log.read().collect()) == [("broken", "failed"), ("purge", "done")]
