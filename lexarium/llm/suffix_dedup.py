@@ -348,7 +348,9 @@ def copied(docs: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("th").agg(F.count("*").alias("n"), F.first("size").alias("size")).where((F.col("n") > 1) & (F.col("size") >= least))
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, words: int = 0, characters: bool = False) -> DataFrame:
+def repeated(
+    docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, words: int = 0, characters: bool = False, passages_only: bool = False
+) -> DataFrame:
     """Byte spans of every distinct text covered by a ``window``-byte string that starts anywhere else too.
 
     ``docs`` needs ``text``; a null text counts as empty. Returns a stored table ``th`` (``text_key``), ``spans
@@ -359,7 +361,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, word
 
     With ``words`` (9 at least), ``passages`` is the text without the spans and without passages of so many words that stand
     anywhere else too, whatever their length in bytes and the white space between their words; it has no parts of
-    characters that a span cuts. With ``characters`` neither has ``kept``. A text with a passage only has no spans.
+    characters that a span cuts. With ``characters`` neither has ``kept``. A text with a passage only has no spans. With
+    ``passages_only`` there are no ``spans`` and ``kept``.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -385,7 +388,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, word
                 passages = passages.withColumn("words", F.lit(True)).union(copies.select("th", F.lit(0), F.lit(-1), F.lit(True)))
                 both = spans_found(once, found.union(passages), window, words, characters=True)
                 both = both.select("th", F.col("kept").cast("string").alias("passages"))
-                out = stored(out, "byte-spans").join(both, "th", "full")
+                out = both if passages_only else stored(out, "byte-spans").join(both, "th", "full")
             return stored(out, "repeated-spans", keep=True)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -398,7 +401,7 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW, words: int = 0) -> Data
     unchanged; row order is not kept; repeated rows lose all of their text if it is long enough; an empty table stays empty.
     """
     with scratch(docs.sparkSession):
-        found = repeated(docs, window, words=words, characters=True)
+        found = repeated(docs, window, words=words, characters=True, passages_only=words > 0)
         changed = F.col("passages") if words else F.col("kept").cast("string")
         kept = stored(found.select("th", changed.alias("changed")), "kept-texts", keep=True)
     # The row travels as one struct, so its columns may have any names.
