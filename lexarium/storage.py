@@ -9,7 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: its shuffle files go as it ends, not when the driver next collects its garbage, and Python workers
+#: get rows in small batches, so that neither side holds many long texts at once.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,17 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Inside, an execution's shuffle files are deleted as it ends, not when the driver next collects its garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def lean_writes(spark: SparkSession) -> Iterator[None]:
+    """Inside, the settings ``WRITING`` hold; afterwards those from before."""
+    before = {name: spark.conf.get(name, None) for name in WRITING}
+    for name, value in WRITING.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 #: Paths of the tables written inside each open ``scratch``.
@@ -69,6 +73,6 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     holders = _scratch[: len(_scratch) - keep]
     if holders:
         holders[-1].append(path)
-    with shuffles_deleted(spark):
+    with lean_writes(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
