@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.storage import scratch, shared_dir, shuffles_deleted, stored
+from lexarium.storage import lean_writes, scratch, shared_dir, stored
 
-__all__ = ["batch", "components", "rows_where", "scratch", "shared_dir", "shuffles_deleted", "slices", "stored", "table"]
+__all__ = ["batch", "components", "lean_writes", "rows_where", "scratch", "shared_dir", "slices", "stored", "table"]
 
 #: Text bytes that a Python worker works on at once; bounds its memory whatever the batch holds.
 SLICE_BYTES = 2 << 20

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm.common import scratch, shuffles_deleted, slices, stored, table
+from lexarium.llm.common import lean_writes, scratch, slices, stored, table
 from lexarium.llm.fingerprint import Ranges, mix
 from lexarium.llm.suffix_runs import GRAM, WORD_GRAM, byte_units, window_runs, word_places, word_values
 from lexarium.storage import deleted
@@ -71,7 +71,7 @@ class SuffixIndex:
         if not self.home:
             return stored(df, name), None
         path = f"{self.home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        with shuffles_deleted(df.sparkSession):
+        with lean_writes(df.sparkSession):
             df.write.option("compression", "zstd").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -369,7 +369,7 @@ def repeated(
     name = f"lexarium_texts_{uuid.uuid4().hex}"
     least = min(window, 2 * words - 1) if words else window
     # Distinct texts, bucketed, so that the joins below move only their small side.
-    with shuffles_deleted(spark):
+    with lean_writes(spark):
         long_texts(docs, least).repartition(n, "th").write.bucketBy(n, "th").sortBy("th").format("parquet").option("compression", "zstd").saveAsTable(name)
     try:
         with scratch(spark):
