@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexarium.operators import retrieve, search
 from lexarium.operators.variants import exact_token, rerank_queries, variants, words
-from lexarium.plans.search import BM25, TOK, bm25_sql
-from lexarium.plans.surface import CHUNKS, chunk_fields, q_department, q_filter, q_normalize, q_strip
+from lexarium.plans.search import BM25, bm25_sql
+from lexarium.plans.surface import CHUNKS, chunk_fields, q_department, q_filter, q_normalize
 from lexarium.plans.tables import table
 
 #: (text, earliest day, latest day, department, how many).

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.functions import dates, ids, text, urls
-from lexarium.operators import catalog, clean, evaluate, merge, prepare, rows, search
+from lexarium.operators import catalog, clean, evaluate, merge, rows, search
 from lexarium.plans.preparation import (
     DATASET,
     PAGE_LINES,
