@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from lexarium.llm import (
     byte_bpe,
+    clustered_layout,
     decontaminate,
+    filter_audit,
     html_extract,
     jaccard_join,
     language_id,
@@ -18,6 +20,7 @@ from lexarium.llm import (
     suffix_dedup,
     toxicity,
     url_filter,
+    warc_zip,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_clustered_layout": clustered_layout.op11_clustered_layout,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_warc": warc_zip.op13_warc,
     "pipeline": corpus_pipeline.run,
     # Parts of two queries' columns that SQL can tell.
     "license_places": license_scan.license_places,
@@ -40,6 +46,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle(),
+    "op11_clustered_layout": clustered_layout.oracle(),
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_warc": warc_zip.ORACLE_SQL,
     "license_places": license_scan.places_sql(),
     "media_payloads": media.PAYLOADS,
 }
