@@ -1,4 +1,4 @@
-"""Ranked retrieval: BM25, exact vector search, reciprocal-rank fusion, rescues, reranking and boosts.
+"""Ranked retrieval: exact vector search, reciprocal-rank fusion, rescues, reranking and boosts.
 
 Every function takes and returns DataFrames over (query_id, doc_id), so one plan answers one query or a
 batch. Ranks come from scores rounded to six digits with the id as last key, so that order never
@@ -8,7 +8,6 @@ depends on the order of summation.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexarium.functions.text import fold, tokens
-from lexarium.storage import stored
+from lexarium.operators.lexical import LexicalIndex, best_first, bm25, bm25_top, overlaps
+from lexarium.storage import scratch, stored
 
-# BM25 parameters, fusion constant, pools and boosts.
-K1, B, EPSILON = 1.5, 0.75, 0.25
+__all__ = ["LexicalIndex", "best_first", "bm25", "bm25_top", "overlaps"]
+
+# Fusion constant, pools and boosts.
 RRF_K = 60
 SEMANTIC_K, LEXICAL_K, RESCUE_K, RERANK_N, FINAL_K = 64, 40, 24, 60, 8
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT = 0.8, 0.2
@@ -33,63 +34,6 @@ EXACT_SEQ = 1_000_000_000
 QUERY_BLOCK = 4096
 
 
-def best_first(score: str = "score") -> Window:
-    return Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")
-
-
-@dataclass
-class LexicalIndex:
-    """Term counts with what BM25 needs: one row a document and token, token weights, corpus size."""
-
-    postings: DataFrame  # doc_id, token, tf, dl
-    weights: DataFrame  # token, idf
-    docs: DataFrame  # doc_id
-    corpus: DataFrame  # one row: n, avgdl
-
-    @classmethod
-    def build(cls, docs: DataFrame) -> LexicalIndex:
-        """From ``(doc_id, text)``. Weights below zero become EPSILON times the mean weight."""
-        held = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-        terms = held.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
-        postings = stored(terms.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")).select("doc_id", "token", "tf", "dl"), "postings")
-        corpus = docs.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("total")))
-        corpus = corpus.select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-        df = postings.groupBy("token").agg(F.count("*").alias("df"))
-        raw = df.crossJoin(corpus).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-        weights = raw.crossJoin(raw.agg(F.avg("idf").alias("mean"))).select(
-            "token", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf")
-        )
-        return cls(postings, stored(weights, "term-weights"), docs.select("doc_id"), stored(corpus, "corpus"))
-
-
-def bm25(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """Scores of all documents that share a token with ``queries(query_id, text)``; repeated tokens count again."""
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighted = terms.join(index.weights, "token")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    return (
-        index.postings.join(weighted, "token")
-        .crossJoin(F.broadcast(index.corpus))
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
-    )
-
-
-def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best documents of each query; where fewer match, documents without a match follow by id with 0."""
-    scored = bm25(index, queries)
-    top = stored(scored.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= k), "bm25-top")
-    found = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-    short = found.where(F.coalesce("n", F.lit(0)) < k).select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
-    # A short query has fewer than k matches, all of them in top: 2k first ids are enough to fill it.
-    first = index.docs.orderBy("doc_id").limit(2 * k)
-    fill = short.crossJoin(first).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) + F.col("n")
-    fill = fill.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
-    return top.unionByName(fill.select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank"))
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` vectors of largest dot product for each query, exactly: ``(query_id, doc_id, score, rank)``.
 
@@ -204,12 +148,18 @@ def final_top(reranked: DataFrame, k: int = FINAL_K) -> DataFrame:
 
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = FINAL_K) -> DataFrame:
-    """The whole plan: two ranked lists, fusion, rescue, rerank, cut: ``(query_id, rank, doc_id, fused_score, rerank_score)``."""
-    semantic = stored(knn(vectors, query_vectors, SEMANTIC_K), "semantic-top")
-    lexical = bm25_top(LexicalIndex.build(docs), queries, LEXICAL_K)
-    fused = stored(fuse([(semantic, SEMANTIC_WEIGHT), (lexical, LEXICAL_WEIGHT)]), "fused")
-    chosen = stored(with_rescue(fused, semantic), "candidates")
-    return final_top(rerank(chosen, docs, queries), k).select("query_id", "rank", "doc_id", "fused_score", "rerank_score")
+    """The whole plan: two ranked lists, fusion, rescue, rerank, cut: ``(query_id, rank, doc_id, fused_score, rerank_score)``.
+
+    The result is a stored table; the index and the lists are deleted.
+    """
+    with scratch(docs.sparkSession):
+        semantic = stored(knn(vectors, query_vectors, SEMANTIC_K), "semantic-top")
+        index = LexicalIndex.build(docs)
+        lexical = bm25_top(index, queries, LEXICAL_K)
+        fused = stored(fuse([(semantic, SEMANTIC_WEIGHT), (lexical, LEXICAL_WEIGHT)]), "fused")
+        chosen = stored(with_rescue(fused, semantic), "candidates")
+        best = final_top(chosen.join(overlaps(index, chosen, queries), ["query_id", "doc_id"]), k)
+        return stored(best.select("query_id", "rank", "doc_id", "fused_score", "rerank_score"), "hybrid-search", keep=True)
 
 
 def low_information(text: Column, source_type: Column, chars: Column | None = None) -> Column:

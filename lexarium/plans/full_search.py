@@ -10,6 +10,7 @@ from lexarium.operators.variants import exact_token, rerank_queries, variants, w
 from lexarium.plans.search import BM25, bm25_sql
 from lexarium.plans.surface import CHUNKS, chunk_fields, q_department, q_filter, q_normalize
 from lexarium.plans.tables import table
+from lexarium.storage import settled
 
 #: (text, earliest day, latest day, department, how many).
 REQUESTS = (
@@ -152,5 +153,5 @@ SELECT query_id, rank, doc_id, fused_score, rerank_score FROM ranked WHERE rank
 DATE_ONLY = f"""WITH {CHUNKS}, g AS (SELECT doc_id, last_updated, ticket_id, 'ticket:' || ticket_id AS group_key FROM chunk WHERE source_type IS NULL AND last_updated::TIMESTAMP::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-02-20')
 SELECT doc_id, group_key FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY last_updated DESC, doc_id) AS n FROM g) WHERE n = 1"""
 
-QUERIES = {"search_full": search_full, "search_grouped": search_grouped, "search_by_date": date_only, "corrected_variants": corrected_variants}
+QUERIES = {"search_full": settled(search_full), "search_grouped": settled(search_grouped), "search_by_date": date_only, "corrected_variants": settled(corrected_variants)}
 ORACLE_SQL = {"search_full": FULL, "search_by_date": DATE_ONLY}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexarium.functions.text import tokens
 from lexarium.operators import evaluate, retrieve
 from lexarium.plans.tables import table
+from lexarium.storage import settled
 
 TOK = r"regexp_extract_all(strip_accents(lower(text)), '[a-z0-9_./+\\-]+')"
 
@@ -105,6 +106,10 @@ SELECT query_id, rank, doc_id, fused_score, rerank_score FROM (SELECT *, row_num
 FROM cand JOIN best USING (query_id, doc_id)) WHERE rank <= 8"""
 
 
+def bm25_topk(spark, d):
+    return lexical(spark, d, 10)
+
+
 def rrf_fuse(spark, d):
     return retrieve.fuse([(semantic(spark, d, 64), 0.8), (lexical(spark, d, 40), 0.2)])
 
@@ -222,19 +227,19 @@ FROM s a JOIN s b ON a.query_id // 4 = b.query_id // 4 AND a.query_id < b.query_
 LEX_WITH = f"WITH {BM25} {bm25_sql('lex', ASK, 40)}"
 QUERIES = {
     "hybrid_search": hybrid_search,
-    "bm25_topk": lambda s, d: lexical(s, d, 10),
+    "bm25_topk": settled(bm25_topk),
     "knn_topk": lambda s, d: semantic(s, d, 5),
-    "rrf_fuse": rrf_fuse,
-    "rrf_weighted_variants": rrf_weighted_variants,
-    "post_filter_search": post_filter_search,
-    "semantic_rescue": semantic_rescue,
-    "exact_match_rescue": exact_match_rescue,
-    "rerank_max_over_variants": rerank_max_over_variants,
+    "rrf_fuse": settled(rrf_fuse),
+    "rrf_weighted_variants": settled(rrf_weighted_variants),
+    "post_filter_search": settled(post_filter_search),
+    "semantic_rescue": settled(semantic_rescue),
+    "exact_match_rescue": settled(exact_match_rescue),
+    "rerank_max_over_variants": settled(rerank_max_over_variants),
     "typo_candidates": typo_candidates,
     "tokenize_df": vocabulary,
-    "eval_metrics": eval_metrics,
-    "eval_overall": eval_overall,
-    "case_invariance": case_invariance,
+    "eval_metrics": settled(eval_metrics),
+    "eval_overall": settled(eval_overall),
+    "case_invariance": settled(case_invariance),
 }
 ORACLE_SQL = {
     "hybrid_search": HYBRID,

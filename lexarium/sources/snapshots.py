@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, fields
@@ -98,10 +99,13 @@ class Files:
             out.write(bytearray(content.encode()))
         finally:
             out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(aside, p):
-            raise OSError(f"could not write {path}")
+        # One rename that replaces: whoever reads, and whoever comes after a crash, finds the old content or the new.
+        jvm = self.spark._jvm
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        whole = [fs.makeQualified(x) for x in (aside, p)]
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole[1].toUri(), self.spark._jsc.hadoopConfiguration()).rename(*whole, options)
 
     def read(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()[0]
@@ -124,17 +128,30 @@ class Files:
         return {"modified": newest, "bytes": size}
 
     @contextmanager
-    def lock(self, path: str) -> Iterator[None]:
-        """One writer at a time: the lock is a file that only one can create; a second writer gets an error."""
+    def lock(self, path: str, stale_after: float = 6 * 3600) -> Iterator[None]:
+        """One writer at a time: the lock is a file that only one can create; a second writer gets an error.
+
+        A lock that is older than ``stale_after`` seconds was left by a driver that died, and is taken over. It holds its owner's name.
+        """
         p, fs = self._at(path)
-        try:
-            fs.create(p, False).close()
-        except Exception as e:
-            raise RuntimeError(f"another writer holds {path}") from e
+        owner = uuid.uuid4().hex
+        for last in (False, True):
+            try:
+                out = fs.create(p, False)
+                break
+            except Exception as e:
+                age = time.time() - self.stamp(path)["modified"] / 1000 if fs.exists(p) else 0.0
+                if last or age <= stale_after:
+                    raise RuntimeError(f"another writer holds {path}") from e
+                fs.delete(p, False)
+        out.write(bytearray(owner.encode()))
+        out.close()
         try:
             yield
         finally:
-            fs.delete(p, False)
+            # Who was taken for dead leaves the other's lock alone.
+            if fs.exists(p) and self.read(path).strip() == owner:
+                fs.delete(p, False)
 
 
 def json_value(value):
@@ -237,31 +254,6 @@ class CatalogSnapshot:
         return self.rebuild(dataset, rows()) if self.stale(dataset) else self.table.read()
 
 
-class StoredIndex:
-    """A lexical index on disk: postings, token weights, documents and corpus size, promoted together."""
-
-    PARTS = ("postings", "weights", "docs", "corpus")
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.tables = spark, {p: VersionedTable(spark, f"{root}/{p}") for p in self.PARTS}
-
-    def rebuild(self, index, keep: int = 1) -> None:
-        """Writes all parts, then drops versions beyond the newest ``keep + 1``."""
-        for p, t in self.tables.items():
-            t.promote(getattr(index, p))
-        for t in self.tables.values():
-            t.retain(keep + 1)
-
-    def load(self):
-        """The index; an error if a part is missing."""
-        from lexarium.operators.retrieve import LexicalIndex
-
-        missing = [p for p, t in self.tables.items() if not t.versions()]
-        if missing:
-            raise FileNotFoundError(f"the index lacks {', '.join(missing)}: rebuild it")
-        return LexicalIndex(**{p: t.read() for p, t in self.tables.items()})
-
-
 def purged(table: VersionedTable, where: Column, dry_run: bool = True) -> dict:
     """Counts before, removed and after; unless it is a dry run, a version without the rows is promoted."""
     kept, counts = merge.purge(table.read(), where)

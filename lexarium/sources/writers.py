@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,59 +20,120 @@ def by_department(df: DataFrame, path: str) -> None:
     spread.repartition("department", "_part").drop("_part").write.mode("overwrite").partitionBy("department").json(path)
 
 
-class VersionedTable:
-    """Versions of a table: each is a small file that names the data folders that make it up, written after a check.
+class Versions:
+    """Numbered states of something, each a small JSON file: the newest whole one counts.
 
-    Data is written once: an append adds a folder and names the others again, so it costs what the delta costs.
+    A state is made from the one before and claims the next number by creating its file, which only one writer can; the other
+    looks at what has come meanwhile and claims the number after. A file that is not whole yet is no state for readers; a writer
+    that stays in its way for longer than ``PATIENCE`` seconds has died, and its file goes.
     """
 
+    PATIENCE = 30.0
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _names(self, first: str) -> list[str]:
+    def names(self, first: str) -> list[str]:
+        """Files and folders whose name begins with ``first``, in order."""
         if not self._fs.exists(self._path(self.root)):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
         return sorted(n for n in names if n.startswith(first))
 
+    def held(self, version: str) -> dict | None:
+        """A state by its name; None if it is not whole."""
+        stream = self._fs.open(self._path(f"{self.root}/{version}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def newest(self) -> tuple[str, dict]:
+        """Name and content of the newest state; ``("", {})`` if there is none."""
+        for name in reversed(self.names("v")):
+            if (found := self.held(name)) is not None:
+                return name, found
+        return "", {}
+
+    def commit(self, change: Callable[[dict], dict]) -> str:
+        """The state that ``change`` makes of the newest one; ``change`` is called again if another writer was faster."""
+        waiting, since = "", 0.0
+        while True:
+            before, state = self.newest()
+            names = self.names("v")
+            if names and names[-1] > before:
+                # A writer has claimed a number and not ended.
+                if waiting != names[-1]:
+                    waiting, since = names[-1], time.monotonic()
+                elif time.monotonic() - since > self.PATIENCE:
+                    self._fs.delete(self._path(f"{self.root}/{waiting}"), False)
+                time.sleep(0.05)
+                continue
+            name = f"v{int(before[1:] or 0) + 1:012d}"
+            content = bytearray(json.dumps(change(state)).encode())
+            try:
+                out = self._fs.create(self._path(f"{self.root}/{name}"), False)
+            except Exception:
+                if not self._fs.exists(self._path(f"{self.root}/{name}")):
+                    raise
+                continue
+            out.write(content)
+            out.close()
+            return name
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+
+class VersionedTable:
+    """Versions of a table: each names the data folders that make it up, and is written after a check.
+
+    Data is written once: an append adds a folder and names the others again, so it costs what the delta costs. Writers may run at
+    the same time: each append is in the versions after it.
+    """
+
+    #: Folders that no version names are deleted when they are so old: a younger one may be about to be named.
+    ORPHAN_SECONDS = 24 * 3600
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.log = spark, root.rstrip("/"), Versions(spark, root)
+
     def versions(self) -> list[str]:
         """Promoted versions, oldest first."""
-        return self._names("v")
-
-    def _held(self, version: str) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/{version}", wholetext=True).first()[0])
+        return self.log.names("v")
 
     def read(self) -> DataFrame:
-        have = self.versions()
-        if not have:
+        name, state = self.log.newest()
+        if not name:
             raise FileNotFoundError(f"no promoted version in {self.root}")
-        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in self._held(have[-1])["parts"]])
+        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in state["parts"]])
 
-    def _write(self, df: DataFrame, rows: int | None, before: dict) -> str:
-        """A part, read back and counted, and then the version that names it: the version's file appears as a whole."""
-        stamp = time.time_ns()
-        part, version = f"d{stamp}", f"v{stamp}"
+    def _write(self, df: DataFrame, rows: int | None, extend: bool) -> str:
+        """A part, read back and counted, and then the version that names it."""
+        part = f"d{time.time_ns()}"
         df.write.parquet(f"{self.root}/{part}")
         written = self.spark.read.parquet(f"{self.root}/{part}").count()
         if rows is not None and written != rows:
-            self._fs.delete(self._path(f"{self.root}/{part}"), True)
+            self.log.delete(part)
             raise ValueError(f"{written} rows written, {rows} expected")
-        out = self._fs.create(self._path(f"{self.root}/.{version}"))
-        out.write(bytearray(json.dumps({"parts": [*before["parts"], part], "rows": before["rows"] + written}).encode()))
-        out.close()
-        self._fs.rename(self._path(f"{self.root}/.{version}"), self._path(f"{self.root}/{version}"))
-        return version
+
+        def grown(state: dict) -> dict:
+            before = state if extend else {}
+            return {"parts": [*before.get("parts", []), part], "rows": before.get("rows", 0) + written}
+
+        return self.log.commit(grown)
 
     def promote(self, df: DataFrame, rows: int | None = None) -> str:
         """A version of its own, of ``rows`` rows where that is known; if the check fails the one before stays."""
-        return self._write(df, rows, {"parts": [], "rows": 0})
+        return self._write(df, rows, False)
 
     def append(self, delta: DataFrame, rows: int | None = None) -> str:
-        """The current version and ``delta``, of ``rows`` rows where that is known."""
-        have = self.versions()
-        return self._write(delta, rows, self._held(have[-1]) if have else {"parts": [], "rows": 0})
+        """The version that is current when the delta is written, and ``delta``, of ``rows`` rows where that is known."""
+        return self._write(delta, rows, True)
 
     def append_or_rebuild(self, delta: DataFrame, everything: DataFrame) -> str:
         try:
@@ -87,17 +149,22 @@ class VersionedTable:
         have = self.versions()
         if len(have) < 2:
             raise ValueError("no version to go back to")
-        self._fs.delete(self._path(f"{self.root}/{have[-1]}"), False)
+        self.log.delete(have[-1])
         return have[-2]
 
     def retain(self, keep: int, apply: bool = True) -> list[str]:
-        """Names of versions beyond the newest ``keep``, deleted with the data that only they name if ``apply``."""
+        """Names of versions beyond the newest ``keep``, deleted with the data that only they name if ``apply``.
+
+        Folders that no version names go too once they are a day old; younger ones may belong to a writer under way.
+        """
         have = self.versions()
         old = have[: -keep or None] if keep > 0 else []
         if apply and old:
-            named = {p for v in have[len(old) :] for p in self._held(v)["parts"]}
-            for name in [*old, *(p for p in self._names("d") if p not in named)]:
-                self._fs.delete(self._path(f"{self.root}/{name}"), True)
+            parts = {v: set((self.log.held(v) or {}).get("parts", [])) for v in have}
+            stay, go = (set().union(*(parts[v] for v in some)) for some in (have[len(old) :], old))
+            aged = {p for p in self.log.names("d") if p[1:].isdigit() and time.time_ns() - int(p[1:]) > self.ORPHAN_SECONDS * 10**9}
+            for name in [*old, *sorted((go | aged) - stay)]:
+                self.log.delete(name)
         return old
 
 
@@ -121,9 +188,3 @@ class VectorTable:
 
     def read(self) -> DataFrame:
         return self.table.read()
-
-
-def retention(listing: DataFrame, keep: int) -> DataFrame:
-    """Rows of ``(name, stamp)`` that are not among the newest ``keep``."""
-    newest = listing.orderBy(F.desc("stamp"), "name").limit(keep)
-    return listing.join(newest, ["name", "stamp"], "left_anti")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Writes under way in this process, and what the settings were before the first of them.
+_writing = threading.Lock()
+_writers, _before = 0, {}
+
+
 @contextmanager
 def lean_writes(spark: SparkSession) -> Iterator[None]:
-    """Inside, the settings ``WRITING`` hold; afterwards those from before."""
-    before = {name: spark.conf.get(name, None) for name in WRITING}
-    for name, value in WRITING.items():
-        spark.conf.set(name, value)
+    """Inside, the settings ``WRITING`` hold; those from before come back when the last of several writes at a time ends."""
+    global _writers
+    with _writing:
+        if not _writers:
+            _before.update({name: spark.conf.get(name, None) for name in WRITING})
+        _writers += 1
+        for name, value in WRITING.items():
+            spark.conf.set(name, value)
     try:
         yield
     finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+        with _writing:
+            _writers -= 1
+            for name, value in _before.items() if not _writers else ():
+                if value is None:
+                    spark.conf.unset(name)
+                else:
+                    spark.conf.set(name, value)
+
 
+#: The folder of each stored table.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
-#: Paths of the tables written inside each open ``scratch``.
-_scratch: list[list[str]] = []
+#: Paths of the tables written inside each open ``scratch``, outermost first. Each thread has its own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def deleted(spark: SparkSession, path: str) -> None:
@@ -52,13 +70,13 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables that ``stored`` wrote inside: for results that were stored with ``keep``."""
+    """Deletes, at its end, the tables that ``stored`` wrote inside, in the same thread: for results that were stored with ``keep``."""
     made: list[str] = []
-    _scratch.append(made)
+    token = _scratch.set((*_scratch.get(), made))
     try:
         yield
     finally:
-        _scratch.remove(made)
+        _scratch.reset(token)
         for path in made:
             deleted(spark, path)
 
@@ -70,9 +88,29 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    holders = _scratch[: len(_scratch) - keep]
+    holders = _scratch.get()
+    holders = holders[: len(holders) - keep]
     if holders:
         holders[-1].append(path)
     with lean_writes(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` returned, once nothing reads it any more; other tables stay."""
+    if df in _folders:
+        deleted(df.sparkSession, _folders.pop(df))
+
+
+def settled(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query with its result stored and all other tables that it wrote deleted."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *given) -> DataFrame:
+        with scratch(spark):
+            return stored(query(spark, *given), query.__name__, keep=True)
+
+    return run
