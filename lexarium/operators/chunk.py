@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexarium.functions.explode import exploded
 from lexarium.functions.text import normalize, strip
 
 # Sizes in characters.
@@ -100,7 +101,7 @@ def _packed_page(parts: Column, target: int, most: int) -> Column:
 def explode_page_chunks(pages: DataFrame, **sizes: int) -> DataFrame:
     """``(source, page, text)`` as chunks with a number in their page; pages need a source and a number from 1 on."""
     ok = pages.where("source is not null and page > 0")
-    parts = ok.select("source", "page", F.posexplode(page_chunks(F.col("text"), **sizes)).alias("chunk_in_page", "text"))
+    parts = exploded(ok, page_chunks(F.col("text"), **sizes), "text", "source", "page", position="chunk_in_page")
     return parts.withColumn("chunk_id", F.concat(F.sha1(F.col("source").cast("binary")).substr(1, 12), F.format_string("_p%03d_chunk_%03d", "page", "chunk_in_page")))
 
 

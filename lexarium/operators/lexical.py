@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.functions.explode import exploded
 from lexarium.functions.text import tokens
 from lexarium.storage import scratch, stored
 
@@ -21,6 +22,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SHARD_DOCS = 1024
 #: A query's first threshold comes from its heaviest tokens: so many postings for each document asked for.
 LEAD = 16
+#: Postings of a batch's tokens from which a search is pruned.
+PRUNE_FROM = 50_000_000
 #: Scores are rounded to six digits: what may still tie with the last place.
 SLACK = 2e-6
 
@@ -30,10 +33,14 @@ def impact(tf: Column, dl: Column, mean_length: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_length))
 
 
+def length_class(dl: Column) -> Column:
+    """Documents of like length: half powers of two."""
+    return F.floor(2 * F.log2(dl))
+
+
 def block_of(doc: Column, tf: Column, dl: Column, shards: int) -> Column:
-    """The block of a posting within its token: classes of count and length by half powers of two, and the document's shard."""
-    kind = F.floor(2 * F.log2(tf)) * 128 + F.floor(2 * F.log2(dl))
-    return kind * (1 << 24) + F.pmod(F.xxhash64(doc), F.lit(shards))
+    """The block of a posting within its token: classes of count and length, and the document's shard."""
+    return (length_class(tf) * 128 + length_class(dl)) * (1 << 24) + F.pmod(F.xxhash64(doc), F.lit(shards))
 
 
 def best_first(score: str = "score") -> Window:
@@ -42,8 +49,7 @@ def best_first(score: str = "score") -> Window:
 
 def counted(docs: DataFrame) -> DataFrame:
     """Postings ``(doc_id, token, tf, dl)`` of ``(doc_id, text)``."""
-    held = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    terms = held.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
+    terms = exploded(docs, tokens(F.col("text")), "token", "doc_id", size="dl")
     return terms.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")).select("doc_id", "token", "tf", "dl")
 
 
@@ -55,34 +61,34 @@ def directory(postings: DataFrame, shards: int) -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    """Term counts with what BM25 needs; the corpus's size is three numbers."""
+    """Term counts with what BM25 needs; the corpus's size is three numbers. ``blocks`` are made when they are first asked for."""
 
     postings: DataFrame  # doc_id, token, tf, dl
-    blocks: DataFrame  # token, block, top_tf, least_dl, n
-    weights: DataFrame  # token, df, idf, top: the largest impact of its blocks
+    weights: DataFrame  # token, df, idf
     docs: DataFrame  # doc_id
     n: int
     total: int
     shards: int
+    held_blocks: DataFrame | None = None  # token, block, top_tf, least_dl, n
 
     @property
     def mean_length(self) -> float:
         return self.total / self.n if self.total else 1.0
 
+    @property
+    def blocks(self) -> DataFrame:
+        if self.held_blocks is None:
+            self.held_blocks = stored(directory(self.postings, self.shards), "posting-blocks")
+        return self.held_blocks
+
     @classmethod
     def build(cls, docs: DataFrame) -> LexicalIndex:
         """From ``(doc_id, text)``. Weights below zero become EPSILON times the mean weight."""
         postings = stored(counted(docs), "postings")
-        n, total = docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        shards = n // SHARD_DOCS + 1
-        blocks = stored(directory(postings, shards), "posting-blocks")
-        known = blocks.groupBy("token").agg(F.sum("n").alias("df"), F.max(impact(F.col("top_tf"), F.col("least_dl"), total / n if total else 1.0)).alias("top"))
-        return cls(postings, blocks, stored(weighted(known, n), "term-weights"), docs.select("doc_id"), n, total, shards)
-
-    def lead_is_safe(self) -> bool:
-        """Bounds need weights that are not negative; a handful of documents can have a negative mean weight."""
-        least = self.weights.agg(F.min("idf")).first()[0]
-        return least is None or least >= 0
+        n = docs.count()
+        known = stored(postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), "term-counts")
+        total = known.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        return cls(postings, weighted(known.select("token", "df"), n), docs.select("doc_id"), n, total, n // SHARD_DOCS + 1)
 
 
 def weighted(known: DataFrame, n: int) -> DataFrame:
@@ -93,91 +99,95 @@ def weighted(known: DataFrame, n: int) -> DataFrame:
 
 
 def query_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """``(query_id, token, df, w, most)``: a token's weight in a query, where repeated ones count again, and the most it can add."""
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    w = F.col("times") * F.col("idf")
-    return terms.join(index.weights, "token").select("query_id", "token", "df", w.alias("w"), (w * F.col("top")).alias("most"))
+    """``(query_id, token, df, w)``: a token's weight in a query, where repeated ones count again."""
+    terms = exploded(queries, tokens(F.col("text")), "token", "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    return terms.join(index.weights, "token").select("query_id", "token", "df", (F.col("times") * F.col("idf")).alias("w"))
 
 
-def bm25(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """Scores of all documents that share a token with ``queries(query_id, text)``: every posting of every token."""
+def bm25(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """Scores of all documents that share a token with the ``query_terms`` of some queries: every posting of every token."""
     part = F.col("w") * impact(F.col("tf"), F.col("dl"), index.mean_length)
-    return index.postings.join(query_terms(index, queries), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return index.postings.join(terms.select("query_id", "token", "w"), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 @dataclass
 class Pruned:
     """The parts of a pruned search; ``lead``, ``kept`` and ``looked_up`` are the postings that it reads."""
 
-    terms: DataFrame
-    lead: DataFrame  # query_id, doc_id, part: all postings of the heaviest tokens
-    kept: DataFrame  # query_id, doc_id, part: postings of blocks that may hold one of the best
-    looked_up: DataFrame  # query_id, doc_id, part: light tokens of documents that may still be among the best
+    lead: DataFrame  # all postings of the heaviest tokens
+    kept: DataFrame  # postings of blocks that may hold one of the best
+    looked_up: DataFrame  # light tokens of documents that may still be among the best
     scores: DataFrame  # query_id, doc_id, score
 
 
-def pruned(index: LexicalIndex, queries: DataFrame, k: int) -> Pruned:
+def pruned(index: LexicalIndex, terms: DataFrame, k: int) -> Pruned:
     """Scores that are exact for the ``k`` best documents of each query and too low at most for others.
 
-    A query's heaviest tokens give a score that its ``k`` best reach (theta). Its lightest tokens, whose bounds together stay below
-    theta, can't bring a document among the best alone: documents are found by the other tokens, and of these only in blocks whose bound
-    and the bounds of all other tokens reach theta (a document among the best has no posting in another block). What they
-    add up to, with the bounds of the light tokens, leaves few documents, whose light tokens are looked up by document and token.
+    ``terms`` are ``query_terms`` without negative weights. A query's heaviest tokens give a score that its ``k`` best reach (theta). For
+    documents of like length, a token adds at most what its best block of that length allows, and a document of d tokens holds at most d of
+    the query's. The lightest tokens, whose bounds together stay below theta, can't bring a document among the best alone: documents are found by
+    the other tokens, and of these only in blocks whose bound and the bounds of all other tokens reach theta (a document among the best
+    has no posting in another block). What they add up to, with the bounds of the light tokens, leaves few documents, whose
+    light tokens are looked up by document and token.
     """
     part = F.col("w") * impact(F.col("tf"), F.col("dl"), index.mean_length)
-    own = index.postings.withColumn("block", block_of(F.col("doc_id"), F.col("tf"), F.col("dl"), index.shards))
-    by_weight = Window.partitionBy("query_id").orderBy(F.desc("most"), "token")
-    lighter = Window.partitionBy("query_id").orderBy("most", F.desc("token"))
-    terms = query_terms(index, queries).withColumns(
-        {
-            "before": F.coalesce(F.sum("df").over(by_weight.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "up_to": F.sum("most").over(lighter.rowsBetween(Window.unboundedPreceding, 0)),
-            "every": F.sum("most").over(Window.partitionBy("query_id")),
-        }
-    )
-    terms = stored(terms, "query-terms")
-    block_keys = index.blocks.join(terms, "token")
-
-    def postings_in(blocks: DataFrame) -> DataFrame:
-        return own.join(blocks.select("query_id", "token", "block", "w"), ["token", "block"]).select("query_id", "doc_id", part.alias("part"))
-
-    def kth(parts: DataFrame, of: str) -> DataFrame:
-        return parts.withColumn("_n", F.row_number().over(best_first(of))).where(F.col("_n") == k).select("query_id", F.col(of).alias("theta"))
-
-    lead = postings_in(block_keys.where(F.col("before") < LEAD * k))
-    theta = stored(kth(lead.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), "score"), "bm25-theta")
-    bound = F.col("w") * impact(F.col("top_tf"), F.col("least_dl"), index.mean_length)
+    own = index.postings.withColumns({"block": block_of(F.col("doc_id"), F.col("tf"), F.col("dl"), index.shards), "len": length_class(F.col("dl"))})
+    blocks = index.blocks.withColumns({"len": length_class(F.col("least_dl")), "bound": impact(F.col("top_tf"), F.col("least_dl"), index.mean_length)})
+
+    def postings_in(wanted: DataFrame, *on: str) -> DataFrame:
+        return own.join(wanted.select("query_id", "w", *on), list(on)).select("query_id", "doc_id", "len", part.alias("part"))
+
+    def kth(parts: DataFrame) -> DataFrame:
+        return parts.withColumn("_n", F.row_number().over(best_first())).where(F.col("_n") == k).select("query_id", F.col("score").alias("theta"))
+
+    heaviest = Window.partitionBy("query_id").orderBy(F.desc("w"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    first = terms.withColumn("before", F.coalesce(F.sum("df").over(heaviest), F.lit(0))).where(F.col("before") < LEAD * k)
+    lead = postings_in(blocks.select("token", "block").join(first, "token"), "token", "block")
+    theta = stored(kth(lead.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))), "bm25-theta")
+
+    of_length = Window.partitionBy("query_id", "len")
+    heavier, lighter = of_length.orderBy(F.desc("most"), "token"), of_length.orderBy("most", F.desc("token"))
+    bounds = terms.join(blocks.groupBy("token", "len").agg(F.max("bound").alias("top")), "token").withColumn("most", F.col("w") * F.col("top"))
+    bounds = bounds.withColumns({"nth": F.row_number().over(heavier), "up_to": F.sum("most").over(lighter.rowsBetween(Window.unboundedPreceding, 0))})
+    holds = F.col("nth") <= F.ceil(F.pow(F.lit(2.0), (F.col("len") + 1) / 2))
+    bounds = bounds.withColumn("every", F.sum(F.when(holds, F.col("most"))).over(of_length)).join(theta, "query_id", "left")
     reach = F.coalesce(F.col("theta") - SLACK, F.lit(0.0))
-    light = F.col("up_to") < reach
-    asked = block_keys.join(theta, "query_id", "left")
-    kept = postings_in(asked.where(~light & (bound + F.col("every") - F.col("most") >= reach)))
-    rest = terms.join(theta, "query_id", "left").where(light)
-    rests = rest.groupBy("query_id").agg(F.max("up_to").alias("rest"))
-    partial = stored(kept.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), "bm25-partial")
-    better = kth(partial, "score").withColumnRenamed("theta", "better")
+    bounds = stored(bounds.withColumns({"reach": reach, "light": F.col("up_to") < reach}).drop("theta", "df", "top", "nth"), "bm25-bounds")
+    kept = blocks.join(bounds.where("not light"), ["token", "len"])
+    kept = postings_in(kept.where(F.col("w") * F.col("bound") + F.col("every") - F.col("most") >= F.col("reach")), "token", "block")
+    partial = stored(kept.groupBy("query_id", "doc_id", "len").agg(F.sum("part").alias("score")), "bm25-partial")
     # The partial scores' own last place is a threshold too, and mostly a higher one.
-    alive = partial.join(theta, "query_id", "left").join(better, "query_id", "left").join(rests, "query_id", "left")
-    alive = alive.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce(F.greatest("theta", "better") - SLACK, F.lit(0.0))).select("query_id", "doc_id", "score")
-    pairs = alive.join(rest.select("query_id", "token", "w"), "query_id").select("query_id", "doc_id", "token", "w")
-    looked_up = index.postings.join(pairs, ["doc_id", "token"]).select("query_id", "doc_id", part.alias("part"))
+    rests = bounds.where("light").groupBy("query_id", "len").agg(F.max("up_to").alias("rest"))
+    alive = partial.join(theta.unionByName(kth(partial)).groupBy("query_id").agg(F.max("theta").alias("theta")), "query_id", "left").join(rests, ["query_id", "len"], "left")
+    alive = alive.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce(F.col("theta") - SLACK, F.lit(0.0)))
+    alive = stored(alive.select("query_id", "doc_id", "len", "score"), "bm25-alive")
+    pairs = alive.join(bounds.where("light").select("query_id", "len", "token", "w"), ["query_id", "len"]).drop("score", "len")
+    looked_up = own.join(pairs, ["doc_id", "token"]).select("query_id", "doc_id", "len", part.alias("part"))
     scores = alive.withColumnRenamed("score", "part").unionByName(looked_up).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return Pruned(terms, lead, kept, looked_up, scores)
+    return Pruned(lead, kept, looked_up, scores)
 
 
 def reads(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """``(postings, read)`` in one row: the postings of the queries' tokens, and those that a pruned search of ``k`` reads."""
-    p = pruned(index, queries, k)
-    read = p.lead.unionByName(p.kept).unionByName(p.looked_up)
-    return p.terms.agg(F.sum("df").alias("postings")).join(read.agg(F.count("*").alias("read")))
+    """``(postings, lead, kept, looked_up)`` in one row: the postings of the queries' tokens, and those that a pruned search of ``k`` reads."""
+    terms = stored(query_terms(index, queries), "query-terms")
+    p = pruned(index, terms, k)
+    out = terms.agg(F.sum("df").alias("postings"))
+    for name in ("lead", "kept", "looked_up"):
+        out = out.join(getattr(p, name).agg(F.count("*").alias(name)))
+    return out
 
 
 def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best documents of each query; where fewer match, documents without a match follow by id with 0.
 
-    The result is a stored table; what led to it is deleted.
+    Where the tokens have more than ``PRUNE_FROM`` postings the search is pruned, below that reading all costs less; both are exact. The result
+    is a stored table; what led to it is deleted.
     """
     with scratch(queries.sparkSession):
-        scored = pruned(index, queries, k).scores if index.lead_is_safe() else bm25(index, queries)
+        terms = stored(query_terms(index, queries), "query-terms")
+        # Bounds need weights that are not negative; a handful of documents can have a negative mean weight.
+        many, least = terms.agg(F.coalesce(F.sum("df"), F.lit(0)), F.min("w")).first()
+        scored = pruned(index, terms, k).scores if many > PRUNE_FROM and least >= 0 else bm25(index, terms)
         top = stored(scored.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= k), "bm25-top")
         found = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
         short = found.where(F.coalesce("n", F.lit(0)) < k).select("query_id", F.coalesce("n", F.lit(0)).alias("n"))

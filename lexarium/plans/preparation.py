@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.functions import html, ids, text, urls
+from lexarium.functions.explode import exploded
 from lexarium.operators import catalog, chunk, clean, merge, prepare, profile, retrieve
 from lexarium.plans.tables import table
 from lexarium.streaming import incremental
@@ -47,12 +48,12 @@ def lexical_fold(s, d):
 
 
 def hard_split(s, d):
-    whole = docs(s, d).select("doc_id", F.posexplode(chunk.hard_split(F.col("text"), 600)).alias("part", "piece"))
+    whole = exploded(docs(s, d), chunk.hard_split(F.col("text"), 600), "piece", "doc_id", position="part")
     return whole.select("doc_id", F.col("part").cast("bigint"), F.length("piece").cast("bigint").alias("n"), F.sha1(F.col("piece").cast("binary")).alias("piece"))
 
 
 def split_long(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(chunk.split_long(F.col("text"), 600)).alias("part", "piece"))
+    return exploded(docs(s, d), chunk.split_long(F.col("text"), 600), "piece", "doc_id", position="part")
 
 
 HARD = rf"""WITH p AS (SELECT doc_id, i, {q_strip('substr(text, i * 600 + 1, 600)')} AS piece
@@ -127,7 +128,7 @@ TITLE = f"nullif({q_page_normalize(q_unescape(r'''regexp_replace(regexp_extract(
 
 
 def html_lines(s, d):
-    return pages(s, d).select("page_id", F.posexplode(html.lines(F.col("html"))).alias("n", "line")).select("page_id", F.col("n").cast("bigint"), "line")
+    return exploded(pages(s, d), html.lines(F.col("html")), "line", "page_id", position="n").select("page_id", F.col("n").cast("bigint"), "line")
 
 
 def html_text(s, d):
@@ -143,7 +144,7 @@ def page_chunks(s, d):
 def synthetic_pages(s, d):
     # Lines of a page stand as paragraphs, so that there is something to pack.
     body = F.array_join(html.lines(F.col("html")), "\n\n")
-    return pages(s, d).select("page_id", F.posexplode(chunk.synthetic_pages(body)).alias("page", "text"))
+    return exploded(pages(s, d), chunk.synthetic_pages(body), "text", "page_id", position="page")
 
 
 def page_acceptance(s, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarium.functions.explode import exploded
 from lexarium.functions.text import tokens
 from lexarium.operators import evaluate, retrieve
 from lexarium.plans.tables import table
@@ -132,7 +133,7 @@ def semantic_rescue(spark, d):
 
 def exact_match_rescue(spark, d):
     q = queries(spark, d).select("query_id", F.element_at(F.array_sort(F.filter(tokens(F.col("text")), lambda x: F.length(x) >= 4)), 1).alias("token"))
-    held = docs(spark, d).select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    held = exploded(docs(spark, d), F.array_distinct(tokens(F.col("text"))), "token", "doc_id")
     holds = held.join(q, "token").select("query_id", "doc_id")
     found = lexical(spark, d, 40)
     top = found.where("rank <= 2").select("query_id", "doc_id", F.col("score").alias("fused_score"), F.col("rank").alias("seq"))
@@ -156,7 +157,7 @@ def rerank_max_over_variants(spark, d):
 
 
 def vocabulary(spark, d):
-    held = docs(spark, d).select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    held = exploded(docs(spark, d), tokens(F.col("text")), "token", "doc_id")
     return held.groupBy("token").agg(F.count("*").alias("frequency"), F.countDistinct("doc_id").alias("df"))
 
 

@@ -159,7 +159,6 @@ class StoredIndex:
             raise FileNotFoundError(f"no index in {self.root}: rebuild it")
         n, total = state["n"], state["total"]
         blocks = self._all(state, "blocks").groupBy("token", "block").agg(F.max("top_tf").alias("top_tf"), F.min("least_dl").alias("least_dl"), F.sum("n").alias("n"))
-        top = blocks.groupBy("token").agg(F.max(lexical.impact(F.col("top_tf"), F.col("least_dl"), total / n if total else 1.0)).alias("top"))
-        known = self._all(state, "terms").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0").join(top, "token")
+        known = self._all(state, "terms").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
         postings = self._live(state, "postings").select("doc_id", "token", "tf", "dl")
-        return lexical.LexicalIndex(postings, blocks, lexical.weighted(known, n), self._live(state, "docs").select("doc_id"), n, total, state["shards"])
+        return lexical.LexicalIndex(postings, lexical.weighted(known, n), self._live(state, "docs").select("doc_id"), n, total, state["shards"], blocks)
