@@ -50,6 +50,18 @@ NEVER = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond reply replies "
     "related recommended".split()
 )
+#: Of the hints those that are words of other matters too (``share-price``, ``social-science``): they count as a whole name, or where the
+#: rest of the name tells of a part of a page.
+AMBIGUOUS = frozenset(
+    "share sharing social related search form alert notice notices respond reply replies menu banner consent modal login recommended "
+    "promotion subscription toolbar".split()
+)
+PARTNERS = frozenset(
+    "bar bars block blocks body box button buttons btn card center container content contents desktop dialog element field fixed float global grid group "
+    "header heading holder icon icons id img inner input item items js label large layout left link links list main message mobile module "
+    "outer overlay page panel post posts right row section site small sticky stories story tab text title toggle tool tools top bottom "
+    "articles unit view widget wrap wrapper zone area primary secondary media networks network news this us".split()
+)
 #: Hints that count outside articles only: an article's own header holds its title.
 OUTSIDE_HINTS = frozenset(["header"])
 
@@ -68,6 +80,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Blocks up to this many characters are short; denser links than this are bad (in an article than this, if
 #: the rest is running text); stop words from HIGH on are good for a block that is not short, below LOW bad.
 SHORT, LINKS, ARTICLE_LINKS, LOW, HIGH = 70, 0.33, 0.8, 0.08, 0.18
+#: In an article, so many blocks in a row that are links of at most so many characters are a menu, and so is any such element of a list.
+MENU, MENU_CHARS, LISTED = 3, 30, ("li", "ul", "ol", "menu", "dd", "dt", "td")
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -89,7 +103,9 @@ def marked(rest: str, in_article: bool) -> int:
             parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
             if parts[0] in ABOUT:
                 continue
-            if not HINTS.isdisjoint(parts) or (not in_article and not OUTSIDE_HINTS.isdisjoint(parts)):
+            told = {p for p in parts if p in HINTS}
+            rest_of = {p for p in parts if p not in HINTS and p not in PARTNERS and len(p) > 2}
+            if told and not (told <= AMBIGUOUS and rest_of) or (not in_article and not OUTSIDE_HINTS.isdisjoint(parts)):
                 found = max(found, 1 if NEVER.isdisjoint(parts) else 2)
     return found or (2 if hidden(rest) else 0)
 
@@ -174,10 +190,10 @@ def skipped(page: str, name: str, rest: str, end: int, lost: set[str]) -> int:
 
 
 class Blocks:
-    """Splits a page into blocks: (text, characters inside links, boilerplate 0 to 2, container)."""
+    """Splits a page into blocks: (text, characters inside links, boilerplate 0 to 2, container, element)."""
 
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, int, int]] = []
+        self.out: list[tuple[str, int, int, int, str]] = []
         self.parts: list[tuple[str, bool]] = []
         #: Open block elements: (name, inside boilerplate: 0 to 2, container); containers count articles, 0 is the page.
         self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
@@ -192,7 +208,7 @@ class Blocks:
             text = " ".join(entities.unescape("".join(t for t, _ in self.parts)).split())
             linked = sum(len(t.strip()) for t, link in self.parts if link)
             if text:
-                self.out.append((text, linked, self.stack[-1][1], self.stack[-1][2]))
+                self.out.append((text, linked, *self.stack[-1][1:], self.stack[-1][0]))
             self.parts = []
 
     def push(self, name: str, boiler: int, container: int) -> None:
@@ -251,7 +267,7 @@ class Blocks:
             self.links = 0
             self.pop(name)
 
-    def read(self, page: str) -> list[tuple[str, int, int, int]]:
+    def read(self, page: str) -> list[tuple[str, int, int, int, str]]:
         lost: set[str] = set()
         parts = tags(page)
         part = next(parts, None)
@@ -278,11 +294,12 @@ class Blocks:
 
 
 def first_pass(text: str, linked: int, boiler: bool, inside: bool, density: float, foreign: bool = False) -> str:
-    """good, bad, or short (for the second pass). In a ``foreign`` page stop words tell nothing."""
+    """good, bad, short (for the second pass), or link (of an article). In a ``foreign`` page stop words tell nothing."""
     if boiler:
         return "bad"
     if linked > LINKS * len(text) and not (inside and linked <= ARTICLE_LINKS * len(text) and (foreign or density >= LOW)):
-        return "bad"
+        # A headline, a paragraph or a source may be one link; what makes a menu is told by its neighbours.
+        return "link" if inside else "bad"
     if len(text) <= SHORT:
         return "short"
     if foreign or density >= HIGH:
@@ -290,47 +307,61 @@ def first_pass(text: str, linked: int, boiler: bool, inside: bool, density: floa
     return "bad" if density < LOW and not inside else "short"
 
 
-def kept_blocks(blocks: list[tuple[str, int, int, int]], least: int) -> list[str]:
+def kept_blocks(blocks: list[tuple[str, int, int, int, str]], least: int) -> list[str]:
     """Both passes over a page's blocks; elements that boilerplate marks by ``least`` or more are no part of the article.
 
     Once a page has an article or main element, its content lies there; else all blocks compete. Blocks
     that the first pass leaves open get the label of the nearest decided block of their container (a
-    tie: good only if both sides are); in an article that decides nothing they are good, in a page bad.
+    tie: that of the one that follows), never across boilerplate; in an article that decides nothing they are good, in a page bad.
     """
-    inside = any(c for *_, c in blocks)
-    blocks = [(t, n, boiler >= least, c) for t, n, boiler, c in blocks if bool(c) == inside]
-    words = [[] if boiler else WORD.findall(t.lower()) for t, _, boiler, _ in blocks]
+    inside = any(c for *_, c, _ in blocks)
+    blocks = [(t, n, boiler >= least, c, name) for t, n, boiler, c, name in blocks if bool(c) == inside]
+    words = [[] if boiler else WORD.findall(t.lower()) for t, _, boiler, *_ in blocks]
     stops = [sum(w in STOP_WORDS for w in own) for own in words]
     long = [i for i, (t, n, *_) in enumerate(blocks) if len(t) > SHORT and n <= LINKS * len(t)]
     foreign = sum(stops[i] for i in long) < LOW * sum(len(words[i]) for i in long)
     labels = [
         first_pass(t, n, boiler, bool(c), stop / max(1, len(own)), foreign)
-        for (t, n, boiler, c), stop, own in zip(blocks, stops, words, strict=True)
-    ]
-    # A link list or an advert within an article is cut, but decides nothing about the text around it.
-    decided = [
-        None if label == "short" or (label == "bad" and c) else (i, label) for i, (label, (*_, c)) in enumerate(zip(labels, blocks, strict=True))
+        for (t, n, boiler, c, _), stop, own in zip(blocks, stops, words, strict=True)
     ]
+    menus(blocks, labels)
+    # A link list or an advert within an article is cut, but decides nothing about the text around it. Nor do elements that are marked, anywhere:
+    # no label is inherited across them.
+    decided = [None if label == "short" or boiler or (label == "bad" and c) else label for label, (_, _, boiler, c, _) in zip(labels, blocks, strict=True)]
     before, after = [None] * len(blocks), [None] * len(blocks)
     for out, order in ((before, range(len(blocks))), (after, range(len(blocks) - 1, -1, -1))):
         last = None
         for i in order:
-            if last and blocks[last[0]][3] != blocks[i][3]:
+            if (last and blocks[last[0]][3] != blocks[i][3]) or (blocks[i][2] and not blocks[i][3]):
                 last = None
             out[i] = last
-            last = decided[i] or last
+            last = (i, decided[i]) if decided[i] else last
     kept = []
     for i, (block, label) in enumerate(zip(blocks, labels, strict=True)):
         if label == "short":
-            near = [x for x in (before[i], after[i]) if x]
-            least_far = min((abs(x[0] - i) for x in near), default=0)
-            told = {x[1] for x in near if abs(x[0] - i) == least_far}
-            label = ("good" if block[3] else "bad") if not told else "good" if told == {"good"} else "bad"
+            # The one that follows wins a tie: a heading belongs to what it stands above.
+            near = [x for x in (after[i], before[i]) if x]
+            label = min(near, key=lambda x: abs(x[0] - i))[1] if near else "good" if block[3] else "bad"
         if label == "good":
             kept.append(block[0])
     return kept
 
 
+def menus(blocks: list[tuple[str, int, bool, int, str]], labels: list[str]) -> None:
+    """Decides the blocks of an article that are links: short ones are bad in a list, or ``MENU`` or more in a row; others are good."""
+    i = 0
+    while i < len(labels):
+        j = i + 1
+        if labels[i] == "link":
+            while j < len(labels) and labels[j] == "link" and blocks[j][3] == blocks[i][3]:
+                j += 1
+            few = j - i < MENU or any(len(t) > MENU_CHARS for t, *_ in blocks[i:j])
+            for k in range(i, j):
+                listed = blocks[k][4] in LISTED and len(blocks[k][0]) <= MENU_CHARS
+                labels[k] = "good" if few and not listed else "bad"
+        i = j
+
+
 def main_text(page: str | None) -> str:
     """Text of the blocks that are part of the article, joined by two line feeds.
 

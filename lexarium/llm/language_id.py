@@ -141,7 +141,8 @@ def fit(docs: DataFrame) -> LanguageFilter:
 
     The sample is bounded: about ``SAMPLE_ROWS`` rows a language, chosen by a hash of ``doc_id`` against
     each language's row count. Executors count in how many sampled rows each gram occurs; the driver gets
-    the ``TOP_GRAMS`` most frequent grams of each language. Rows with a null text, lang or doc_id are not used.
+    the ``TOP_GRAMS`` most frequent grams of each language. Rows with a null text, lang or doc_id are not used, nor are texts of
+    more than ``SAMPLE_CHARS`` characters.
     """
     rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
     rows = rows.where(~held_out(F.col("doc_id")))

@@ -229,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Learn from labelled rows that are not held out, by a bounded sample of ``SAMPLE_ROWS`` a class.
 
     The sampled ids come from ``labels`` alone (smallest hashes), so the texts are not shuffled: at most
-    2 x ``SAMPLE_ROWS`` ids are broadcast to their scan. Null ids, texts and labels are not used; of several
-    labels of an id the largest counts.
+    2 x ``SAMPLE_ROWS`` ids are broadcast to their scan. Null ids, texts and labels are not used, nor are texts of more than
+    ``SAMPLE_CHARS`` characters; of several labels of an id the largest counts, of several texts the first in order.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
@@ -243,9 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         .where("text is not null")
         .join(F.broadcast(ids), "doc_id")
         .where(F.length("text") <= SAMPLE_CHARS)
-        .select("doc_id", "text", "toxic")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
     )
-    pairs = sorted({(r.doc_id, r.text, r.toxic) for r in rows.collect()})
+    # One row an id before it gets here: at most 2 x SAMPLE_ROWS texts of SAMPLE_CHARS characters.
+    pairs = sorted((r.doc_id, r.text, r.toxic) for r in rows.collect())
     return learn([t for _, t, _ in pairs], [y for _, _, y in pairs])
 
 

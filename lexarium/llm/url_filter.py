@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import urljoin
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarium.functions.urls import joined
 from lexarium.llm.common import components, stored, table
 
 #: (decision, host, path); a rule fits its host and all subdomains.
@@ -45,31 +43,41 @@ def canonical_form(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path_of(url), r"(\.html)?/*$", ""))
 
 
-def resolved(url: str | None, base: str | None, target: str) -> str | None:
-    """A link target as an absolute url, by the page's url and its base element; null if it is none."""
-    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://", target):
-        return target
-    _, mark, rest = (url or "").partition("://")
-    try:
-        # Forms have no scheme, and only known ones are resolved against.
-        return urljoin(urljoin(f"http://{rest}", base or ""), target) if mark else None
-    except ValueError:
-        return None
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, in quotes or not, trimmed; empty if there is none."""
+    forms = [rf'(?is)\b{name}\s*=\s*"([^"]*)"', rf"(?is)\b{name}\s*=\s*'([^']*)'", rf"(?is)\b{name}\s*=\s*([^\s\"'>]+)"]
+    return F.trim(F.coalesce(*(F.nullif(F.regexp_extract(tag, f, 1), F.lit("")) for f in forms), F.lit("")))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link target as an absolute url, taken from ``base``; null if it names no document or there is nothing to take it from."""
+    return (
+        F.when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
+        .when(target.rlike(r"^([?#]|$)"), base)
+        .otherwise(joined(base, target))
+    )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """Redirect and canonical-link edges ``(a, b)`` between canonical forms, from the pages' heads.
 
     Read from every ``<link rel=canonical href=...>`` and ``<meta http-equiv=refresh content="0; url=...">``;
-    relative targets are resolved against the page's url (and ``<base href>``); null url or html give none.
+    relative targets are resolved against the page's url (and its first ``<base href>``), forms of which have no scheme; null url or html
+    give none.
     """
-    tags = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag")
-    base = F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref=[\"']?([^\"'\s>]+)", 1).alias("base")
-    canonical = F.regexp_extract("tag", r"(?is)^<link\b(?=[^>]*\brel=[\"']?canonical\b)[^>]*\bhref=[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?is)^<meta\b(?=[^>]*\bhttp-equiv=[\"']?refresh\b)[^>]*\burl=[\"']?([^\"'\s>]+)", 1)
-    found = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", base, tags)
-    found = found.select("url", "base", F.concat(canonical, refresh).alias("target")).where("target <> ''")
-    found = found.select(canonical_form(F.col("url")).alias("a"), F.udf(resolved, "string")("url", "base", "target").alias("to"))
+    found = pages.where(F.col("html").rlike("(?i)canonical|refresh"))
+    own = F.concat(F.lit("http://"), F.regexp_extract("url", r"(?s)^.*?://(.*)$", 1))
+    base = resolved(own, attribute(F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0), "href"))
+    tags = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)))
+    found = found.where(F.col("url").contains("://")).select("url", base.alias("base"), tags.alias("tag"))
+    refresh = F.trim(F.regexp_extract(attribute(F.col("tag"), "content"), r"(?is)\burl\s*=\s*[\"']?([^\"']+)", 1))
+    is_canonical = F.col("tag").rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b")
+    is_refresh = F.col("tag").rlike(r"(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
+    target = F.when(is_canonical, attribute(F.col("tag"), "href")).when(is_refresh, refresh)
+    found = found.select("url", "base", target.alias("target")).where("target <> ''")
+    found = found.select(canonical_form(F.col("url")).alias("a"), resolved(F.col("base"), F.col("target")).alias("to"))
     return found.where("to like '%://%' and a <> ''").select("a", canonical_form(F.col("to")).alias("b")).where("a <> b")
 
 
@@ -132,16 +140,30 @@ def oracle(rules=RULES) -> str:
     def form(u: str) -> str:
         return rf"regexp_replace({host(u)}, '^(www|m)\.', '') || regexp_replace({path(u)}, '(\.html)?/*$', '')"
 
+    def attr(tag: str, name: str) -> str:
+        quoted = rf"regexp_extract({tag}, '(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\s\"''>]+))', ['a', 'b', 'c'])"
+        return f"trim(coalesce(nullif({quoted}.a, ''), nullif({quoted}.b, ''), nullif({quoted}.c, ''), ''))"
+
+    def absolute(base: str, target: str) -> str:
+        root, folder = rf"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')", rf"regexp_replace(regexp_extract({base}, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]*$', '')"
+        whole = rf"regexp_replace(CASE WHEN starts_with({target}, '/') THEN {target} ELSE CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {target} END, '[?#].*$', '')"
+        parts = f"list_transform(string_split({whole}, '/')[2:], lambda x: [x])"
+        dots = f"list_reduce(list_prepend([]::VARCHAR[], {parts}), lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[:-2] ELSE list_concat(acc, x) END)"
+        return rf"""CASE WHEN regexp_matches({target}, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN {target} WHEN starts_with({target}, '//') THEN 'http:' || {target}
+          WHEN regexp_matches({target}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL WHEN regexp_matches({target}, '^([?#]|$)') THEN {base} ELSE {root} || '/' || array_to_string({dots}, '/') END"""
+
     return rf"""
 WITH RECURSIVE own0 AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {form('url')} AS form FROM pages),
 fit AS (SELECT f.host, f.path, arg_max(d, length(h || p)) AS decision, arg_max(h || p, length(h || p)) AS rule
         FROM (SELECT DISTINCT host, path FROM own0) f, (VALUES {values}) r(d, h, p)
         WHERE (f.host = h OR f.host LIKE '%.' || h) AND starts_with(f.path, p) GROUP BY ALL),
 own AS (SELECT o.*, f.rule, f.decision FROM own0 o LEFT JOIN fit f USING (host, path)),
-tags AS (SELECT {form('url')} AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
-targets AS (SELECT a, CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel=["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref=["'']?([^"''\s>]+)', 1)
-                 WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv=["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl=["'']?([^"''\s>]+)', 1) END AS target FROM tags),
-links AS (SELECT DISTINCT a, {form('target')} AS b FROM targets WHERE target LIKE '%://%' AND a <> ''),
+tags AS (SELECT {form('url')} AS a, 'http://' || regexp_extract(url, '(?s)^.*?://(.*)$', 1) AS own, {attr("regexp_extract(html, '(?is)<base\\b[^>]*>')", 'href')} AS base,
+  unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+targets AS (SELECT a, {absolute('own', 'base')} AS base, CASE WHEN regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b') THEN {attr('tag', 'href')}
+  WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN trim(regexp_extract({attr('tag', 'content')}, '(?is)\burl\s*=\s*["'']?([^"'']+)', 1)) END AS target FROM tags),
+ends AS (SELECT a, {absolute('base', 'target')} AS target FROM targets WHERE target <> ''),
+links AS (SELECT DISTINCT a, {form('target')} AS b FROM ends WHERE target LIKE '%://%' AND a <> ''),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT DISTINCT form, form FROM own WHERE form <> '' UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 told AS (SELECT r.a AS form, bool_or(o.decision = 'allow') AS al, bool_or(o.decision = 'block') AS bl FROM reach r JOIN own o ON o.form = r.b GROUP BY 1)

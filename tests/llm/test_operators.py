@@ -325,6 +325,30 @@ def test_html_extract(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+PROSE = "the text of a page that is long enough to be one of the blocks that are read for all of what is in it, and of more "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav><a href=1>Home</a></nav><h1>The title</h1><p>{p}", ["The title", "{p}"]),
+        ("<p>{p}<p>The last line.</p><footer>(c) all of the rights</footer>", ["{p}", "The last line."]),
+        ("<p>{p}</p><footer>c</footer><div>Back to the top</div>", ["{p}"]),
+        ("<p>{p}</p><h3>Categories</h3><div><a href=x>News of the day</a> <a href=y>Sport of the week</a></div>", ["{p}"]),
+        ("<article><h2><a href=x>Linked headline</a></h2><p>{p}</p></article>", ["Linked headline", "{p}"]),
+        ("<article><p>{p}</p><p><a href=x>A paragraph that is one link to the report</a></p></article>", ["{p}", "A paragraph that is one link to the report"]),
+        ("<article><p>{p}</p><ol>" + "".join(f"<li><a href=x>Author {i}, On the links of things, 1999</a>" for i in range(4)) + "</ol></article>", ["{p}", *(f"Author {i}, On the links of things, 1999" for i in range(4))]),
+        ("<article><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>{p}</p></article>", ["{p}"]),
+        ("<article><p class='share-price'>The share price is down.</p><div class='social-science'><p>{p}</p></div></article>", ["The share price is down.", "{p}"]),
+        ("<article><p>{p}</p><div class='share-buttons'>Share it now</div><div class='related'>More of it</div><p class='searchBox'>Look for it</p></article>", ["{p}"]),
+    ],
+)
+def test_html_keeps_headings_links_and_names(page, want):
+    from lexarium.llm import html_extract as op
+
+    assert op.main_text(page.replace("{p}", PROSE)).split("\n\n") == [w.replace("{p}", PROSE.strip()) for w in want]
+
+
 # ---- 7 --------------------------------------------------------------------------------------------------------
 
 
@@ -542,6 +566,21 @@ def test_embedding_agreement():
 # ---- 10 -------------------------------------------------------------------------------------------------------
 
 
+def test_fits_on_repeated_rows(spark):
+    """A row that stands many times is one in what the fits learn from, and labels may repeat."""
+    from lexarium.llm import language_id, toxicity
+
+    rng = random.Random(12)
+    rows = [(i, ("vile scum " if i % 2 else "kind words ") + words(rng, 12), "aa" if i % 3 else "bb", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, lang, "s", "x") for i, t, lang, _ in rows], "doc_id long, text string, lang string, source string, weight string")
+    labels = spark.createDataFrame([(i, y, "z") for i, *_, y in rows], "doc_id long, toxic int, text string")
+    once, often = (toxicity.fit(d, y) for d, y in ((docs, labels), (docs.union(docs).union(docs), labels.union(labels))))
+    assert once == often
+    scores = [sorted((r.doc_id, r.score) for r in toxicity.assess(docs, model).collect()) for model in (once, often)]
+    assert scores[0] == scores[1]
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.union(docs))).collect()} <= {"aa", "bb"}
+
+
 def test_url_filter_rules_and_aliases(spark):
     from lexarium.llm import url_filter as op
 
@@ -714,6 +753,20 @@ def test_url_filter_relative_and_several_links(spark):
     pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in op.filter_urls(pages).collect()}
     assert [got[i] for i in range(len(rows))] == ["block"] * 6 + ["allow"] * 4 + ["block"] * 3
+    # The SQL reads the same links: chains of aliases, targets with blanks and dots, bases, other quotes, several tags.
+    import duckdb
+
+    rows += [
+        ("http://c.de/1", "<link rel='canonical' href='./x/../two words.html'>"), ("http://c.de/two words", refresh("'/3?q=1'")), ("https://www.c.de/3/", canonical("#top", "", "?x=1", "//w.com/en/1")),
+        ("http://c.de/4", "<base href='sub/dir/'><LINK HREF=5 REL=canonical>"), ("http://c.de/sub/dir/5", canonical("../../../../3")), ("http://c.de", canonical("4")), ("none", canonical("http://w.com/en/1")),
+    ]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    want = {r[0]: tuple(r) for r in con.sql(f"select page_id, host, path, rule, verdict from ({op.oracle()})").fetchall()}
+    assert {r.page_id: tuple(r) for r in op.filter_urls(pages).collect()} == want
+    assert [want[i][4] for i in range(13, 20)] == ["block"] * 6 + ["allow"]
 
 
 def test_html_pages_that_hold_an_article():
