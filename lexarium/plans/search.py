@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexarium.functions.explode import exploded
 from lexarium.functions.text import tokens
 from lexarium.operators import evaluate, retrieve
+from lexarium.operators import vectors as vector_index
 from lexarium.plans.tables import table
 from lexarium.storage import settled
 
@@ -111,6 +112,16 @@ def bm25_topk(spark, d):
     return lexical(spark, d, 10)
 
 
+def knn_indexed(spark, d):
+    """As ``knn_topk``, over partitions of the vectors."""
+    return vector_index.knn(vector_index.VectorIndex.build(vectors(spark, d)), query_vectors(spark, d), 5)[0]
+
+
+def knn_reads(spark, d):
+    """Pairs of query and vector, and how many of them were scored."""
+    return vector_index.knn(vector_index.VectorIndex.build(vectors(spark, d)), query_vectors(spark, d), 5)[1]
+
+
 def rrf_fuse(spark, d):
     return retrieve.fuse([(semantic(spark, d, 64), 0.8), (lexical(spark, d, 40), 0.2)])
 
@@ -229,6 +240,8 @@ LEX_WITH = f"WITH {BM25} {bm25_sql('lex', ASK, 40)}"
 QUERIES = {
     "hybrid_search": hybrid_search,
     "bm25_topk": settled(bm25_topk),
+    "knn_indexed": settled(knn_indexed),
+    "knn_reads": settled(knn_reads),
     "knn_topk": lambda s, d: semantic(s, d, 5),
     "rrf_fuse": settled(rrf_fuse),
     "rrf_weighted_variants": settled(rrf_weighted_variants),
@@ -245,6 +258,7 @@ QUERIES = {
 ORACLE_SQL = {
     "hybrid_search": HYBRID,
     "bm25_topk": f"WITH {BM25} {bm25_sql('lex', ASK, 10)} SELECT query_id, doc_id, score, rank FROM lex",
+    "knn_indexed": f"WITH {KNN.format(k=5)} SELECT query_id, doc_id, score, rank FROM sem",
     "knn_topk": f"WITH {KNN.format(k=5)} SELECT query_id, doc_id, score, rank FROM sem",
     "rrf_fuse": f"{LEX_WITH}, {KNN.format(k=64)}, {fuse_sql('fused', [('sem', 0.8), ('lex', 0.2)])} SELECT * FROM fused",
     "rrf_weighted_variants": f"WITH {BM25} {bm25_sql('lex', ASK, 20)}, {bm25_sql('short', SHORT_ASK, 20)}, {KNN.format(k=20)}, {fuse_sql('fused', [('sem', 0.8), ('lex', 0.2), ('short', 0.15)])} SELECT * FROM fused",
