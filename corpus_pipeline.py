@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm import byte_bpe, decontaminate, jaccard_join, suffix_dedup, toxicity
-from lexarium.llm.common import stored, table
+from lexarium.llm.common import scratch, stored, table
+from lexarium.storage import dropped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one by one; a stage's table goes when the next one's is written, and so does what the stages wrote on their way."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            done = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        dropped(docs)
+        docs = done
     return docs
