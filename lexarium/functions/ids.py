@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ def valid_department(c: Column) -> Column:
     return F.when(ok, department(c, True))
 
 
+def valid_name(name: str) -> str | None:
+    """``valid_department`` of one name, for arguments that are checked before a job starts."""
+    lowered = name.strip(" \t\n\x0b\f\r").lower()
+    if re.search(r"[^a-z0-9 _\-/]", lowered):
+        return None
+    clean = re.sub(r"[_-]{2,}", "_", re.sub(r"[ /]+", "_", lowered)).strip("_-")
+    known = {alias: one for one, many in ALIASES for alias in many}
+    found = known.get(lowered) or known.get(clean) or clean
+    return found if re.fullmatch(r"[a-z0-9][a-z0-9_-]{2,31}", found) else None
+
+
 def required_department(c: Column) -> Column:
     """As ``valid_department``; an invalid name ends the job."""
     return F.coalesce(valid_department(c), F.raise_error(F.concat(F.lit("invalid department: "), F.coalesce(c, F.lit("none")))).cast("string"))
@@ -77,8 +90,9 @@ def ticket_id(source: Column, conversation: Column) -> Column:
     return F.coalesce(by_source, F.nullif(F.regexp_extract(conversation, r"^conv_(\d+)$", 1), F.lit(""))).try_cast("bigint")
 
 
-def ticket_group(source_type: Column, ticket: Column, source: Column, conversation: Column) -> Column:
-    """``ticket:<id>`` of rows about tickets, else null."""
+def ticket_group(source_type: Column, ticket: Column, source: Column, conversation: Column, link: Column | None = None) -> Column:
+    """``ticket:<id>`` of rows about tickets, else null; a row without a source is told by its ``link``."""
+    source = source if link is None else F.coalesce(blank_to_null(source), blank_to_null(link))
     kind = F.coalesce(strip(F.lower(source_type)), F.lit(""))
     number = F.coalesce(ticket.try_cast("bigint").cast("string"), ticket_id(source, conversation).cast("string"))
     return F.when(kind.isin("", "ticket", "tickets", "conversation"), F.concat(F.lit("ticket:"), number))
@@ -95,13 +109,3 @@ def stable_conversation_id(conversation: Column, source: Column, text: Column) -
     seed = F.concat(F.coalesce(strip(source), F.lit("")), F.lit("|"), normalize(F.coalesce(text, F.lit(""))))
     made = F.coalesce(number, F.substring(F.sha1(seed.cast("binary")), 1, 12))
     return F.coalesce(blank_to_null(conversation), F.concat(F.lit("conv_"), made))
-
-
-def page_ids(source: Column, page: Column) -> Column:
-    """Struct (doc_id, conversation_id, anchor) of a page of a document."""
-    h = F.substring(F.sha1(source.cast("binary")), 1, 12)
-    return F.struct(
-        F.concat(F.lit("doc_"), h, F.lit("_d")).alias("doc_id"),
-        F.concat(F.lit("html_"), h).alias("conversation_id"),
-        F.concat(F.lit("#section-"), F.lpad(page.cast("string"), 3, "0")).alias("anchor"),
-    )

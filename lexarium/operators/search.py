@@ -49,7 +49,12 @@ def request(query: str | None, date_from: str | None = None, date_to: str | None
         raise ValueError("date_from must not be after date_to")
     if asked and k == 0:
         raise ValueError("k = 0 is for searches by date only")
-    return Request(asked, low, high, (department or "").strip() or "all", k)
+    named = (department or "").strip().lower() or "all"
+    wanted = named if named == "all" else ids.valid_name(named)
+    if wanted is None:
+        raise ValueError(f"invalid department: one of {', '.join(ids.DEPARTMENTS)}, or 3 to 32 lower-case letters, digits, _ or -")
+    # A search by date alone takes 0 for all; a query takes what is no number of results for the default.
+    return Request(asked, low, high, wanted, retrieve.FINAL_K if asked and k is not None and k < 0 else k)
 
 
 def department_filter(c: Column) -> Column:
@@ -191,6 +196,7 @@ class Corpus:
 
 def plan_of(requests: DataFrame, variants_table: DataFrame) -> DataFrame:
     """Requests with what the plan needs of them: tokens, rerank texts, exact token, pools and weights."""
+    requests = requests.withColumn("k", F.when(F.col("k") > 0, F.col("k")).otherwise(retrieve.FINAL_K))
     told = variants_table.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("variant", "text"))), lambda x: x["text"]).alias("_texts"))
     r = requests.join(told, "query_id").withColumn("tokens", text.tokens(F.col("text")))
     r = r.withColumn("wanted", department_filter(F.col("department"))).where("wanted is not null").drop("department")
@@ -238,7 +244,7 @@ def retrieve_batch(corpus: Corpus, requests: DataFrame, variants_table: DataFram
     """The best chunks of each request: ``(query_id, rank, doc_id, fused_score, rerank_score)``.
 
     ``requests(query_id, text, low date, high date, department, k)``; ``department`` is ``all`` or blank for no filter, an invalid one
-    finds nothing; ``k`` is 1 or more. Lists of all variants are fused by weighted reciprocal ranks, filtered by date (pages
+    finds nothing; a ``k`` of 0 or less, or none, is ``FINAL_K``. Lists of all variants are fused by weighted reciprocal ranks, filtered by date (pages
     are no part of a dated search) and department, filled by semantic and by exact matches (these are not
     filtered), reranked by the best of a query's forms plus boosts, and cut. Ties go to the earlier candidate.
     """

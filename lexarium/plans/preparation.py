@@ -11,6 +11,7 @@ from lexarium.functions import html, ids, text, urls
 from lexarium.functions.explode import exploded
 from lexarium.operators import catalog, chunk, clean, merge, prepare, profile, retrieve
 from lexarium.plans.tables import table
+from lexarium.storage import settled
 from lexarium.streaming import incremental
 
 
@@ -284,7 +285,13 @@ SELECT conv_id, array_to_string(l, '; ') AS errors, len(l) AS n FROM e"""
 
 
 def profile_conversations(s, d):
-    return profile.profile_messages(turns(s, d)).drop("phones", "quote_messages")
+    return profile.profile_messages(turns(s, d))
+
+
+def q_phones(x: str) -> str:
+    """Number of phone numbers: DuckDB's patterns take the characters around a number, so those that two may share are doubled first."""
+    apart = rf"regexp_replace(regexp_replace({x}, '([^\w\s().+-])', '\1\1', 'g'), '([\s().-])\+', '\1\1+', 'g')"
+    return rf"sum(len(regexp_extract_all({apart}, '(?:^|[^\w])\+?\d[\d\s().-]{{6,}}\d(?:$|[^\w])')))::BIGINT"
 
 
 def q_pct(name: str, rel: str, col: str) -> str:
@@ -294,17 +301,17 @@ def q_pct(name: str, rel: str, col: str) -> str:
 
 PROFILE = rf"""WITH m AS (SELECT *, length(text) AS chars FROM conversations), c AS (SELECT conv_id, count(*) AS n, (sum(chars) + count(*) - 1)::BIGINT AS chars FROM m GROUP BY ALL)
 SELECT count(*) AS messages, count(DISTINCT conv_id) AS conversations, count_if(regexp_matches(text, '{text.SIGNATURE}')) AS signature_messages, count_if(regexp_matches(text, '{text.URL}')) AS url_messages,
-sum(len(regexp_extract_all(text, '{text.EMAIL}')))::BIGINT AS emails, round(count(*) / count(DISTINCT conv_id), 3) AS messages_per_conversation,
+sum(len(regexp_extract_all(text, '{text.EMAIL}')))::BIGINT AS emails, {q_phones('text')} AS phones, count_if(regexp_matches(text, '{text.QUOTE}')) AS quote_messages, round(count(*) / count(DISTINCT conv_id), 3) AS messages_per_conversation,
 {q_pct('conv_messages', 'c', 'n')}, {q_pct('message_chars', 'm', 'chars')}, {q_pct('conv_chars', 'c', 'chars')} FROM m"""
 
 
 def chunk_quality_report(s, d):
-    return profile.chunk_quality(docs(s, d), "source").drop("phone_leak")
+    return profile.chunk_quality(docs(s, d), "source")
 
 
 QUALITY = rf"""WITH m AS (SELECT *, length(text) AS chars FROM documents), g AS (SELECT source, count(*) AS n FROM m GROUP BY ALL)
 SELECT count(*) AS total_chunks, round(count_if(chars BETWEEN 400 AND 600) / count(*), 4) AS in_range_pct, round(count_if(chars < 120) / count(*), 4) AS tiny_chunk_pct,
-sum(len(regexp_extract_all(text, '{text.EMAIL}')))::BIGINT AS email_leak, count_if(regexp_matches(text, '{text.SIGNATURE}')) AS signature_hits,
+sum(len(regexp_extract_all(text, '{text.EMAIL}')))::BIGINT AS email_leak, {q_phones('text')} AS phone_leak, count_if(regexp_matches(text, '{text.SIGNATURE}')) AS signature_hits,
 round(count_if(chars BETWEEN 400 AND 600) / count(*), 4) >= 0.9 AND round(count_if(chars < 120) / count(*), 4) <= 0.02 AS all_pass, (SELECT count(*) FROM g) AS unique_groups,
 {q_pct('len', 'm', 'chars')}, {q_pct('per_group', 'g', 'n')} FROM m"""
 
@@ -475,8 +482,8 @@ QUERIES = {
     "conversation_turns": conversation_turns,
     "conversation_chunks": conversation_chunks,
     "contract_validation": contract_validation,
-    "profile_conversations": profile_conversations,
-    "chunk_quality_report": chunk_quality_report,
+    "profile_conversations": settled(profile_conversations),
+    "chunk_quality_report": settled(chunk_quality_report),
     "dedupe_longest": dedupe_longest,
     "chunk_dedupe": chunk_dedupe,
     "merge_all": merge_all,

@@ -97,7 +97,7 @@ def relational(spark: SparkSession, url: str, table: str, key: str, low: int, hi
 
 
 def tickets_with_messages(
-    tickets: DataFrame, transactions: DataFrame, attachments: DataFrame, users: DataFrame, lower, upper, organisation: str = "", queues: list[str] | None = None
+    tickets: DataFrame, transactions: DataFrame, attachments: DataFrame, users: DataFrame, lower, upper, organisation: str = "", queues: list[str] | None = None, statuses: list[str] | None = None
 ) -> DataFrame:
     """Tickets updated in (lower, upper] with their messages in order; tickets without transactions stay.
 

@@ -80,6 +80,9 @@ def test_ids(spark):
     rows = [("ticket", "5", None, None), ("html", "5", None, None), (None, None, "u?id=7", None), (None, None, None, "conv_9"), (None, None, None, "conv_x")]
     df = spark.createDataFrame(rows, "k string, t string, s string, c string")
     assert [r[0] for r in df.select(ids.ticket_group(F.col("k"), F.col("t"), F.col("s"), F.col("c"))).collect()] == ["ticket:5", None, "ticket:7", "ticket:9", None]
+    linked = spark.createDataFrame([(None, "u?id=4"), (" ", "u?id=4"), ("s", "u?id=4"), ("t?id=5", "u?id=4")], "s string, l string")
+    groups = linked.select(ids.ticket_group(F.lit("ticket"), F.lit(None), F.col("s"), F.lit(None).cast("string"), F.col("l")))
+    assert [r[0] for r in groups.collect()] == ["ticket:4", "ticket:4", None, "ticket:5"]
 
 
 def test_dates(spark):

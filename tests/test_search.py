@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexarium.functions import dates, ids
 from lexarium.operators import evaluate, retrieve, rows, search
 from lexarium.sources import readers, snapshots
+from lexarium.sources.index_store import StoredIndex
 
 
 def test_request_checks():
@@ -20,6 +21,11 @@ def test_request_checks():
             search.request(*bad)
     with pytest.raises(ValueError):
         search.request("q", k=0)
+    for bad in ("a$b", "ab", "x" * 33, "é"):
+        with pytest.raises(ValueError, match="department"):
+            search.request("q", department=bad)
+    assert [search.request("q", department=d).department for d in ("Big Data", " ALL ", "", None, "new-one", "Systems")] == ["bigdata", "all", "all", "all", "new-one", "sistemas"]
+    assert search.request("q", k=-1).k == 8 and search.request("", "2024-01-01", k=-1).k == -1
     assert search.request("", "2024-01-01", k=0).k == 0 and dates.filter_date(" ") is None
     assert [search.overfetch(8), search.overfetch(100), search.overfetch(400), search.overfetch(5, False)] == [32, 300, 400, 5]
     assert [search.next_overfetch(32, 8), search.next_overfetch(200, 8)] == [64, 300]
@@ -77,6 +83,15 @@ def test_search_plan(spark, corpus):
     assert len({r.group_key for r in grouped}) == len(grouped) == 5 and [r["rank"] for r in grouped] == [1, 2, 3, 4, 5]
     dated = search.date_batch(corpus.chunks, search.request("", "2024-01-01", None, "all", 0)).collect()
     assert [r.doc_id for r in dated] == [3, 6]
+    # What is no number of results is the default one.
+    few, _ = ask(spark, corpus, ("alpha", None, None, "all", 0), ("alpha", None, None, "all", -2), ("alpha", None, None, "all", None))
+    assert [len(v) for v in few.values()] == [8, 8, 8]
+
+
+def test_names_of_departments_agree(spark):
+    names = ["BIG DATA", "big__data", "a/b c", "ab", "-x-y-", "é", "a$b", "x" * 33, "Systems", " slurm ", "", "a" * 32, "_", "bd"]
+    df = spark.createDataFrame([(n,) for n in names], "x string").select(ids.valid_department(F.col("x")))
+    assert [r[0] for r in df.collect()] == [ids.valid_name(n) for n in names]
 
 
 def test_variants_of_a_batch(spark, corpus):
@@ -86,15 +101,16 @@ def test_variants_of_a_batch(spark, corpus):
 
 
 def test_stored_index(spark, corpus, tmp_path):
-    kept = snapshots.StoredIndex(spark, str(tmp_path / "index"))
+    kept = StoredIndex(spark, str(tmp_path / "index"))
     with pytest.raises(FileNotFoundError):
         kept.load()
-    kept.rebuild(corpus.index)
-    kept.rebuild(corpus.index)
-    kept.rebuild(corpus.index)
+    docs = corpus.chunks.select("doc_id", "text")
+    kept.rebuild(docs)
+    kept.rebuild(docs)
+    kept.rebuild(docs)
     q = spark.createDataFrame([(1, "alpha beta")], "query_id bigint, text string")
     rows_ = lambda index: [tuple(r) for r in retrieve.bm25_top(index, q, 5).orderBy("rank").collect()]
-    assert rows_(kept.load()) == rows_(corpus.index) and all(len(t.versions()) == 2 for t in kept.tables.values())
+    assert rows_(kept.load()) == rows_(corpus.index) and len(kept.log.names("v")) == len(kept.log.names("s")) == 2
 
 
 def test_small_files(spark, tmp_path):
@@ -187,6 +203,9 @@ def test_readers_more(spark, tmp_path):
     assert [(r.id, r.place) for r in made] == [(1, 1), (2, 2)] and [(m.role, m.content) for m in made[0].messages] == [("comment", "note"), ("assistant", "first")] and made[1].messages is None
     plain = readers.tickets_with_messages(tickets, steps, files, people, "2024-01-01 00:00:00", "2024-01-03 00:00:00")
     assert {r.id for r in plain.collect()} == {1, 2, 3}
+    with_status = tickets.withColumn("Status", F.when(F.col("id") == 2, "resolved").otherwise("open"))
+    resolved = readers.tickets_with_messages(with_status, steps, files, people, "2024-01-01 00:00:00", "2024-01-03 00:00:00", statuses=["resolved"])
+    assert [r.id for r in resolved.collect()] == [2]
 
 
 def test_row_builders(spark):
