@@ -91,9 +91,9 @@ def strings(items) -> str:
     return f"[{', '.join(text(x) for x in items)}]::VARCHAR[]"
 
 
-def request_rows() -> list[tuple]:
+def request_rows(ks: list[int]) -> list[tuple]:
     out = []
-    for i, (query, low, high, department, k) in enumerate(REQUESTS):
+    for i, ((query, low, high, department, _), k) in enumerate(zip(REQUESTS, ks, strict=True)):
         told = variants(query)
         w = words(query)
         short = 1 <= len(w) <= search.SHORT_TOKENS
@@ -104,10 +104,10 @@ def request_rows() -> list[tuple]:
     return out
 
 
-def plan_sql() -> str:
+def plan_sql(ks: list[int]) -> str:
     rows = [
         (i, f"{text(low)}::DATE", f"{text(high)}::DATE", text(department), k, strings(w), str(short).lower(), "[" + ", ".join(strings(a) for a in asked) + "]", text(exact), base, pool)
-        for i, low, high, department, k, w, short, asked, exact, base, pool in request_rows()
+        for i, low, high, department, k, w, short, asked, exact, base, pool in request_rows(ks)
     ]
     return f"""r0 AS (SELECT * FROM {values(rows, 'query_id, low, high, department, k, tokens, short, asked, exact, base, pool')}),
 plan AS (SELECT *, {q_filter('department')} AS wanted, low IS NOT NULL OR high IS NOT NULL AS dated FROM r0),
@@ -121,7 +121,11 @@ def variants_sql() -> str:
 
 
 ASKED = "SELECT query_id * 100 + variant AS query_id, text FROM variants WHERE lexical > 0"
-FULL = f"""WITH {BM25} {CHUNKS}, {variants_sql()}, {plan_sql()}, {bm25_sql('lex', ASKED, 300)},
+
+
+def full_sql(ks: list[int]) -> str:
+    """The plan with so many results for each request."""
+    return f"""WITH {BM25} {CHUNKS}, {variants_sql()}, {plan_sql(ks)}, {bm25_sql('lex', ASKED, 300)},
 vec AS (SELECT v.query_id, v.variant, e.embedding FROM variants v JOIN embeddings e ON e.vec_id = v.query_id * 7 + v.variant WHERE semantic > 0),
 sims AS (SELECT v.query_id, v.variant, e.vec_id AS doc_id, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6) AS score FROM vec v, embeddings e SEMI JOIN documents d ON d.doc_id = e.vec_id),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, doc_id) AS rank FROM sims),
@@ -150,8 +154,28 @@ scored AS (SELECT e.*, k, list_max(list_transform(asked, lambda q: round(len(lis
   FROM every e JOIN pools p USING (query_id) JOIN read USING (doc_id) LEFT JOIN hints USING (query_id) LEFT JOIN holding h ON h.query_id = e.query_id AND h.doc_id = e.doc_id),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(best + boost, 6) DESC, fused_score DESC, seq, doc_id) AS rank, doc_id, fused_score, round(best + boost, 6)::DOUBLE AS rerank_score, k FROM scored)
 SELECT query_id, rank, doc_id, fused_score, rerank_score FROM ranked WHERE rank <= k"""
+
+
+def grouped_sql() -> str:
+    """One chunk a group: of each request the first number of fetched chunks that fills its groups, or the last that is tried."""
+    wanted, levels = [k for *_, k in REQUESTS], [[search.overfetch(k) for *_, k in REQUESTS]]
+    for _ in range(search.FETCH_STEPS):
+        levels.append([search.next_overfetch(now, k) for now, k in zip(levels[-1], wanted, strict=True)])
+    asked = values([(i, k, n, now[i], n == search.FETCH_STEPS or levels[n + 1][i] <= now[i]) for n, now in enumerate(levels) for i, k in enumerate(wanted)], "query_id, wanted, level, fetched, final")
+    every = " UNION ALL ".join(f"SELECT {n} AS level, * FROM ({full_sql(now)})" for n, now in enumerate(levels))
+    key = f"""coalesce('ticket:' || nullif(trim(ticket_id::VARCHAR), ''), 'conversation:' || nullif(trim(conversation_id), ''), 'source:' || nullif(trim(source), ''),
+      'fallback:' || sha1(coalesce(nullif(trim(chunk_id), ''), '') || '|' || substr({q_normalize("coalesce(text, '')")}, 1, 80)))"""
+    return f"""WITH {CHUNKS}, keys AS (SELECT doc_id, {key} AS group_key FROM chunk), asked AS (SELECT * FROM {asked}),
+found AS (SELECT f.*, group_key, wanted, final FROM ({every}) f JOIN keys USING (doc_id) JOIN asked a ON a.level = f.level AND a.query_id = f.query_id),
+first AS (SELECT *, row_number() OVER (PARTITION BY level, query_id ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY level, query_id, group_key ORDER BY rank) AS n FROM found) WHERE n = 1),
+told AS (SELECT a.level, a.query_id, a.final OR count(f.doc_id) < a.wanted OR count(DISTINCT f.group_key) >= a.wanted AS ends FROM asked a LEFT JOIN found f ON f.level = a.level AND f.query_id = a.query_id GROUP BY a.level, a.query_id, a.final, a.wanted),
+chosen AS (SELECT query_id, min(level) AS level FROM told WHERE ends GROUP BY query_id)
+SELECT query_id, place AS rank, doc_id, group_key, fused_score, rerank_score FROM first SEMI JOIN chosen c ON c.query_id = first.query_id AND c.level = first.level WHERE place <= wanted"""
+
+
+FULL = full_sql([k for *_, k in REQUESTS])
 DATE_ONLY = f"""WITH {CHUNKS}, g AS (SELECT doc_id, last_updated, ticket_id, 'ticket:' || ticket_id AS group_key FROM chunk WHERE source_type IS NULL AND last_updated::TIMESTAMP::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-02-20')
 SELECT doc_id, group_key FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY last_updated DESC, doc_id) AS n FROM g) WHERE n = 1"""
 
 QUERIES = {"search_full": settled(search_full), "search_grouped": settled(search_grouped), "search_by_date": date_only, "corrected_variants": settled(corrected_variants)}
-ORACLE_SQL = {"search_full": FULL, "search_by_date": DATE_ONLY}
+ORACLE_SQL = {"search_full": FULL, "search_grouped": grouped_sql(), "search_by_date": DATE_ONLY}

@@ -89,6 +89,10 @@ class Versions:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
+class Repeated(Exception):
+    """A batch that is in the table already."""
+
+
 class VersionedTable:
     """Versions of a table: each names the data folders that make it up, and is written after a check.
 
@@ -112,8 +116,15 @@ class VersionedTable:
             raise FileNotFoundError(f"no promoted version in {self.root}")
         return self.spark.read.parquet(*[f"{self.root}/{p}" for p in state["parts"]])
 
-    def _write(self, df: DataFrame, rows: int | None, extend: bool) -> str:
-        """A part, read back and counted, and then the version that names it."""
+    def _write(self, df: DataFrame, rows: int | None, extend: bool, batch: tuple[str, int] | None = None, since: str | None = None) -> str:
+        """A part, read back and counted, and then the version that names it.
+
+        ``batch`` (a stream's name and its batch's number) is noted in the version: a batch that is there already changes nothing. With ``since`` the
+        version must still be the newest one.
+        """
+        have, state = self.log.newest()
+        if batch and state.get("batches", {}).get(batch[0], -1) >= batch[1]:
+            return have
         part = f"d{time.time_ns()}"
         df.write.parquet(f"{self.root}/{part}")
         written = self.spark.read.parquet(f"{self.root}/{part}").count()
@@ -122,18 +133,37 @@ class VersionedTable:
             raise ValueError(f"{written} rows written, {rows} expected")
 
         def grown(state: dict) -> dict:
+            if since is not None and self.log.newest()[0] != since:
+                raise RuntimeError("another version came first: run this again")
+            batches = state.get("batches", {})
+            if batch and batches.get(batch[0], -1) >= batch[1]:
+                raise Repeated
             before = state if extend else {}
-            return {"parts": [*before.get("parts", []), part], "rows": before.get("rows", 0) + written}
+            batches = batches | {batch[0]: batch[1]} if batch else batches
+            return {"parts": [*before.get("parts", []), part], "rows": before.get("rows", 0) + written, "batches": batches}
+
+        try:
+            return self.log.commit(grown)
+        except (Repeated, RuntimeError) as e:
+            # Nobody has seen the part.
+            self.log.delete(part)
+            if isinstance(e, Repeated):
+                return self.log.newest()[0]
+            raise
 
-        return self.log.commit(grown)
+    def promote(self, df: DataFrame, rows: int | None = None, since: str | None = None) -> str:
+        """A version of its own, of ``rows`` rows where that is known; if the check fails the one before stays.
 
-    def promote(self, df: DataFrame, rows: int | None = None) -> str:
-        """A version of its own, of ``rows`` rows where that is known; if the check fails the one before stays."""
-        return self._write(df, rows, False)
+        With ``since``, the version that ``df`` was made from, it raises where another version has come meanwhile.
+        """
+        return self._write(df, rows, False, since=since)
 
-    def append(self, delta: DataFrame, rows: int | None = None) -> str:
-        """The version that is current when the delta is written, and ``delta``, of ``rows`` rows where that is known."""
-        return self._write(delta, rows, True)
+    def append(self, delta: DataFrame, rows: int | None = None, batch: tuple[str, int] | None = None) -> str:
+        """The version that is current when the delta is written, and ``delta``, of ``rows`` rows where that is known.
+
+        A ``batch`` of a stream, told by the stream's name and a number that grows, is taken once however often it is given.
+        """
+        return self._write(delta, rows, True, batch)
 
     def append_or_rebuild(self, delta: DataFrame, everything: DataFrame) -> str:
         try:

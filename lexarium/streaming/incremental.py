@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -32,8 +33,8 @@ def current(table: VersionedTable, key: str, stamp: str, tie: str) -> DataFrame:
 
 
 def compact(table: VersionedTable, key: str, stamp: str, tie: str) -> str:
-    """A version that holds the newest rows only."""
-    return table.promote(current(table, key, stamp, tie))
+    """A version that holds the newest rows only; it raises if rows are appended meanwhile, and can be run again."""
+    return table.promote(current(table, key, stamp, tie), since=table.versions()[-1])
 
 
 def stream_upsert(
@@ -41,13 +42,15 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Appends a batch's newest rows to the table, which ``current`` reads: run what is there, or start ``every`` interval.
 
-    Late rows within ``overlap`` are taken; repeats of (tie) within it are dropped. An empty batch only moves the
-    checkpoint. A batch that is run twice adds rows that ``current`` takes for one, so it does no harm.
+    Late rows within ``overlap`` are taken; repeats of (tie) within it are dropped. An empty batch only moves the checkpoint. The table notes the
+    number of the stream's last batch with the rows, in one step: a batch that runs twice, because the driver died between the table and the
+    checkpoint, is in the table once.
     """
+    name = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            table.append(latest(batch, key, stamp, tie))
+            table.append(latest(batch, key, stamp, tie), batch=(name, number))
 
     fresh = stream.withWatermark(stamp, overlap).dropDuplicatesWithinWatermark([tie])
     writer = fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
