@@ -1,12 +1,11 @@
-"""Chunking: long texts, synthetic pages and pages as Column folds; conversations in Arrow batches."""
+"""Chunking: long texts, synthetic pages, pages and conversations as Column folds."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +20,20 @@ HIGH_VALUE = re.compile(
 )
 
 
-def hard_split(c: Column, size: int) -> Column:
+Trim = Callable[[Column], Column]
+
+
+def hard_split(c: Column, size: int, trim: Trim = strip) -> Column:
     """Pieces of ``size`` characters, trimmed, without empty ones."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(c) / size).cast("int") - 1))
-    return F.filter(F.transform(starts, lambda i: strip(F.substr(c, i * size + 1, F.lit(size)))), lambda x: x != "")
+    return F.filter(F.transform(starts, lambda i: trim(F.substr(c, i * size + 1, F.lit(size)))), lambda x: x != "")
 
 
-def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\n\n"), strip), lambda x: x != "")
+def paragraphs(c: Column, trim: Trim = strip) -> Column:
+    return F.filter(F.transform(F.split(c, "\n\n"), lambda x: trim(x)), lambda x: x != "")
 
 
-def _packed(parts: Column, most: int, full: Column | None) -> Column:
+def _packed(parts: Column, most: int, full: Column | None, trim: Trim = strip) -> Column:
     """Fold of paragraphs into pieces of at most ``most`` characters.
 
     A longer paragraph closes the open piece and is split hard. ``full(length)``: the piece closes once it is that long.
@@ -46,7 +48,7 @@ def _packed(parts: Column, most: int, full: Column | None) -> Column:
         if full is not None:
             fits = F.when(full(F.length(joined)), state(F.concat(acc["done"], F.array(joined)), F.lit(""))).otherwise(fits)
         return (
-            F.when(F.length(x) > most, state(F.concat(closed, hard_split(x, most)), F.lit("")))
+            F.when(F.length(x) > most, state(F.concat(closed, hard_split(x, most, trim)), F.lit("")))
             .when(F.length(joined) <= most, fits)
             .otherwise(state(closed, x))
         )
@@ -55,10 +57,10 @@ def _packed(parts: Column, most: int, full: Column | None) -> Column:
     return F.aggregate(parts, start, add, end)
 
 
-def split_long(c: Column, most: int = MAX_CHARS) -> Column:
+def split_long(c: Column, most: int = MAX_CHARS, trim: Trim = strip) -> Column:
     """A text as pieces of at most ``most`` characters, along empty lines where it can."""
-    c = normalize(c)
-    return F.when(F.length(c) <= most, F.filter(F.array(c), lambda x: x != "")).otherwise(_packed(paragraphs(c), most, None))
+    c = trim(normalize(c))
+    return F.when(F.length(c) <= most, F.filter(F.array(c), lambda x: x != "")).otherwise(_packed(paragraphs(c, trim), most, None, trim))
 
 
 def synthetic_pages(c: Column, target: int = PAGE_TARGET, most: int = PAGE_MAX) -> Column:
@@ -230,32 +232,119 @@ def chunk_conversation(
     return good or single[-1:]
 
 
-CHUNKS = pa.schema(
-    [
-        ("conv_id", pa.int64()),
-        ("chunk_id", pa.string()),
-        ("text", pa.string()),
-        ("text_raw", pa.string()),
-        ("char_len", pa.int64()),
-        ("n_turns", pa.int64()),
-        ("retrieval_fallback_used", pa.bool_()),
-    ]
-)
+#: What a text is trimmed of: all that the interpreter counts as white space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACES))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def tidied(c: Column) -> Column:
+    """The Column form of ``tidy``."""
+    c = F.regexp_replace(F.translate(c, "\r", "\n"), "[ \t]+", " ")
+    return trimmed(F.regexp_replace(c, "\n{3,}", "\n\n"))
+
+
+def side_by_side(first: Column, second: Column) -> Column:
+    """The Column form of ``aligned``: structs (a, b)."""
+
+    def pairs(rest: Column) -> Column:
+        return F.transform(first, lambda x, i: F.struct(x.alias("a"), F.when((i < F.size(rest)) & (F.get(rest, i) != ""), F.get(rest, i)).otherwise(x).alias("b")))
+
+    n = F.size(first)
+    last = tidied(F.array_join(F.slice(second, F.greatest(n, F.lit(1)), F.greatest(F.size(second) - n + 1, F.lit(0))), "\n"))
+    fitted = F.when(F.size(second) > n, F.concat(F.slice(second, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(last))).otherwise(second)
+    return F.when(n == 0, F.transform(second, lambda x: F.struct(x.alias("a"), x.alias("b")))).otherwise(let(fitted, pairs))
+
+
+def conversation_pieces(messages: Column, most: int) -> Column:
+    """Pieces (a, b) of at most ``most`` characters of the labelled turns of an array of structs (turn, role, retrieval, raw)."""
+
+    def turn(m: Column) -> Column:
+        some = lambda x: trimmed(F.coalesce(m[x], F.lit("")))
+        label = F.when(trimmed(F.lower(F.coalesce(F.nullif(m["role"], F.lit("")), F.lit("user")))) == "user", "User: ").otherwise("Assistant: ")
+        one = lambda x, y: F.concat(label, F.coalesce(F.nullif(x, F.lit("")), y))
+        return F.when((some("retrieval") != "") | (some("raw") != ""), F.struct(one(some("retrieval"), some("raw")).alias("a"), one(some("raw"), some("retrieval")).alias("b")))
 
+    def unrepeated(turns: Column) -> Column:
+        return F.filter(turns, lambda t, i: (i == 0) | (F.get(turns, i - 1) != t))
 
-def chunk_conversations(messages: DataFrame, **sizes: int) -> DataFrame:
-    """Chunks of ``(conv_id, turn, role, retrieval, raw)``; a conversation is read by one task, in turn order."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "retrieval", "raw")))
-    convs = messages.where("conv_id is not null").groupBy("conv_id").agg(rows.alias("turns"))
+    def pieces(turns: Column) -> Column:
+        return F.flatten(F.transform(turns, lambda t: let(F.struct(split_long(t["a"], most, trimmed).alias("a"), split_long(t["b"], most, trimmed).alias("b")), lambda x: side_by_side(x["a"], x["b"]))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for conv, turns in zip(b.column("conv_id").to_pylist(), b.column("turns"), strict=True):
-                rows = [(t["role"], t["retrieval"], t["raw"]) for t in turns.as_py()]
-                for n, p in chunk_conversation(rows, **sizes):
-                    out.append((conv, f"conv_{conv}_chunk_{n:03d}", p.retrieval, p.raw, len(p.retrieval), p.turns, p.fallback))
-            columns = list(zip(*out, strict=True)) or [()] * len(CHUNKS)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, CHUNKS, strict=True)], schema=CHUNKS)
+    return let(let(F.filter(F.transform(messages, turn), lambda t: t.isNotNull()), unrepeated), pieces)
 
-    return convs.mapInArrow(run, "conv_id long, chunk_id string, text string, text_raw string, char_len long, n_turns long, retrieval_fallback_used boolean")
+
+def gathered(pieces: Column, least: int, target: int, most: int, overlap: int) -> Column:
+    """Fold of pieces into chunks (retrieval, raw, turns): the state is what is closed and what is open."""
+    length = lambda open_: F.aggregate(open_, F.lit(0), lambda n, p: n + F.length(p["a"]) + 1) - F.when(F.size(open_) > 0, 1).otherwise(0)
+
+    def joined_up(open_: Column) -> Column:
+        side = lambda x: tidied(F.array_join(F.transform(open_, lambda p: p[x]), "\n"))
+        return F.struct(side("a").alias("retrieval"), side("b").alias("raw"), F.size(open_).cast("bigint").alias("turns"))
+
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+    closed = lambda s: F.array_append(s["done"], joined_up(s["open"]))
+    none = F.array().cast("array<struct<a:string,b:string>>")
+
+    def add(s: Column, p: Column) -> Column:
+        over = (F.size(s["open"]) > 0) & (length(s["open"]) + 1 + F.length(p["a"]) > most)
+        carried = F.slice(s["open"], F.greatest(F.size(s["open"]) - overlap, F.lit(0)) + 1, F.lit(overlap))
+        fits = lambda c: F.when(length(c) + F.length(p["a"]) + 1 > most, none).otherwise(c)
+        room = F.when(over, state(closed(s), let(carried, fits))).otherwise(s)
+        grown = let(room, lambda r: state(r["done"], F.array_append(r["open"], p)))
+        return let(grown, lambda g: F.when(length(g["open"]).between(max(least, target), most), state(closed(g), none)).otherwise(g))
+
+    start = state(F.array().cast("array<struct<retrieval:string,raw:string,turns:bigint>>"), none)
+    return F.aggregate(pieces, start, add, lambda s: F.when(F.size(s["open"]) > 0, closed(s)).otherwise(s["done"]))
+
+
+def settled_chunks(chunks: Column, least: int, most: int, keep: int) -> Column:
+    """Numbered chunks: short ones joined to the one before, repeats and low-value ones gone, the last one where nothing else is left."""
+    numbered = F.transform(chunks, lambda c, i: F.struct(i.alias("n"), c["retrieval"].alias("retrieval"), c["raw"].alias("raw"), c["turns"].alias("turns")))
+
+    def add(done: Column, c: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        both = lambda x: tidied(F.concat(last[x], F.lit("\n"), c[x])).alias(x)
+        short = (F.size(done) > 0) & (F.length(c["retrieval"]) < least) & (F.length(last["retrieval"]) + 1 + F.length(c["retrieval"]) <= most)
+        merged = F.struct(last["n"].alias("n"), both("retrieval"), both("raw"), (last["turns"] + c["turns"]).alias("turns"))
+        return F.when(short, F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), merged)).otherwise(F.array_append(done, c))
+
+    def single(done: Column) -> Column:
+        return F.filter(done, lambda c, i: F.array_position(F.transform(done, lambda x: x["retrieval"]), c["retrieval"]) == i + 1)
+
+    def good(done: Column) -> Column:
+        kept = F.filter(done, lambda c: (F.length(c["retrieval"]) >= keep) | F.regexp_like(c["retrieval"], F.lit(f"(?uU){HIGH_VALUE.pattern}")))
+        return F.when(F.size(kept) > 0, kept).when(F.size(done) > 0, F.slice(done, -1, 1)).otherwise(done)
+
+    merged = F.aggregate(numbered, F.array().cast("array<struct<n:int,retrieval:string,raw:string,turns:bigint>>"), add)
+    return let(let(merged, single), good)
+
+
+def chunk_conversations(
+    messages: DataFrame, least: int = MIN_CHARS, target: int = TARGET_CHARS, most: int = MAX_CHARS, overlap: int = OVERLAP, keep: int = MIN_KEEP
+) -> DataFrame:
+    """Chunks of ``(conv_id, turn, role, retrieval, raw)`` by folds over each conversation's turns, in the JVM; ``chunk_conversation`` is the plain form.
+
+    A conversation is one row. A null ``conv_id`` is left out; a conversation without text has no chunk.
+    """
+    told = messages.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "retrieval", "raw"))).alias("m"))
+    # Each fold's result is a column before the next one reads it.
+    held = told.select("conv_id", F.explode(F.array(conversation_pieces(F.col("m"), most))).alias("pieces"))
+    held = held.select("conv_id", F.explode(F.array(gathered(F.col("pieces"), least, target, most, overlap))).alias("chunks"))
+    rows = exploded(held, settled_chunks(F.col("chunks"), least, most, keep), "c", "conv_id")
+    return rows.select(
+        "conv_id",
+        F.format_string("conv_%s_chunk_%03d", F.col("conv_id").cast("string"), F.col("c.n")).alias("chunk_id"),
+        F.col("c.retrieval").alias("text"),
+        F.col("c.raw").alias("text_raw"),
+        F.length("c.retrieval").cast("bigint").alias("char_len"),
+        F.col("c.turns").alias("n_turns"),
+        F.lit(False).alias("retrieval_fallback_used"),
+    )
