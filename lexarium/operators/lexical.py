@@ -209,5 +209,6 @@ def overlaps(index: LexicalIndex, candidates: DataFrame, query_texts: DataFrame)
     pairs = candidates.select("query_id", "doc_id").join(forms, "query_id")
     held = index.postings.select("doc_id", "token").join(pairs, ["doc_id", "token"]).groupBy("query_id", "doc_id", "form", "size").agg(F.count("*").alias("held"))
     best = held.groupBy("query_id", "doc_id").agg(F.max(F.round(F.col("held") / F.col("size"), 6)).alias("rerank_score"))
-    asked = query_texts.select("query_id").distinct()
-    return candidates.select("query_id", "doc_id").join(asked, "query_id", "left_semi").join(best, ["query_id", "doc_id"], "left").fillna(0.0, ["rerank_score"])
+    # Candidates that a vector has and a text hasn't are no results.
+    known = candidates.select("query_id", "doc_id").join(query_texts.select("query_id").distinct(), "query_id", "left_semi").join(index.docs, "doc_id", "left_semi")
+    return known.join(best, ["query_id", "doc_id"], "left").fillna(0.0, ["rerank_score"])

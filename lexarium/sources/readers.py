@@ -102,8 +102,10 @@ def tickets_with_messages(
     """Tickets updated in (lower, upper] with their messages in order; tickets without transactions stay.
 
     Of a transaction the first attachment with content counts. Steps of people whose address names the ``organisation`` are an
-    assistant's. With ``queues`` only their tickets are taken, each with its ``place`` in its queue by update and id.
+    assistant's. With ``queues`` only their tickets are taken, each with its ``place`` in its queue by update and id; with ``statuses`` (as
+    ``["resolved"]``) only tickets whose ``Status`` is one of them.
     """
+    tickets = tickets if statuses is None else tickets.where(F.col("Status").isin(*statuses))
     window = tickets.where((F.col("LastUpdated") > F.lit(lower)) & (F.col("LastUpdated") <= F.lit(upper)))
     if queues is not None:
         order = Window.partitionBy("Queue").orderBy("LastUpdated", "id")
