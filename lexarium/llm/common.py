@@ -14,6 +14,8 @@ __all__ = ["batch", "components", "lean_writes", "rows_where", "scratch", "share
 
 #: Text bytes that a Python worker works on at once; bounds its memory whatever the batch holds.
 SLICE_BYTES = 2 << 20
+#: Rows of a batch that are texts of Python and a filtered copy at one time.
+SLICE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +43,12 @@ def rows_where(df: DataFrame, keep) -> DataFrame:
     """Rows of ``df`` that ``keep(texts)`` (a list of booleans for a list of texts) holds for; all columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            mask = [m for i, j in slices(texts) for m in keep(texts[i:j])]
-            yield b.filter(pa.array(mask, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(at, SLICE_ROWS)
+                texts = b.column("text").to_pylist()
+                mask = [m for i, j in slices(texts) for m in keep(texts[i:j])]
+                yield b.filter(pa.array(mask, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
