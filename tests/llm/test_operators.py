@@ -919,7 +919,7 @@ def test_sql_forms_of_queries(spark):
     from lexarium.llm import registry
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
