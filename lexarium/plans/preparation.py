@@ -11,7 +11,7 @@ from lexarium.functions import html, ids, text, urls
 from lexarium.functions.explode import exploded
 from lexarium.operators import catalog, chunk, clean, merge, prepare, profile, retrieve
 from lexarium.plans.tables import table
-from lexarium.storage import settled
+from lexarium.storage import settled, stored
 from lexarium.streaming import incremental
 
 
@@ -421,6 +421,53 @@ def catalog_filter_page(s, d):
     return catalog.page(catalog.matching(catalog_entries(s, d), kind="web", q="example.org"), 2, 25).select("catalog_id", "department", "title", "total", "has_more")
 
 
+def catalog_page_after(s, d):
+    """The 25 entries that follow the first web entry's place in the listing."""
+    return catalog.page_after(catalog_entries(s, d), 25, ("web", "", "", "")).select("catalog_id", "source_type", "department", "title")
+
+
+def catalog_changes(s, d):
+    """What changes in the dataset: toxic documents go, those of quality 0 get a later chunk without a job, benchmark items come in as a file."""
+    told = table(s, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = dataset(s, d).where("source_type = 'pdf'").join(told, F.col("position") == told["doc_id"], "left").drop(told["doc_id"])
+    names = dataset(s, d).columns
+    removed = known.where("toxic = 1").select(names)
+    new = {"last_updated": F.lit("2024-05-01T02:00:00+02:00"), "ingest_job_id": F.lit(None).cast("string"), "ingested_at": F.lit("2024-05-02T00:00:00Z"), "position": F.col("position") + 3 * 10**12}
+    revised = known.where("quality = 0 and toxic = 0").select(names).withColumns(new)
+    none, c = F.lit(None).cast("string"), F.col
+    items = table(s, d, "benchmark").select(
+        F.lit("pdf").alias("source_type"), none.alias("department"), none.alias("ticket_id"), F.lit("benchmark").alias("doc_id"), none.alias("conversation_id"), c("item_id").cast("string").alias("chunk_id"),
+        F.lit("").alias("source"), none.alias("subject"), F.lit("Benchmark").alias("page_title"), F.lit("2024-05-01").alias("last_updated"),
+        F.lit("job-c").alias("ingest_job_id"), F.lit("2024-05-02 00:00:00").alias("ingested_at"), "text", (c("item_id") + 4 * 10**12).alias("position"),
+    )
+    return removed, revised.unionByName(items)
+
+
+@settled
+def catalog_after_delta(s, d):
+    """The catalog kept up to date: states of all rows, then of what changed."""
+    rows = dataset(s, d)
+    removed, added = catalog_changes(s, d)
+    kept = stored(catalog.states(rows), "catalog-states")
+    gone = removed.select("source_type", "position").distinct()
+    now = rows.join(gone, ["source_type", "position"], "left_anti").select(rows.columns).unionByName(added)
+    return catalog.finished(catalog.updated(kept, added, removed, now))
+
+
+AFTER_DELTA = f"""WITH told AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY ALL),
+left_documents AS (SELECT d.* FROM documents d LEFT JOIN told t ON d.doc_id = t.doc_id WHERE coalesce(toxic, 0) <> 1),
+{DATASET.replace('FROM documents', 'FROM left_documents')},
+later AS (SELECT * FROM data
+UNION ALL SELECT 'pdf', lang, 'doc:' || source, 'https://files.example.org/' || source || '.pdf', source, 0, '2024-05-01 00:00:00', NULL, '2024-05-02 00:00:00', d.doc_id + 3000000000000 FROM documents d JOIN told t ON d.doc_id = t.doc_id WHERE quality = 0 AND toxic = 0
+UNION ALL SELECT 'pdf', 'unknown', 'doc:benchmark', NULL, 'Benchmark', 0, '2024-05-01 00:00:00', 'job-c', '2024-05-02 00:00:00', item_id + 4000000000000 FROM benchmark),
+newest AS (SELECT type, department, identity, max(ingested_at) AS top FROM later GROUP BY ALL),
+starts AS (SELECT type, department, identity, min(position) FILTER (ingested_at = top) AS since FROM later JOIN newest USING (type, department, identity) GROUP BY ALL)
+SELECT substr(sha1(type || '|' || department || '|' || identity), 1, 16) AS catalog_id, type AS source_type, department, coalesce(arg_min(source, position), '') AS source,
+  nullif({q_host("coalesce(arg_min(source, position), '')")}, '') AS host, arg_min(title, r * 1e13 + position) AS title, count(*) AS chunk_count, max(last_updated) AS last_updated,
+  arg_min(job, position) FILTER (job IS NOT NULL AND position >= coalesce(since, 0)) AS ingest_job_id, max(ingested_at) AS ingested_at
+FROM later JOIN starts USING (type, department, identity) GROUP BY type, department, identity"""
+
+
 # ---- incremental ----------------------------------------------------------------------------------------------
 
 LOWER, UPPER = datetime(2024, 1, 10), datetime(2024, 1, 20)
@@ -495,6 +542,8 @@ QUERIES = {
     "ticket_messages_join": ticket_messages_join,
     "catalog_entries": catalog_entries,
     "catalog_filter_page": catalog_filter_page,
+    "catalog_page_after": catalog_page_after,
+    "catalog_after_delta": catalog_after_delta,
     "catalog_overview": lambda s, d: catalog.overview(catalog_entries(s, d)),
     "catalog_newest": lambda s, d: catalog.newest(catalog_entries(s, d), "web", 6).select("place", "catalog_id", "last_updated"),
     "catalog_tree": lambda s, d: catalog.tree(catalog_entries(s, d)),
@@ -534,6 +583,8 @@ ORACLE_SQL = {
     "ticket_messages_join": JOIN,
     "catalog_entries": f"WITH {DATASET} SELECT * FROM entries",
     "catalog_filter_page": f"WITH {DATASET}, f AS (SELECT *, count(*) OVER () AS total FROM entries WHERE source_type = 'web' AND contains(lower(concat_ws(' ', catalog_id, source_type, department, source, host, title)), 'example.org')) SELECT catalog_id, department, title, total, total > 50 AS has_more FROM f ORDER BY source_type, department, lower(coalesce(nullif(title, ''), source, '')), catalog_id LIMIT 25 OFFSET 25",
+    "catalog_page_after": f"WITH {DATASET} SELECT catalog_id, source_type, department, title FROM entries WHERE source_type >= 'web' ORDER BY source_type, department, lower(coalesce(nullif(title, ''), source, '')), catalog_id LIMIT 25",
+    "catalog_after_delta": AFTER_DELTA,
     "catalog_overview": f"WITH {DATASET} SELECT coalesce(host, nullif(source, ''), catalog_id) AS label, count(*) AS documents, sum(chunk_count)::BIGINT AS chunks, count(DISTINCT department) AS departments, max(last_updated) AS last_updated FROM entries WHERE source_type = 'web' GROUP BY 1",
     "catalog_newest": f"WITH {DATASET} SELECT row_number() OVER (ORDER BY last_updated DESC NULLS LAST, catalog_id) AS place, catalog_id, last_updated FROM entries WHERE source_type = 'web' ORDER BY 1 LIMIT 6",
     "catalog_tree": f"WITH {DATASET} SELECT {SHELF} AS grp, count_if(source_type = 'ticket') AS ticket_count, count_if(source_type = 'web') AS web_count, count_if(source_type = 'pdf') AS pdf_count, sum(chunk_count)::BIGINT AS chunks, count(*) AS children FROM entries GROUP BY 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
@@ -87,6 +88,60 @@ def test_catalog(spark):
         catalog.page(df, 0, 10)
 
 
+COLUMNS = "source_type string, department string, ticket_id string, doc_id string, conversation_id string, chunk_id string, source string, subject string, page_title string, last_updated string, ingest_job_id string, ingested_at string, text string, position long"
+
+
+def chunk_rows(n, seed):
+    """Rows of a few groups with missing titles, sources, jobs and times, in several forms of a time."""
+    rng = random.Random(seed)
+    times = [None, "", "2024-01-02", "2024-01-02T05:00:00+05:00", "2024-01-02 00:00:01", "2024-01-01T23:00:00Z", "2024-03-01 10:00:00"]
+    pick = rng.choice
+    return [
+        (pick(["pdf", "web", "ticket"]), pick([None, "a"]), pick(["1", "2"]), pick(["x", "y"]), None, str(i), pick([None, "", f"https://h{i}.org/"]), pick([None, f"s{i}"]), pick([None, f"t{i}"]), pick(times), pick([None, None, f"j{i}"]), pick(times), "", i)
+        for i in range(n)
+    ]
+
+
+def in_turn(rows):
+    """Job and newest ingestion of each group, row after row in order of position."""
+    utc = {"2024-01-02": "2024-01-02 00:00:00", "2024-01-02T05:00:00+05:00": "2024-01-02 00:00:00", "2024-01-01T23:00:00Z": "2024-01-01 23:00:00"}
+    out = {}
+    for r in sorted(rows, key=lambda r: r[-1]):
+        key = (r[0], r[1] or "unknown", r[2] if r[0] == "ticket" else r[3])
+        at = utc.get(r[11], r[11]) or ""
+        job, top = out.get(key, (None, ""))
+        out[key] = (r[10], at) if at > top else (r[10] if job is None else job, top)
+    return sorted((k[0], k[1], job or "", top) for k, (job, top) in out.items())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_catalog_states_follow_rows(spark, seed):
+    rows = chunk_rows(90, seed)
+    of = lambda some: spark.createDataFrame(some, COLUMNS)
+    got = [(r.source_type, r.department, r.ingest_job_id or "", r.ingested_at or "") for r in catalog.entries(of(rows)).collect()]
+    assert sorted(got) == in_turn(rows)
+    # Rows behind the known ones, with and without rows that go, and rows between known ones.
+    for known, added, removed in ((rows[:60], rows[60:], []), (rows[:60], rows[60:], rows[5:9]), (rows[::2], rows[1::2], rows[:1]), ([], rows, []), (rows, [], [])):
+        now = [r for r in known if r not in removed] + added
+        made = catalog.updated(catalog.states(of(known)), of(added), of(removed), of(now))
+        assert sorted(map(repr, catalog.finished(made).collect())) == sorted(map(repr, catalog.entries(of(now)).collect()))
+        assert sorted(map(repr, made.select(sorted(made.columns)).collect())) == sorted(map(repr, (t := catalog.states(of(now))).select(sorted(t.columns)).collect()))
+
+
+def test_pages_by_cursor(spark, tmp_path):
+    rows = [("web", f"d{i % 3}", None, f"doc{i}", None, None, "", None, f"Title {i % 7}", None, None, None, "", i) for i in range(57)]
+    catalog.listed(catalog.entries(spark.createDataFrame(rows, COLUMNS))).write.parquet(str(tmp_path / "listing"))
+    items = spark.read.parquet(str(tmp_path / "listing"))
+    seen, after = [], None
+    while page := catalog.page_after(items, 10, after).collect():
+        seen += [r.catalog_id for r in page]
+        after = tuple(page[-1].cursor)
+    assert seen == [r.catalog_id for r in items.orderBy(*catalog.listing_order()).collect()] and len(seen) == 57
+    for size, cursor in ((0, None), (101, None), (5, ("web",))):
+        with pytest.raises(ValueError):
+            catalog.page_after(items, size, cursor)
+
+
 def test_evaluation(spark):
     res = spark.createDataFrame([(1, d, r) for r, d in enumerate([5, 6, 7], 1)], "query_id long, doc_id long, rank int")
     rel = spark.createDataFrame([(1, 6, 1), (1, 6, 2), (1, 9, 1)], "query_id long, doc_id long, grade int")
