@@ -183,11 +183,14 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     Where the tokens have more than ``PRUNE_FROM`` postings the search is pruned, below that reading all costs less; both are exact. The result
     is a stored table; what led to it is deleted.
     """
+    # Bounds need weights that are not negative; a handful of documents can have a negative mean weight.
+    many, least = query_terms(index, queries).agg(F.coalesce(F.sum("df"), F.lit(0)), F.min("w")).first()
+    prunes = many > PRUNE_FROM and least >= 0
+    if prunes:
+        index.blocks  # noqa: B018  made here, as they outlive this search
     with scratch(queries.sparkSession):
         terms = stored(query_terms(index, queries), "query-terms")
-        # Bounds need weights that are not negative; a handful of documents can have a negative mean weight.
-        many, least = terms.agg(F.coalesce(F.sum("df"), F.lit(0)), F.min("w")).first()
-        scored = pruned(index, terms, k).scores if many > PRUNE_FROM and least >= 0 else bm25(index, terms)
+        scored = pruned(index, terms, k).scores if prunes else bm25(index, terms)
         top = stored(scored.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= k), "bm25-top")
         found = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
         short = found.where(F.coalesce("n", F.lit(0)) < k).select("query_id", F.coalesce("n", F.lit(0)).alias("n"))

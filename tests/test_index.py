@@ -59,6 +59,16 @@ def test_pruned_search_reads_less(spark, corpus):
     assert index.blocks.where("token = 'w0'").count() > 3
 
 
+def test_one_index_answers_several_pruned_searches(spark, corpus, monkeypatch):
+    docs, asked = corpus
+    asked = asked.where("query_id < 4")
+    index = lexical.LexicalIndex.build(docs)
+    want = sorted(map(tuple, lexical.bm25_top(index, asked, 5).collect()))
+    monkeypatch.setattr(lexical, "PRUNE_FROM", 0)
+    for _ in range(2):
+        assert sorted(map(tuple, lexical.bm25_top(index, asked, 5).collect())) == want
+
+
 def test_overlaps(spark, corpus):
     docs, asked = corpus
     index = lexical.LexicalIndex.build(docs)
