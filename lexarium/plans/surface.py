@@ -586,13 +586,14 @@ def tickets_with_messages(s, d):
     """Orders as tickets of a time span, lines as their steps, parts as attachments and suppliers as people, by queue."""
     c = F.col
     tickets = table(s, d, "orders").select(c("o_orderkey").alias("id"), c("o_orderdate").alias("LastUpdated"), c("o_orderpriority").alias("Queue"))
-    step = (c("l_orderkey") * 10 + c("l_linenumber")) * 1_000_000 + c("l_partkey")
+    # Whole keys, not a number made of them: that would mix up lines once keys outgrow their digits.
+    step = F.struct("l_orderkey", "l_linenumber", "l_partkey")
     lines = table(s, d, "lineitem")
     steps = lines.select(
         step.alias("id"), c("l_orderkey").alias("ObjectId"), F.lit("RT::Ticket").alias("ObjectType"), F.when(c("l_linenumber") % 3 == 0, "Comment").when(c("l_linenumber") % 3 == 1, "Correspond").otherwise("Status").alias("Type"),
         c("l_shipdate").alias("Created"), c("l_suppkey").alias("Creator"),
     )
-    files = lines.select((step * 2).alias("id"), step.alias("TransactionId"), F.lit("").alias("Content")).union(lines.select(step * 2 + 1, step, F.concat(F.lit("part "), c("l_partkey").cast("string"))))
+    files = lines.select(F.lit(0).alias("id"), step.alias("TransactionId"), F.lit("").alias("Content")).union(lines.select(F.lit(1), step, F.concat(F.lit("part "), c("l_partkey").cast("string"))))
     people = table(s, d, "supplier").select(c("s_suppkey").alias("id"), F.when(c("s_suppkey") % 2 == 0, F.concat(c("s_name"), F.lit("@Org.example"))).otherwise(c("s_name")).alias("EmailAddress"))
     made = readers.tickets_with_messages(tickets, steps, files, people, LOW, HIGH, "@org.example", ["1-URGENT", "2-HIGH"])
     said = F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"]))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexarium.functions import dates, ids
 from lexarium.operators import evaluate, retrieve, rows, search
+from lexarium.plans import surface
 from lexarium.sources import readers, snapshots
 from lexarium.sources.index_store import StoredIndex
 
@@ -208,6 +210,21 @@ def test_readers_more(spark, tmp_path):
     assert [r.id for r in resolved.collect()] == [2]
 
 
+def test_tickets_with_large_keys(spark, tmp_path):
+    day, c = datetime(1995, 5, 5), duckdb.connect()
+    given = {
+        "orders": ([(1, day, "2-HIGH"), (2, day, "2-HIGH")], "o_orderkey long, o_orderdate timestamp, o_orderpriority string"),
+        # As one number, the lines of order 1 would be one, and those of order 2 would change places.
+        "lineitem": ([(1, 3, 1_000_005, 1, day), (1, 4, 5, 1, day), (2, 3, 1_900_000, 1, day), (2, 4, 7, 1, day)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp"),
+        "supplier": ([(1, "s")], "s_suppkey long, s_name string"),
+    }
+    for name, rows in given.items():
+        spark.createDataFrame(*rows).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(c.sql(surface.TICKETS).fetchall())
+    assert sorted(map(tuple, surface.tickets_with_messages(spark, str(tmp_path)).collect())) == want and len(want) == 2
+
+
 def test_row_builders(spark):
     pages = spark.createDataFrame([("https://x/a.pdf", "2024-01-02", None, "Head line\n" + "t" * 50, 2, 3), ("s", "2024-01-02", "ok", "t" * 50, 1, None)], "source string, extracted_at string, extraction_status string, text string, page int, total_pages int")
     good, skipped = rows.pdf_rows(pages, "general")
