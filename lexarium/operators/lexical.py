@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from lexarium.functions.explode import exploded
 from lexarium.functions.text import tokens
-from lexarium.storage import scratch, stored
+from lexarium.storage import bucketed, scratch, stored
 
 # BM25's parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents of a shard, about; a block holds at most as many postings.
 SHARD_DOCS = 1024
+#: Documents of a bucket of shards, about: a task scores the documents of one bucket for all queries of a batch.
+BUCKET_DOCS = 2048
+#: Query terms that every task holds at once, about; more are done in batches.
+BATCH_TERMS = 1 << 16
 #: A query's first threshold comes from its heaviest tokens: so many postings for each document asked for.
 LEAD = 16
-#: Postings of a batch's tokens from which a search is pruned.
-PRUNE_FROM = 50_000_000
 #: Scores are rounded to six digits: what may still tie with the last place.
 SLACK = 2e-6
 
@@ -40,23 +42,27 @@ def length_class(dl: Column) -> Column:
 
 def block_of(doc: Column, tf: Column, dl: Column, shards: int) -> Column:
     """The block of a posting within its token: classes of count and length, and the document's shard."""
-    return (length_class(tf) * 128 + length_class(dl)) * (1 << 24) + F.pmod(F.xxhash64(doc), F.lit(shards))
+    return (length_class(tf) * 128 + length_class(dl)) * (1 << 24) + shard_of(doc, shards)
+
+
+def shard_of(doc: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(shards))
 
 
 def best_first(score: str = "score") -> Window:
     return Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Postings ``(doc_id, token, tf, dl)`` of ``(doc_id, text)``."""
-    terms = exploded(docs, tokens(F.col("text")), "token", "doc_id", size="dl")
-    return terms.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")).select("doc_id", "token", "tf", "dl")
+def counted(docs: DataFrame, *keep: str) -> DataFrame:
+    """Postings ``(doc_id, token, tf, dl)`` of ``(doc_id, text)``, with columns to ``keep`` behind."""
+    terms = exploded(docs, tokens(F.col("text")), "token", "doc_id", *keep, size="dl")
+    return terms.groupBy("doc_id", "token", "dl", *keep).agg(F.count("*").alias("tf")).select("doc_id", "token", "tf", "dl", *keep)
 
 
-def directory(postings: DataFrame, shards: int) -> DataFrame:
-    """``(token, block, top_tf, least_dl, n)`` of each block."""
+def directory(postings: DataFrame, shards: int, *keep: str) -> DataFrame:
+    """``(token, block, top_tf, least_dl, n)`` of each block, with columns to ``keep`` that a block has one value of in front."""
     own = postings.withColumn("block", block_of(F.col("doc_id"), F.col("tf"), F.col("dl"), shards))
-    return own.groupBy("token", "block").agg(F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"), F.count("*").alias("n"))
+    return own.groupBy(*keep, "token", "block").agg(F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"), F.count("*").alias("n"))
 
 
 @dataclass
@@ -70,25 +76,48 @@ class LexicalIndex:
     total: int
     shards: int
     held_blocks: DataFrame | None = None  # token, block, top_tf, least_dl, n
+    by_shard: DataFrame | None = None  # the postings with their shard, as a table in buckets by shard
 
     @property
     def mean_length(self) -> float:
         return self.total / self.n if self.total else 1.0
 
+    @property
+    def buckets(self) -> int:
+        return buckets_of(self.docs, self.n)
+
     @property
     def blocks(self) -> DataFrame:
         if self.held_blocks is None:
-            self.held_blocks = stored(directory(self.postings, self.shards), "posting-blocks")
+            own = directory(self.postings if self.by_shard is None else self.by_shard, self.shards, *(() if self.by_shard is None else ("shard",)))
+            self.held_blocks = stored(own, "posting-blocks") if self.by_shard is None else bucketed(own, "posting-blocks", self.buckets, "shard")
         return self.held_blocks
 
     @classmethod
     def build(cls, docs: DataFrame) -> LexicalIndex:
-        """From ``(doc_id, text)``. Weights below zero become EPSILON times the mean weight."""
-        postings = stored(counted(docs), "postings")
+        """From ``(doc_id, text)``. Weights below zero become EPSILON times the mean weight.
+
+        Texts are dealt by shard before they are split, so postings, which are many times as many rows, are counted and stay where they are made.
+        """
         n = docs.count()
+        shards, buckets = n // SHARD_DOCS + 1, buckets_of(docs, n)
+        dealt = docs.select("doc_id", "text", shard_of(F.col("doc_id"), shards).alias("shard")).repartition(buckets, "shard")
+        held = bucketed(counted(dealt, "shard"), "postings", buckets, "shard", "doc_id")
+        postings = held.drop("shard")
         known = stored(postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), "term-counts")
         total = known.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        return cls(postings, weighted(known.select("token", "df"), n), docs.select("doc_id"), n, total, n // SHARD_DOCS + 1)
+        return cls(postings, weighted(known.select("token", "df"), n), docs.select("doc_id"), n, total, shards, by_shard=held)
+
+    def dealt(self, terms: DataFrame) -> DataFrame:
+        """The postings of the tokens of ``terms`` at least, with their shard, dealt by it: what joins or groups by ``shard`` and more moves none."""
+        if self.by_shard is not None:
+            return self.by_shard
+        own = self.postings.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
+        return own.select("doc_id", "token", "tf", "dl", shard_of(F.col("doc_id"), self.shards).alias("shard")).repartition(self.buckets, "shard")
+
+
+def buckets_of(df: DataFrame, n: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, n // BUCKET_DOCS + 1)
 
 
 def weighted(known: DataFrame, n: int) -> DataFrame:
@@ -105,9 +134,14 @@ def query_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
 
 
 def bm25(index: LexicalIndex, terms: DataFrame) -> DataFrame:
-    """Scores of all documents that share a token with the ``query_terms`` of some queries: every posting of every token."""
+    """Scores of all documents that share a token with the ``query_terms`` of some queries: every posting of every token.
+
+    ``terms`` are held by every task. A document's postings lie together, so its scores are summed up where they are read: pairs of query and
+    document, of which there are about as many as queries times documents, are never moved or written.
+    """
     part = F.col("w") * impact(F.col("tf"), F.col("dl"), index.mean_length)
-    return index.postings.join(terms.select("query_id", "token", "w"), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    own = index.dealt(terms).join(F.broadcast(terms.select("query_id", "token", "w")), "token")
+    return own.groupBy("query_id", "shard", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).drop("shard")
 
 
 @dataclass
@@ -131,19 +165,18 @@ def pruned(index: LexicalIndex, terms: DataFrame, k: int) -> Pruned:
     light tokens are looked up by document and token.
     """
     part = F.col("w") * impact(F.col("tf"), F.col("dl"), index.mean_length)
-    own = index.postings.withColumns({"block": block_of(F.col("doc_id"), F.col("tf"), F.col("dl"), index.shards), "len": length_class(F.col("dl"))})
+    held = index.dealt(terms) if index.by_shard is not None else bucketed(index.dealt(terms), "bm25-postings", index.buckets, "shard")
+    own = held.withColumns({"block": block_of(F.col("doc_id"), F.col("tf"), F.col("dl"), index.shards), "len": length_class(F.col("dl"))})
     blocks = index.blocks.withColumns({"len": length_class(F.col("least_dl")), "bound": impact(F.col("top_tf"), F.col("least_dl"), index.mean_length)})
+    document = ["query_id", "shard", "doc_id", "len"]
 
-    def postings_in(wanted: DataFrame, *on: str) -> DataFrame:
-        return own.join(wanted.select("query_id", "w", *on), list(on)).select("query_id", "doc_id", "len", part.alias("part"))
-
-    def kth(parts: DataFrame) -> DataFrame:
-        return parts.withColumn("_n", F.row_number().over(best_first())).where(F.col("_n") == k).select("query_id", F.col("score").alias("theta"))
+    def kth(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("_n", F.row_number().over(best_first())).where(F.col("_n") == k).select("query_id", F.col("score").alias("theta"))
 
     heaviest = Window.partitionBy("query_id").orderBy(F.desc("w"), "token").rowsBetween(Window.unboundedPreceding, -1)
     first = terms.withColumn("before", F.coalesce(F.sum("df").over(heaviest), F.lit(0))).where(F.col("before") < LEAD * k)
-    lead = postings_in(blocks.select("token", "block").join(first, "token"), "token", "block")
-    theta = stored(kth(lead.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))), "bm25-theta")
+    lead = own.join(F.broadcast(first.select("query_id", "token", "w")), "token").select(*document, part.alias("part"))
+    theta = stored(kth(lead.groupBy(*document).agg(F.sum("part").alias("score"))), "bm25-theta")
 
     of_length = Window.partitionBy("query_id", "len")
     heavier, lighter = of_length.orderBy(F.desc("most"), "token"), of_length.orderBy("most", F.desc("token"))
@@ -153,17 +186,22 @@ def pruned(index: LexicalIndex, terms: DataFrame, k: int) -> Pruned:
     bounds = bounds.withColumn("every", F.sum(F.when(holds, F.col("most"))).over(of_length)).join(theta, "query_id", "left")
     reach = F.coalesce(F.col("theta") - SLACK, F.lit(0.0))
     bounds = stored(bounds.withColumns({"reach": reach, "light": F.col("up_to") < reach}).drop("theta", "df", "top", "nth"), "bm25-bounds")
-    kept = blocks.join(bounds.where("not light"), ["token", "len"])
-    kept = postings_in(kept.where(F.col("w") * F.col("bound") + F.col("every") - F.col("most") >= F.col("reach")), "token", "block")
-    partial = stored(kept.groupBy("query_id", "doc_id", "len").agg(F.sum("part").alias("score")), "bm25-partial")
+    # Postings meet their block where they are; queries come to them.
+    block_bounds = blocks.select(F.pmod("block", F.lit(1 << 24)).alias("shard") if "shard" not in blocks.columns else "shard", "token", "block", "bound")
+    rated = own.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi").join(block_bounds.hint("shuffle_hash"), ["shard", "token", "block"])
+    heavy = bounds.where("not light").select("query_id", "token", "len", "w", (F.col("reach") - F.col("every") + F.col("most")).alias("least"))
+    kept = rated.join(F.broadcast(heavy), ["token", "len"]).where(F.col("w") * F.col("bound") >= F.col("least")).select(*document, part.alias("part"))
+    # Made twice and never written: it has a row for most pairs of query and document.
+    partial = kept.groupBy(*document).agg(F.sum("part").alias("score"))
     # The partial scores' own last place is a threshold too, and mostly a higher one.
+    theta = stored(theta.unionByName(kth(partial)).groupBy("query_id").agg(F.max("theta").alias("theta")), "bm25-theta")
     rests = bounds.where("light").groupBy("query_id", "len").agg(F.max("up_to").alias("rest"))
-    alive = partial.join(theta.unionByName(kth(partial)).groupBy("query_id").agg(F.max("theta").alias("theta")), "query_id", "left").join(rests, ["query_id", "len"], "left")
+    alive = partial.join(F.broadcast(theta), "query_id", "left").join(F.broadcast(rests), ["query_id", "len"], "left")
     alive = alive.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce(F.col("theta") - SLACK, F.lit(0.0)))
-    alive = stored(alive.select("query_id", "doc_id", "len", "score"), "bm25-alive")
-    pairs = alive.join(bounds.where("light").select("query_id", "len", "token", "w"), ["query_id", "len"]).drop("score", "len")
-    looked_up = own.join(pairs, ["doc_id", "token"]).select("query_id", "doc_id", "len", part.alias("part"))
-    scores = alive.withColumnRenamed("score", "part").unionByName(looked_up).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    alive = bucketed(alive.select(*document, "score"), "bm25-alive", index.buckets, "shard")
+    pairs = alive.join(F.broadcast(bounds.where("light").select("query_id", "len", "token", "w")), ["query_id", "len"]).drop("score", "len")
+    looked_up = own.join(pairs.hint("shuffle_hash"), ["shard", "doc_id", "token"]).select(*document, part.alias("part"))
+    scores = alive.withColumnRenamed("score", "part").unionByName(looked_up).groupBy("query_id", "shard", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).drop("shard")
     return Pruned(lead, kept, looked_up, scores)
 
 
@@ -180,18 +218,17 @@ def reads(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
 def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best documents of each query; where fewer match, documents without a match follow by id with 0.
 
-    Where the tokens have more than ``PRUNE_FROM`` postings the search is pruned, below that reading all costs less; both are exact. The result
-    is a stored table; what led to it is deleted.
+    All postings of the queries' tokens are read, once for each batch of queries; a task keeps its ``k`` best a query. The result is a
+    stored table; what led to it is deleted.
     """
-    # Bounds need weights that are not negative; a handful of documents can have a negative mean weight.
-    many, least = query_terms(index, queries).agg(F.coalesce(F.sum("df"), F.lit(0)), F.min("w")).first()
-    prunes = many > PRUNE_FROM and least >= 0
-    if prunes:
-        index.blocks  # noqa: B018  made here, as they outlive this search
     with scratch(queries.sparkSession):
         terms = stored(query_terms(index, queries), "query-terms")
-        scored = pruned(index, terms, k).scores if prunes else bm25(index, terms)
-        top = stored(scored.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= k), "bm25-top")
+        batches, top = max(1, -(-terms.count() // BATCH_TERMS)), None
+        place = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+        for i in range(batches):
+            scored = bm25(index, terms.where(place == i) if batches > 1 else terms)
+            best = stored(scored.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= k), "bm25-top")
+            top = best if top is None else top.unionByName(best)
         found = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
         short = found.where(F.coalesce("n", F.lit(0)) < k).select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
         # A short query has fewer than k matches, all of them in top: 2k first ids are enough to fill it.

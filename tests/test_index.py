@@ -59,16 +59,25 @@ def test_pruned_search_reads_less(spark, corpus):
     assert index.blocks.where("token = 'w0'").count() > 3
 
 
-def test_one_index_answers_several_pruned_searches(spark, corpus, monkeypatch):
+def test_one_index_answers_several_searches(spark, corpus, monkeypatch):
     docs, asked = corpus
     asked = asked.where("query_id < 4")
     index = lexical.LexicalIndex.build(docs)
     want = sorted(map(tuple, lexical.bm25_top(index, asked, 5).collect()))
-    monkeypatch.setattr(lexical, "PRUNE_FROM", 0)
+    monkeypatch.setattr(lexical, "PRUNE_FROM", 0, raising=False)
     for _ in range(2):
         assert sorted(map(tuple, lexical.bm25_top(index, asked, 5).collect())) == want
 
 
+def test_scores_are_summed_up_where_postings_lie(spark, corpus):
+    docs, asked = corpus
+    index = lexical.LexicalIndex.build(docs)
+    scores = lexical.bm25(index, stored(lexical.query_terms(index, asked), "terms"))
+    # Queries are broadcast; neither postings nor pairs of query and document are shuffled.
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_overlaps(spark, corpus):
     docs, asked = corpus
     index = lexical.LexicalIndex.build(docs)
