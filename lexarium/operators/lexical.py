@@ -24,6 +24,8 @@ SHARD_DOCS = 1024
 BUCKET_DOCS = 2048
 #: Query terms that every task holds at once, about; more are done in batches.
 BATCH_TERMS = 1 << 16
+#: Keys that are broadcast to the rows of a large table; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 #: A query's first threshold comes from its heaviest tokens: so many postings for each document asked for.
 LEAD = 16
 #: Scores are rounded to six digits: what may still tie with the last place.
@@ -239,6 +241,12 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
         return stored(top.unionByName(fill.select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank")), "bm25-best", keep=True)
 
 
+def with_few(rows: DataFrame, wanted: DataFrame, *on: str) -> DataFrame:
+    """``rows`` whose ``on`` is in ``wanted``, a stored table: up to ``BROADCAST_ROWS`` of them come to the rows, which stay where they are."""
+    few = wanted.select(*on).distinct()
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, list(on), "left_semi")
+
+
 def overlaps(index: LexicalIndex, candidates: DataFrame, query_texts: DataFrame) -> DataFrame:
     """``(query_id, doc_id, rerank_score)``: the largest share of a text's distinct tokens that a candidate holds, over its query's texts.
 
@@ -247,7 +255,9 @@ def overlaps(index: LexicalIndex, candidates: DataFrame, query_texts: DataFrame)
     forms = query_texts.groupBy("query_id").agg(F.collect_set(F.array_distinct(tokens(F.col("text")))).alias("forms"))
     forms = forms.select("query_id", F.posexplode("forms").alias("form", "qt")).select("query_id", "form", F.size("qt").alias("size"), F.explode("qt").alias("token"))
     pairs = candidates.select("query_id", "doc_id").join(forms, "query_id")
-    held = index.postings.select("doc_id", "token").join(pairs, ["doc_id", "token"]).groupBy("query_id", "doc_id", "form", "size").agg(F.count("*").alias("held"))
+    # Postings of other documents go before anything is moved.
+    own = with_few(index.postings.select("doc_id", "token"), candidates.select("doc_id"), "doc_id")
+    held = own.join(pairs, ["doc_id", "token"]).groupBy("query_id", "doc_id", "form", "size").agg(F.count("*").alias("held"))
     best = held.groupBy("query_id", "doc_id").agg(F.max(F.round(F.col("held") / F.col("size"), 6)).alias("rerank_score"))
     # Candidates that a vector has and a text hasn't are no results.
     known = candidates.select("query_id", "doc_id").join(query_texts.select("query_id").distinct(), "query_id", "left_semi").join(index.docs, "doc_id", "left_semi")

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexarium.functions.text import fold, tokens
-from lexarium.operators.lexical import LexicalIndex, best_first, bm25, bm25_top, overlaps
+from lexarium.operators.lexical import LexicalIndex, best_first, bm25, bm25_top, overlaps, with_few
 from lexarium.storage import scratch, stored
 
-__all__ = ["LexicalIndex", "best_first", "bm25", "bm25_top", "overlaps"]
+__all__ = ["LexicalIndex", "best_first", "bm25", "bm25_top", "overlaps", "with_few"]
 
 # Fusion constant, pools and boosts.
 RRF_K = 60
@@ -135,7 +135,7 @@ def rerank(candidates: DataFrame, docs: DataFrame, query_texts: DataFrame, score
     split into tokens, each once.
     """
     texts = query_texts.select("query_id", tokens(F.col("text")).alias("qt"))
-    held = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = with_few(docs.select("doc_id", "text"), candidates, "doc_id")
     held = stored(held.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("dt")), "candidate-tokens")
     pairs = candidates.join(texts, "query_id").join(held, "doc_id").withColumn("s", score(F.col("qt"), F.col("dt")))
     best = pairs.groupBy("query_id", "doc_id").agg(F.max("s").alias("rerank_score"))

@@ -78,6 +78,22 @@ def test_scores_are_summed_up_where_postings_lie(spark, corpus):
     assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_few_keys_come_to_the_rows(spark, corpus, monkeypatch):
+    docs, _ = corpus
+    index = lexical.LexicalIndex.build(docs)
+    few = stored(docs.where("doc_id < 5").select("doc_id"), "few")
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 4)
+    want = sorted(map(tuple, lexical.with_few(index.postings, few, "doc_id").collect()))
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lexical.with_few(index.postings, few, "doc_id")
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == want and {r[0] for r in want} <= set(range(5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_overlaps(spark, corpus):
     docs, asked = corpus
     index = lexical.LexicalIndex.build(docs)
