@@ -13,6 +13,8 @@ from lexarium.storage import scratch, stored
 
 #: Documents of one folder of postings, about, and the most folders: an update reads the folders of the documents that it replaces.
 FOLDER_DOCS, FOLDERS = 100_000, 1024
+#: Tasks that write a folder, at most.
+FOLDER_TASKS = 16
 
 
 class StoredIndex:
@@ -60,7 +62,8 @@ class StoredIndex:
         at = f"{self.root}/{name}"
         with scratch(self.spark):
             docs = docs.select("doc_id", "text")
-            counted = stored(lexical.counted(docs), "delta-postings")
+            # Texts are dealt, so their postings are counted where they are made.
+            counted = stored(lexical.counted(docs.repartition("doc_id")), "delta-postings")
             own = docs.select("doc_id").join(counted.select("doc_id", "dl").distinct(), "doc_id", "left").fillna(0, ["dl"])
             own.write.parquet(f"{at}/docs")
             own = self._part(state, name, "docs")
@@ -68,7 +71,7 @@ class StoredIndex:
             if added[0] != added[1]:
                 raise ValueError("a document id is null or repeated in the delta")
             folder = self._folder(F.col("doc_id"), state["folders"])
-            counted.withColumn("folder", folder).repartition("folder").write.partitionBy("folder").parquet(f"{at}/postings")
+            counted.withColumn("folder", folder).repartition(*self._spread()).write.partitionBy("folder").parquet(f"{at}/postings")
             lexical.directory(counted, state["shards"]).write.parquet(f"{at}/blocks")
             df = counted.groupBy("token").agg(F.count("*").alias("df"))
             lost = (0, 0)
@@ -104,7 +107,7 @@ class StoredIndex:
         docs, postings = self._live(state, "docs"), self._live(state, "postings").drop("folder")
         docs.write.parquet(f"{at}/docs")
         docs.limit(0).write.parquet(f"{at}/gone")
-        postings.withColumn("folder", self._folder(F.col("doc_id"), shape["folders"])).repartition("folder").write.partitionBy("folder").parquet(f"{at}/postings")
+        postings.withColumn("folder", self._folder(F.col("doc_id"), shape["folders"])).repartition(*self._spread()).write.partitionBy("folder").parquet(f"{at}/postings")
         postings = self._part(state, name, "postings").drop("folder")
         lexical.directory(postings, shape["shards"]).write.parquet(f"{at}/blocks")
         postings.groupBy("token").agg(F.count("*").alias("df")).write.parquet(f"{at}/terms")
@@ -132,6 +135,11 @@ class StoredIndex:
     def _folder(doc, folders: int):
         return F.pmod(F.xxhash64(doc), F.lit(folders)).cast("int")
 
+    @staticmethod
+    def _spread() -> list:
+        """By what postings are dealt before they are written: several tasks a folder, as a large index has few folders."""
+        return [F.col("folder"), F.pmod(F.hash("doc_id"), F.lit(FOLDER_TASKS))]
+
     def _part(self, state: dict, segment: str, part: str) -> DataFrame:
         return self.spark.read.schema(self.PARTS[part].format(id=state["id"])).parquet(f"{self.root}/{segment}/{part}")
 
@@ -149,6 +157,8 @@ class StoredIndex:
         rows = rows if folders is None else rows.where(F.col("folder").isin(folders))
         if len(state["segments"]) > 1:
             gone = self._all(state, "gone").groupBy(F.col("doc_id").alias("gone")).agg(F.max("segment").alias("since"))
+            # Few documents come to the rows: these are many, and stay where they are.
+            gone = F.broadcast(gone) if gone.count() <= lexical.BROADCAST_ROWS else gone
             rows = rows.join(gone, (F.col("doc_id") == F.col("gone")) & (F.col("segment") < F.col("since")), "left_anti")
         return rows.drop("segment")
 

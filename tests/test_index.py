@@ -136,6 +136,20 @@ def test_index_by_deltas_equals_a_rebuild(spark, corpus, tmp_path):
     assert len(kept.retain(1)) == 3 and shape(kept.load()) == shape(fresh)
 
 
+def test_live_postings_stay_where_they_are(spark, corpus, tmp_path):
+    docs, _ = corpus
+    kept = StoredIndex(spark, str(tmp_path / "index"))
+    kept.rebuild(docs)
+    kept.update(docs.limit(0), docs.where("doc_id < 9").select("doc_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live = kept.load().postings
+        plan = live._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and live.where("doc_id < 9").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_crash_leaves_the_index_as_it_was(spark, corpus, tmp_path, monkeypatch):
     docs, _ = corpus
     kept = StoredIndex(spark, str(tmp_path / "index"))
